@@ -323,6 +323,20 @@ def cox_loglik_at(
     )
 
 
+def cox_score_at_zero(
+    df: DataFrame, time: str, status: str, covariate: Covariate, ties: str = "efron", sorted_rows: int = SORTED_ROWS
+) -> DataFrame:
+    """(score, information, chisq) of one column at coefficient 0: without ties the log-rank test."""
+    rows, columns, _ = _design(df, time, status, [covariate])
+    if len(columns) != 1:
+        raise ValueError("the covariate must give one column")
+    rows = durable(rows)
+    cuts = order_cuts(rows.select("time").distinct(), "time", sorted_rows)
+    events = _event_times(rows, 1, [0.0], [0.0], ties, cuts)
+    sums = events.agg(F.expr(f"sum({_score(0)}) AS score"), F.expr(f"sum({_information(0, 0)}) AS information"))
+    return sums.withColumn("chisq", F.expr("score * score / information"))
+
+
 def chi2_tail(x: float, df: int) -> float:
     """P(chi-squared with df degrees of freedom > x), by the half-integer recurrence."""
     if df <= 0 or x <= 0:
