@@ -1,19 +1,28 @@
 """Cox regression on distributed rows.
 
-Rows are reduced once to one per (time, status, covariate pattern) with a count.  Each Newton
-step is one pass over that table: covariate moments per distinct time, running totals from the
-longest time down (the risk sets), and one aggregate whose single row comes to the driver,
-where a system of the size of the covariate list is solved.
+Rows are reduced once to one per (time, status, covariate pattern) with a count; the driver
+only ever holds arrays of the size of the covariate list.  Each Newton step is one query:
+
+1. rows -> weight and weighted covariates per distinct time, totalled from the longest time
+   down (the risk sets);
+2. per event time, the sums over tied events that Efron's method needs, in closed form;
+3. the information matrix.  Its covariate products are not totalled per risk set: a row is at
+   risk at every event time up to its own, so its products enter once, with the running total
+   of those times' weights.  What remains are products of the totals of step 1.
+
+Up to WIDE covariates the products are summed per time in step 1, in one pass over the rows.
+Beyond that a second pass sums them as cells of the non-zero covariates of each row, so the
+plan does not grow with the number of covariates and zeros of categories cost nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .durable import durable
 from .ordered import SORTED_ROWS, order_cuts, running_totals
@@ -24,6 +33,7 @@ MAX_STEPS = 20
 STEP_TOL = 1e-9
 SINGULAR = 1e-9
 DIRECT_TERMS = 256
+WIDE = 6
 
 
 @dataclass(frozen=True)
@@ -40,24 +50,36 @@ class Covariate:
 
 
 @dataclass
-class CoxFit:
-    """A fitted model: small arrays on the driver and the reduced table on the cluster."""
+class Design:
+    """Rows (time, status, w, x) with x = [1, covariates...]; numeric covariates are centred."""
 
+    rows: DataFrame
     columns: list[str]
     terms: dict[str, list[int]]
+    n: int
+    n_event: int
+    event_totals: np.ndarray
+    cuts: list[float]
+
+    @property
+    def size(self) -> int:
+        return len(self.columns)
+
+
+@dataclass
+class CoxFit:
+    """A fitted model: small arrays on the driver, the reduced rows on the cluster."""
+
+    design: Design
     coef: np.ndarray
     var: np.ndarray
     kept: list[int]
     loglik0: float
     loglik: float
     score_test: float
-    n: int
-    n_event: int
     steps: int
     converged: bool
     ties: str
-    rows: DataFrame
-    cuts: list[float] = field(default_factory=list)
 
     @property
     def beta(self) -> np.ndarray:
@@ -85,45 +107,65 @@ def encode(df: DataFrame, col: str, baseline: str | None = None, levels=None) ->
     }
 
 
-def _design(df: DataFrame, time: str, status: str, covariates: Sequence[Covariate]):
+def model_frame(
+    df: DataFrame, time: str, status: str, cols: Sequence[str], weight: str | None = None
+) -> DataFrame:
+    """A durable table of the distinct (time, status, cols) with their number of rows `w`.
+
+    It serves any model of these columns with `weight="w"`.
+    """
+    counted = F.sum(weight) if weight else F.count(F.lit(1))
+    usable = df.dropna(subset=[time, status])
+    return durable(usable.groupBy(time, status, *dict.fromkeys(cols)).agg(counted.alias("w")))
+
+
+def design(
+    df: DataFrame,
+    time: str,
+    status: str,
+    covariates: Sequence[Covariate],
+    weight: str | None = None,
+    sorted_rows: int = SORTED_ROWS,
+) -> Design:
+    """The rows of a model; those with any missing value are left out."""
     usable = df.dropna(subset=[time, status, *[c.col for c in covariates]])
-    columns, terms, values = [], {}, []
+    grouped = model_frame(usable, time, status, [c.col for c in covariates], weight)
+    numeric = [c.col for c in covariates if c.kind != "category"]
+    died = F.when(F.col(status) == 1, F.col("w")).otherwise(0)
+    facts = grouped.agg(
+        F.sum("w"), F.sum(died), *[F.sum(F.col("w") * F.col(c)) / F.sum("w") for c in numeric]
+    ).first()
+    means = dict(zip(numeric, facts[2:], strict=True))
+    columns, terms, values = [], {}, [F.lit(1.0)]
     for cov in covariates:
         if cov.kind == "category":
-            dummies = encode(usable, cov.col, cov.baseline, cov.levels)
+            added = encode(grouped, cov.col, cov.baseline, cov.levels)
         else:
-            dummies = {cov.col: F.col(cov.col).cast("double")}
-        terms[cov.col] = list(range(len(columns), len(columns) + len(dummies)))
-        columns += dummies
-        values += dummies.values()
-    xs = [f"x{i}" for i in range(len(columns))]
-    rows = (
-        usable.select(
-            F.col(time).cast("double").alias("time"),
-            F.col(status).cast("int").alias("status"),
-            *[v.alias(x) for v, x in zip(values, xs, strict=True)],
-        )
-        .groupBy("time", "status", *xs)
-        .agg(F.count(F.lit(1)).alias("w"))
+            added = {cov.col: F.col(cov.col).cast("double") - F.lit(float(means[cov.col] or 0.0))}
+        terms[cov.col] = list(range(len(columns), len(columns) + len(added)))
+        columns += added
+        values += added.values()
+    rows = grouped.select(
+        F.col(time).cast("double").alias("time"),
+        F.col(status).cast("int").alias("status"),
+        "w",
+        F.array(*values).alias("x"),
     )
-    return rows, columns, terms
-
+    cuts = order_cuts(rows.select("time").distinct(), "time", sorted_rows)
+    event_totals = np.zeros(len(columns))
+    cells = rows.filter("status = 1").selectExpr("w", "posexplode(x) AS (i, v)")
+    for i, total in cells.groupBy("i").agg(F.expr("sum(w * v)")).collect():
+        if i:
+            event_totals[i - 1] = total
+    return Design(rows, columns, terms, facts[0] or 0, facts[1] or 0, event_totals, cuts)
 
-def _pairs(p: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(p) for j in range(i, p)]
 
+def _linear(beta: Sequence[float]) -> str:
+    return " + ".join(f"({float(b)!r}D) * x[{i + 1}]" for i, b in enumerate(beta) if b) or "0.0D"
 
-def _linear(beta: Sequence[float], center: Sequence[float]) -> str:
-    terms = [
-        f"({float(b)!r}D) * (x{i} - ({float(c)!r}D))"
-        for i, (b, c) in enumerate(zip(beta, center, strict=True))
-        if b
-    ]
-    return " + ".join(terms) or "0.0D"
 
-
-def _tied_sums(events: DataFrame, ties: str) -> DataFrame:
-    """Add the sums over the m tied events of a time that weight its moments.
+def _tied_sums(times: DataFrame, ties: str) -> DataFrame:
+    """Add the sums over the m tied events of a time that weight its moments; 0 without events.
 
     With risk-set weight s0, weight e0 of the events and shares l/m, l = 0..m-1, D = s0 - e0*l/m:
     p0 = sum 1/D, p1 = sum (l/m)/D, q0, q1, q2 = sum (l/m)^k/D^2 and lg = sum ln D.  All follow
@@ -132,96 +174,165 @@ def _tied_sums(events: DataFrame, ties: str) -> DataFrame:
     which is exact to double precision there: no time, however many ties it has, is expanded.
     """
     if ties == "breslow":
-        return events.selectExpr(
-            "*", "m / s0 AS p0", "0D AS p1", "m / (s0 * s0) AS q0", "0D AS q1", "0D AS q2", "m * ln(s0) AS lg"
-        )
+        sums = ["m / s0 AS p0", "0D AS p1", "m / (s0 * s0) AS q0", "0D AS q1", "0D AS q2", "m * ln(s0) AS lg"]
+        return times.selectExpr("*", *sums)
     # Rounding may leave the last x a hair under 1; it is never less.
-    direct = """aggregate(
-        sequence(skipped, m - 1),
-        named_struct('h1', 0D, 'h2', 0D, 'g', 0D),
+    direct = """if(m > 0, aggregate(
+        sequence(skipped, greatest(m - 1, skipped)),
+        named_struct('h1', 0D, 'h2', 0D, 'lx', 0D),
         (acc, l) -> named_struct(
             'h1', acc.h1 + 1 / greatest(c - l, 1D),
             'h2', acc.h2 + 1 / (greatest(c - l, 1D) * greatest(c - l, 1D)),
-            'g', acc.g + ln(greatest(c - l, 1D)))) AS direct"""
+            'lx', acc.lx + ln(greatest(c - l, 1D)))), NULL) AS direct"""
     skipped = {
         "h1": "-log1p(-skipped / c) - (1/low - 1/c) / 2 + (1/pow(low, 2) - 1/pow(c, 2)) / 12"
         " - (1/pow(low, 4) - 1/pow(c, 4)) / 120",
         "h2": "skipped / (c * low) - (1/pow(low, 2) - 1/pow(c, 2)) / 2"
         " + (1/pow(low, 3) - 1/pow(c, 3)) / 6 - (1/pow(low, 5) - 1/pow(c, 5)) / 30",
-        "g": "skipped * ln(c) - low * log1p(-skipped / c) - skipped - log1p(-skipped / c) / 2"
+        "lx": "skipped * ln(c) - low * log1p(-skipped / c) - skipped - log1p(-skipped / c) / 2"
         " - (1/low - 1/c) / 12 + (1/pow(low, 3) - 1/pow(c, 3)) / 360",
     }
+    sums = {
+        "p0": "h1 / b",
+        "p1": "(c * h1 - m) / (b * m)",
+        "q0": "h2 / (b * b)",
+        "q1": "(c * h2 - h1) / (b * b * m)",
+        "q2": "(c * c * h2 - 2 * c * h1 + m) / (b * b * m * m)",
+        "lg": "m * ln(b) + lx",
+    }
     return (
-        events.selectExpr("*", "e0 / m AS b", "s0 * m / e0 AS c", f"greatest(m - {DIRECT_TERMS}, 0L) AS skipped")
-        .selectExpr("*", "c - skipped AS low", direct)
-        .selectExpr("*", *[f"direct.{h} + if(skipped > 0, {v}, 0D) AS {h}" for h, v in skipped.items()])
-        .selectExpr(
+        times.selectExpr(
             "*",
-            "h1 / b AS p0",
-            "(c * h1 - m) / (b * m) AS p1",
-            "h2 / (b * b) AS q0",
-            "(c * h2 - h1) / (b * b * m) AS q1",
-            "(c * c * h2 - 2 * c * h1 + m) / (b * b * m * m) AS q2",
-            "m * ln(b) + g AS lg",
+            "if(m > 0, e0 / m, 1D) AS b",
+            "if(m > 0, s0 * m / e0, 1D) AS c",
+            f"greatest(m - {DIRECT_TERMS}, 0L) AS skipped",
         )
-        .drop("b", "c", "skipped", "low", "direct", "h1", "h2", "g")
+        .selectExpr("*", "c - skipped AS low", direct)
+        .selectExpr("*", *[f"direct.{h} + if(skipped > 0, {v}, 0D) AS {h}" for h, v in skipped.items()])
+        .selectExpr("*", *[f"if(m > 0, {v}, 0D) AS {n}" for n, v in sums.items()])
+        .drop("b", "c", "skipped", "low", "direct", "h1", "h2", "lx")
     )
 
 
-def _event_times(rows: DataFrame, p: int, beta, center, ties: str, cuts: Sequence[float]) -> DataFrame:
-    """One row per event time: m, zb, z_i, and the risk-set moments and tied-sum weights."""
-    xs = [f"x{i} - ({float(c)!r}D) AS x{i}" for i, c in enumerate(center)]
-    scored = rows.selectExpr("time", "status", "w", f"{_linear(beta, center)} AS eta", *xs)
-    scored = scored.selectExpr(
-        "*",
-        "w * exp(eta) AS r",
-        "if(status = 1, w * exp(eta), 0D) AS r_dead",
-        "if(status = 1, w, 0L) AS w_dead",
-    )
-    moments = {"s0": "r", "e0": "r_dead", "m": "w_dead", "zb": "w_dead * eta"}
-    for i in range(p):
-        moments |= {f"s1_{i}": f"r * x{i}", f"e1_{i}": f"r_dead * x{i}", f"z_{i}": f"w_dead * x{i}"}
-    for i, j in _pairs(p):
-        moments |= {f"s2_{i}_{j}": f"r * x{i} * x{j}", f"e2_{i}_{j}": f"r_dead * x{i} * x{j}"}
-    by_time = scored.groupBy("time").agg(*[F.expr(f"sum({v}) AS {n}") for n, v in moments.items()])
-    totals = {n: n for n in moments if n[0] == "s"}
-    at_risk = running_totals(by_time, "time", totals, cuts=cuts, descending=True)
-    return _tied_sums(at_risk.filter("m > 0"), ties)
+def _upper(size: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(size) for j in range(i, size)]
 
 
-def _score(i: int) -> str:
-    """Observed minus expected covariate total of a time."""
-    return f"(z_{i} - (s1_{i} * p0 - e1_{i} * p1))"
+def _risk_sets(d: Design, beta: Sequence[float], ties: str, clock: bool = False, cross: bool = False) -> DataFrame:
+    """One row per distinct time: events m, risk-set totals s, event totals e, tied sums.
 
+    With `clock`, also g = 1 - S(t-) of the Kaplan-Meier curve of all rows.  With `cross`, the
+    time's own covariate products ac (all rows), dc (events) and event totals z.
+    """
+    size = d.size + 1
+    scored = d.rows.selectExpr("time", "status", "w", "x", f"w * exp({_linear(beta)}) AS r")
+    scored = scored.selectExpr("*", "if(status = 1, r, 0D) AS dead", "if(status = 1, w, 0L) AS w_dead")
+    sums = {"m": "w_dead"}
+    for i, j in _upper(size) if cross else [(0, j) for j in range(size)]:
+        value = " * ".join(f"x[{k}]" for k in (i, j) if k) or "1D"
+        sums |= {f"c{i}_{j}": f"r * {value}", f"d{i}_{j}": f"dead * {value}"}
+    if cross:
+        sums |= {f"z{j}": f"w_dead * x[{j}]" for j in range(size)}
+    totals = {f"c0_{j}": f"s{j}" for j in range(size)}
+    if clock:
+        sums["n"] = "w"
+        totals["n"] = "n_risk"
+    by_time = scored.groupBy("time").agg(*[F.expr(f"sum({v}) AS {n}") for n, v in sums.items()])
+    at_risk = running_totals(by_time, "time", totals, cuts=d.cuts, descending=True)
+    if clock:
+        at_risk = at_risk.selectExpr("*", "if(m < n_risk, log1p(-m / n_risk), 0D) AS fall")
+        at_risk = running_totals(at_risk, "time", {"fall": "fallen"}, cuts=d.cuts)
+        at_risk = at_risk.selectExpr("*", "1 - exp(fallen - fall) AS g")
+    else:
+        at_risk = at_risk.selectExpr("*", "1D AS g")
+    packed = {"s": [f"s{j}" for j in range(size)], "e": [f"d0_{j}" for j in range(size)]}
+    if cross:
+        packed["ac"] = [*[f"c{i}_{j}" for i, j in _upper(size)], "0D"]
+        packed["dc"] = [*[f"d{i}_{j}" for i, j in _upper(size)], "0D"]
+        packed["z"] = [f"z{j}" for j in range(size)]
+    arrays = [f"array({', '.join(names)}) AS {out}" for out, names in packed.items()]
+    return _tied_sums(at_risk.selectExpr("time", "m", "g", "s0", "d0_0 AS e0", *arrays), ties)
 
-def _information(i: int, j: int) -> str:
-    """Covariate variance of a time."""
-    return (
-        f"(s2_{i}_{j} * p0 - e2_{i}_{j} * p1 - "
-        f"(s1_{i} * s1_{j} * q0 - (s1_{i} * e1_{j} + e1_{i} * s1_{j}) * q1 + e1_{i} * e1_{j} * q2))"
-    )
 
+def _cells(d: Design, beta, ties: str, powers: Sequence[int], clock: bool) -> DataFrame:
+    """Rows (i, j, y per power, z per power) that add up to the information matrices and scores.
 
-def _sums(df: DataFrame, values: Sequence[str]) -> list[float]:
-    """Totals of expressions over the whole table."""
-    row = df.agg(*[F.expr(f"sum({v}) AS v{i}") for i, v in enumerate(values)]).first()
-    return [0.0 if v is None else float(v) for v in row]
+    Pair (0, j) holds what the score of covariate j needs; i = -1 the log term.
+    """
+    size, cross = d.size + 1, d.size <= WIDE
+    times = _risk_sets(d, beta, ties, clock, cross)
+    times = times.selectExpr("*", *[f"p0 * pow(g, {k}) AS h{k}" for k in powers])
+    times = running_totals(times, "time", {f"h{k}": f"a{k}" for k in powers}, cuts=d.cuts)
+    product = "q0 * s[i] * s[j] - q1 * (s[i] * e[j] + e[i] * s[j]) + q2 * e[i] * e[j]"
+    product = f"if(i > 0 AND m > 0, {product}, 0D)"
+    places = f"array({', '.join(f'struct({i} AS i, {j} AS j)' for i, j in [*_upper(size), (-1, 0)])})"
+    if cross:
+        pairs = times.selectExpr("*", f"posexplode({places}) AS (at, place)").selectExpr(
+            "*", "place.i AS i", "place.j AS j"
+        )
+        return pairs.selectExpr(
+            "i",
+            "j",
+            *[f"if(i < 0, lg, ac[at] * a{k} - (dc[at] * p1 + {product}) * pow(g, {k})) AS y{k}" for k in powers],
+            *[f"if(i = 0, z[j], 0D) * pow(g, {k}) AS z{k}" for k in powers],
+        )
 
+    # Many covariates: products of the non-zero ones, row by row, instead of all per time.
+    spread = times.select("time", "g", "p1", *[f"a{k}" for k in powers])
+    if not d.cuts:  # so at most SORTED_ROWS distinct times
+        spread = F.broadcast(spread)
+    present = "filter(transform(x, (v, n) -> struct(n, v)), q -> q.v <> 0)"
+    products = """flatten(transform(present, a -> transform(
+        filter(present, b -> b.n >= a.n), b -> struct(a.n AS i, b.n AS j, a.v * b.v AS v))))"""
+    rows = (
+        d.rows.selectExpr("time", "status", "w", f"{present} AS present", f"w * exp({_linear(beta)}) AS r")
+        .join(spread, "time")
+        .selectExpr(
+            f"inline({products})",
+            *[f"r * (a{k} - if(status = 1, p1 * pow(g, {k}), 0D)) AS y{k}" for k in powers],
+            *[f"if(status = 1, w * pow(g, {k}), 0D) AS z{k}" for k in powers],
+        )
+        .selectExpr("i", "j", *[f"{c}{k} * v AS {c}{k}" for c in "yz" for k in powers])
+    )
+    means = (
+        times.filter("m > 0")
+        .selectExpr("*", f"inline({places})")
+        .filter("i <> 0")
+        .selectExpr(
+            "i",
+            "j",
+            *[f"if(i < 0, lg, -{product} * pow(g, {k})) AS y{k}" for k in powers],
+            *[f"0D AS z{k}" for k in powers],
+        )
+    )
+    return rows.unionByName(means)
 
-def _square(values: Sequence[float], p: int) -> np.ndarray:
-    out = np.zeros((p, p))
-    for (i, j), v in zip(_pairs(p), values, strict=True):
-        out[i, j] = out[j, i] = v
-    return out
 
+def _information(d: Design, beta, ties: str, powers: Sequence[int] = (0,), clock: bool = False):
+    """Log term, scores and information matrices, each time weighted by g to the given powers.
 
-def _evaluate(rows, p, beta, center, ties, cuts) -> tuple[float, np.ndarray, np.ndarray]:
+    Returns (lg, [score vector per power], [matrix per power]).
+    """
+    cells = _cells(d, beta, ties, powers, clock)
+    sums = [F.expr(f"sum({c}{k}) AS {c}{k}") for c in "yz" for k in powers]
+    log_term, scores = 0.0, [np.zeros(d.size) for _ in powers]
+    matrices = [np.zeros((d.size, d.size)) for _ in powers]
+    for row in cells.groupBy("i", "j").agg(*sums).collect():
+        i, j = row["i"], row["j"]
+        for k, power in enumerate(powers):
+            if i < 0:
+                log_term = row["y0"]
+            elif i == 0 and j > 0:
+                scores[k][j - 1] = row[f"z{power}"] - row[f"y{power}"]
+            elif i > 0:
+                matrices[k][i - 1, j - 1] = matrices[k][j - 1, i - 1] = row[f"y{power}"]
+    return log_term, scores, matrices
+
+
+def _evaluate(d: Design, beta: np.ndarray, ties: str) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood, score vector and information matrix at `beta`."""
-    events = _event_times(rows, p, beta, center, ties, cuts)
-    values = _sums(
-        events, ["zb - lg", *[_score(i) for i in range(p)], *[_information(i, j) for i, j in _pairs(p)]]
-    )
-    return values[0], np.array(values[1 : 1 + p]), _square(values[1 + p :], p)
+    log_term, (score,), (info,) = _information(d, beta, ties)
+    return float(beta @ d.event_totals) - log_term, score, info
 
 
 def _independent(info: np.ndarray) -> list[int]:
@@ -243,31 +354,18 @@ def coxph(
     status: str,
     covariates: Sequence[Covariate],
     ties: str = "efron",
+    weight: str | None = None,
     sorted_rows: int = SORTED_ROWS,
 ) -> CoxFit:
     """Fit a proportional-hazards model; rows with any missing value are left out.
 
-    A column without variation or a combination of earlier ones gets no coefficient (NaN here,
-    NULL in tables).  `converged` is false when the steps do not settle, as for a level
-    without events.
+    `weight` is a column of row counts.  A covariate column without variation or a combination
+    of earlier ones gets no coefficient (NaN here, NULL in tables).  `converged` is false when
+    the steps do not settle, as for a level without events.
     """
-    rows, columns, terms = _design(df, time, status, covariates)
-    rows = durable(rows)
-    p = len(columns)
-    facts = rows.agg(
-        F.sum("w"),
-        F.sum(F.when(F.col("status") == 1, F.col("w"))),
-        *[F.sum(F.col("w") * F.col(f"x{i}")) / F.sum("w") for i in range(p)],
-    ).first()
-    n, n_event = facts[0] or 0, facts[1] or 0
-    center = [float(v or 0.0) for v in facts[2:]]
-    cuts = order_cuts(rows.select("time").distinct(), "time", sorted_rows)
-
-    def evaluate(beta):
-        return _evaluate(rows, p, beta, center, ties, cuts)
-
-    beta = np.zeros(p)
-    loglik0, score, info = evaluate(beta)
+    d = design(df, time, status, covariates, weight, sorted_rows)
+    beta = np.zeros(d.size)
+    loglik0, score, info = _evaluate(d, beta, ties)
     kept = _independent(info)
     grid = np.ix_(kept, kept)
     score_test = float(score[kept] @ np.linalg.solve(info[grid], score[kept])) if kept else 0.0
@@ -277,29 +375,26 @@ def coxph(
             step = np.linalg.solve(info[grid], score[kept])
         except np.linalg.LinAlgError:
             break
-        new_loglik, new_score, new_info = -math.inf, score, info
         for _ in range(10):
             trial = beta.copy()
             trial[kept] += step
-            new_loglik, new_score, new_info = evaluate(trial)
+            new = _evaluate(d, trial, ties)
             steps += 1
             # Rounding moves the likelihood in its last digits once the steps are tiny.
-            if new_loglik >= loglik - 1e-10 * abs(loglik):
+            if new[0] >= loglik - 1e-10 * abs(loglik):
                 break
             step = step / 2
-        beta, loglik, score, info = trial, new_loglik, new_score, new_info
+        beta, (loglik, score, info) = trial, new
         converged = bool(np.max(np.abs(step)) < STEP_TOL)
-    coef = np.full(p, np.nan)
+    coef = np.full(d.size, np.nan)
     coef[kept] = beta[kept]
-    var = np.full((p, p), np.nan)
+    var = np.full((d.size, d.size), np.nan)
     if kept:
         try:
             var[grid] = np.linalg.inv(info[grid])
         except np.linalg.LinAlgError:
             converged = False
-    return CoxFit(
-        columns, terms, coef, var, kept, loglik0, loglik, score_test, n, n_event, steps, converged, ties, rows, cuts
-    )
+    return CoxFit(d, coef, var, kept, loglik0, loglik, score_test, steps, converged, ties)
 
 
 def cox_loglik_at(
@@ -312,29 +407,22 @@ def cox_loglik_at(
     sorted_rows: int = SORTED_ROWS,
 ) -> DataFrame:
     """(loglik, score_<column>...) of the partial likelihood at a given `beta`."""
-    rows, columns, _ = _design(df, time, status, covariates)
-    rows = durable(rows)
-    p = len(columns)
-    cuts = order_cuts(rows.select("time").distinct(), "time", sorted_rows)
-    events = _event_times(rows, p, beta, [0.0] * p, ties, cuts)
-    return events.agg(
-        F.expr("sum(zb - lg)").alias("loglik"),
-        *[F.expr(f"sum({_score(i)})").alias("score_" + c) for i, c in enumerate(columns)],
-    )
+    d = design(df, time, status, covariates, sorted_rows=sorted_rows)
+    loglik, score, _ = _evaluate(d, np.array(beta, dtype=float), ties)
+    schema = ", ".join(["loglik double", *[f"`score_{c}` double" for c in d.columns]])
+    return df.sparkSession.createDataFrame([(loglik, *map(float, score))], schema)
 
 
 def cox_score_at_zero(
     df: DataFrame, time: str, status: str, covariate: Covariate, ties: str = "efron", sorted_rows: int = SORTED_ROWS
 ) -> DataFrame:
     """(score, information, chisq) of one column at coefficient 0: without ties the log-rank test."""
-    rows, columns, _ = _design(df, time, status, [covariate])
-    if len(columns) != 1:
+    d = design(df, time, status, [covariate], sorted_rows=sorted_rows)
+    if d.size != 1:
         raise ValueError("the covariate must give one column")
-    rows = durable(rows)
-    cuts = order_cuts(rows.select("time").distinct(), "time", sorted_rows)
-    events = _event_times(rows, 1, [0.0], [0.0], ties, cuts)
-    sums = events.agg(F.expr(f"sum({_score(0)}) AS score"), F.expr(f"sum({_information(0, 0)}) AS information"))
-    return sums.withColumn("chisq", F.expr("score * score / information"))
+    _, score, info = _evaluate(d, np.zeros(1), ties)
+    u, v = float(score[0]), float(info[0, 0])
+    return df.sparkSession.createDataFrame([(u, v, u * u / v)], "score double, information double, chisq double")
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -364,7 +452,7 @@ def _or_none(v) -> float | None:
 def cox_summary(fit: CoxFit) -> DataFrame:
     """One row per coefficient: estimate, hazard ratio, error, z, p and 95 % limits."""
     rows = []
-    for i, name in enumerate(fit.columns):
+    for i, name in enumerate(fit.design.columns):
         b = fit.coef[i]
         se = math.sqrt(fit.var[i, i]) if fit.var[i, i] >= 0 else math.nan
         z = b / se if se else math.nan
@@ -372,7 +460,7 @@ def cox_summary(fit: CoxFit) -> DataFrame:
             (name, *[_or_none(v) for v in (b, np.exp(b), se, z, _normal_p(z), np.exp(b - Z95 * se), np.exp(b + Z95 * se))])
         )
     schema = "term string, coef double, exp_coef double, se double, z double, p double, lower double, upper double"
-    return fit.rows.sparkSession.createDataFrame(rows, schema)
+    return fit.design.rows.sparkSession.createDataFrame(rows, schema)
 
 
 def cox_tests(fit: CoxFit, with_concordance: bool = True) -> DataFrame:
@@ -389,10 +477,10 @@ def cox_tests(fit: CoxFit, with_concordance: bool = True) -> DataFrame:
         "steps int, converged boolean"
     )
     row = (
-        fit.n, fit.n_event, df, fit.loglik0, fit.loglik, lrt, chi2_tail(lrt, df), _or_none(wald),
+        fit.design.n, fit.design.n_event, df, fit.loglik0, fit.loglik, lrt, chi2_tail(lrt, df), _or_none(wald),
         _or_none(chi2_tail(wald, df)), fit.score_test, chi2_tail(fit.score_test, df), c, fit.steps, fit.converged,
     )
-    return fit.rows.sparkSession.createDataFrame([row], schema)
+    return fit.design.rows.sparkSession.createDataFrame([row], schema)
 
 
 def cox_table(fits: Mapping[str, CoxFit]) -> DataFrame:
@@ -400,8 +488,8 @@ def cox_table(fits: Mapping[str, CoxFit]) -> DataFrame:
     out = None
     for name, fit in fits.items():
         part = cox_summary(fit).select(
-            F.lit(name).alias("model"), "*", F.lit(fit.n).cast("long").alias("n"),
-            F.lit(fit.n_event).cast("long").alias("n_event"), F.lit(fit.converged).alias("converged"),
+            F.lit(name).alias("model"), "*", F.lit(fit.design.n).cast("long").alias("n"),
+            F.lit(fit.design.n_event).cast("long").alias("n_event"), F.lit(fit.converged).alias("converged"),
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -416,7 +504,7 @@ def concordance(fit: CoxFit, sorted_rows: int = SORTED_ROWS) -> float | None:
     over time count, for each event, the later rows with the other bit.
     """
     scored = (
-        fit.rows.withColumn("eta", F.expr(f"round({_linear(fit.beta, [0.0] * len(fit.columns))}, 12)"))
+        fit.design.rows.withColumn("eta", F.expr(f"round({_linear(fit.beta)}, 12)"))
         .groupBy("time", "eta")
         .agg(
             F.sum(F.when(F.col("status") == 1, F.col("w")).otherwise(0)).alias("d"),
@@ -450,7 +538,7 @@ def concordance(fit: CoxFit, sorted_rows: int = SORTED_ROWS) -> float | None:
         ],
     )
     later = running_totals(
-        by_time, "time", {"a0": "from0", "a1": "from1"}, ["place", "above"], fit.cuts, descending=True
+        by_time, "time", {"a0": "from0", "a1": "from1"}, ["place", "above"], fit.design.cuts, descending=True
     )
     # Comparable with an event: every later time, and those censored at the same time.
     after = [F.col(f"from{s}") - F.col(f"a{s}") + F.col(f"k{s}") for s in (0, 1)]
@@ -464,36 +552,10 @@ def concordance(fit: CoxFit, sorted_rows: int = SORTED_ROWS) -> float | None:
     return (concordant + tied / 2) / pairs if pairs else None
 
 
-def _event_clock(fit: CoxFit) -> DataFrame:
-    """Event times with 1 - S(t-) of the overall Kaplan-Meier curve as `clock`."""
-    by_time = fit.rows.groupBy("time").agg(
-        F.sum("w").alias("n"), F.sum(F.when(F.col("status") == 1, F.col("w")).otherwise(0)).alias("d")
-    )
-    curve = running_totals(by_time, "time", {"n": "n_risk"}, cuts=fit.cuts, descending=True)
-    step = F.when(F.col("d") < F.col("n_risk"), F.log1p(-F.col("d") / F.col("n_risk"))).otherwise(0.0)
-    curve = running_totals(curve.withColumn("_log", step), "time", {"_log": "_logs"}, cuts=fit.cuts)
-    return curve.filter(F.col("d") > 0).select(
-        F.col("time"), (1 - F.exp(F.col("_logs") - F.col("_log"))).alias("clock")
-    )
-
-
 def cox_zph(fit: CoxFit) -> DataFrame:
     """(term, chisq, df, p): score test of a coefficient drifting with 1 - S(t-), per term and global."""
-    p = len(fit.columns)
-    center = [0.0] * p
-    events = _event_times(fit.rows, p, fit.beta, center, fit.ties, fit.cuts)
-    events = events.join(_event_clock(fit), "time")
-    pairs = _pairs(p)
-    values = ["clock * m", "m"]
-    values += [f"{_score(i)} * pow(clock, {k})" for k in (0, 1) for i in range(p)]
-    values += [f"{_information(i, j)} * pow(clock, {k})" for k in (0, 1, 2) for i, j in pairs]
-    row = _sums(events, values)
-    mean, scores, moments = row[0] / (row[1] or 1.0), row[2 : 2 + 2 * p], row[2 + 2 * p :]
-    u = np.array(scores[p:]) - mean * np.array(scores[:p])
-    i0, i1, i2 = (_square(moments[k * len(pairs) : (k + 1) * len(pairs)], p) for k in range(3))
-    # Centre the clock at its mean over events.
-    i2 = i2 - 2 * mean * i1 + mean * mean * i0
-    i1 = i1 - mean * i0
+    d = fit.design
+    _, (_, u1, _), (i0, i1, i2) = _information(d, fit.beta, fit.ties, (0, 1, 2), clock=True)
 
     def test(name: str, drift: list[int]):
         drift = [j for j in drift if j in fit.kept]
@@ -502,39 +564,38 @@ def cox_zph(fit: CoxFit) -> DataFrame:
         base = i0[np.ix_(fit.kept, fit.kept)]
         cross = i1[np.ix_(fit.kept, drift)]
         left = i2[np.ix_(drift, drift)] - cross.T @ np.linalg.solve(base, cross)
-        chisq = float(u[drift] @ np.linalg.solve(left, u[drift]))
+        chisq = float(u1[drift] @ np.linalg.solve(left, u1[drift]))
         return (name, chisq, len(drift), chi2_tail(chisq, len(drift)))
 
-    rows = [test(name, cols) for name, cols in fit.terms.items()]
-    rows.append(test("GLOBAL", list(range(p))))
-    return fit.rows.sparkSession.createDataFrame(rows, "term string, chisq double, df int, p double")
+    rows = [test(name, cols) for name, cols in d.terms.items()]
+    rows.append(test("GLOBAL", list(range(d.size))))
+    return d.rows.sparkSession.createDataFrame(rows, "term string, chisq double, df int, p double")
 
 
-def schoenfeld_residuals(fit: CoxFit, sorted_rows: int = SORTED_ROWS) -> DataFrame:
+def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     """(time, term, residual, scaled, n): what each event's covariates differ from their risk set.
 
     `scaled` is the residual vector times the covariance matrix and the number of events, plus
     the coefficient: its trend over time is the coefficient's.  `n` equal events share a row.
     """
-    p = len(fit.columns)
-    center = [0.0] * p
-    means = _event_times(fit.rows, p, fit.beta, center, fit.ties, fit.cuts).select(
-        "time",
-        *[
-            F.expr(f"(s1_{i} * p0 - e1_{i} * p1) / m AS mean{i}")
-            for i in range(p)
-        ],
-    )
-    if not fit.cuts:  # so at most SORTED_ROWS distinct times
+    d = fit.design
+    means = _risk_sets(d, fit.beta, fit.ties).filter("m > 0")
+    means = means.selectExpr("time", "transform(s, (v, i) -> (v * p0 - e[i] * p1) / m) AS mean")
+    if not d.cuts:  # so at most SORTED_ROWS distinct times
         means = F.broadcast(means)
-    events = fit.rows.filter(F.col("status") == 1).join(means, "time")
-    residuals = [F.col(f"x{i}") - F.col(f"mean{i}") for i in range(p)]
-    cells = []
-    for i in fit.kept:
-        scaled = F.lit(float(fit.coef[i]))
-        for j in fit.kept:
-            scaled = scaled + residuals[j] * float(fit.var[i, j] * fit.n_event)
-        cells.append(
-            F.struct(F.lit(fit.columns[i]).alias("term"), residuals[i].alias("residual"), scaled.alias("scaled"))
+    events = d.rows.filter("status = 1").join(means, "time")
+    events = events.selectExpr("time", "w AS n", "transform(x, (v, i) -> v - mean[i]) AS r")
+
+    def scaled(i: int) -> str:
+        parts = [f"({float(fit.var[i, j] * d.n_event)!r}D) * r[{j + 1}]" for j in fit.kept]
+        return " + ".join([f"({float(fit.coef[i])!r}D)", *parts])
+
+    cells = [
+        F.struct(
+            F.lit(d.columns[i]).alias("term"),
+            F.col("r")[i + 1].alias("residual"),
+            F.expr(scaled(i)).alias("scaled"),
         )
-    return events.select("time", F.inline(F.array(*cells)), F.col("w").alias("n"))
+        for i in fit.kept
+    ]
+    return events.select("time", F.inline(F.array(*cells)), "n")

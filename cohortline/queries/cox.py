@@ -253,7 +253,7 @@ def schoenfeld_residuals(spark, sf):
 @query(
     "encode",
     with_patients("""SELECT hosp_id, """ + ", ".join(
-        f"CASE WHEN c_mktsegment = '{s}' THEN 1.0 ELSE 0.0 END AS {s.lower()}"
+        f"CAST(c_mktsegment = '{s}' AS DOUBLE) AS {s.lower()}"
         for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY")
     ) + " FROM pat"),
 )
