@@ -375,6 +375,10 @@ def coxph(
             step = np.linalg.solve(info[grid], score[kept])
         except np.linalg.LinAlgError:
             break
+        if np.max(np.abs(step)) < STEP_TOL:
+            beta[kept] += step
+            converged = True
+            break
         for _ in range(10):
             trial = beta.copy()
             trial[kept] += step
@@ -385,7 +389,6 @@ def coxph(
                 break
             step = step / 2
         beta, (loglik, score, info) = trial, new
-        converged = bool(np.max(np.abs(step)) < STEP_TOL)
     coef = np.full(d.size, np.nan)
     coef[kept] = beta[kept]
     var = np.full((d.size, d.size), np.nan)
@@ -452,13 +455,13 @@ def _or_none(v) -> float | None:
 def cox_summary(fit: CoxFit) -> DataFrame:
     """One row per coefficient: estimate, hazard ratio, error, z, p and 95 % limits."""
     rows = []
-    for i, name in enumerate(fit.design.columns):
-        b = fit.coef[i]
-        se = math.sqrt(fit.var[i, i]) if fit.var[i, i] >= 0 else math.nan
-        z = b / se if se else math.nan
-        rows.append(
-            (name, *[_or_none(v) for v in (b, np.exp(b), se, z, _normal_p(z), np.exp(b - Z95 * se), np.exp(b + Z95 * se))])
-        )
+    with np.errstate(over="ignore"):  # an infinite limit is shown as NULL
+        for i, name in enumerate(fit.design.columns):
+            b = fit.coef[i]
+            se = math.sqrt(fit.var[i, i]) if fit.var[i, i] >= 0 else math.nan
+            z = b / se if se else math.nan
+            shown = (b, np.exp(b), se, z, _normal_p(z), np.exp(b - Z95 * se), np.exp(b + Z95 * se))
+            rows.append((name, *map(_or_none, shown)))
     schema = "term string, coef double, exp_coef double, se double, z double, p double, lower double, upper double"
     return fit.design.rows.sparkSession.createDataFrame(rows, schema)
 

@@ -21,6 +21,7 @@ from . import dictionaries as d
 
 DATE_COLUMNS = ["e_date", "iv_date", "death_date", "dx_date"]
 NUMBERS = ["creatinine_raw", "hgb", "albumin", "calcium", "m_component"]
+REGIMEN_COLUMNS = ["regimen_start", "regimen_cont", "regimen_chemo"]
 COMPLAINTS = list(d.COMPLAINT_FLAGS)
 PAINS = list(d.PAIN_FLAGS)
 SIGNS = list(d.SIGN_FLAGS)
@@ -87,47 +88,51 @@ def derive(clean: DataFrame, intent: bool = False, hot_rows: int = HOT_ROWS) ->
     )
     initial = F.col("encounter_type") == "Initial"
     gap = {"wanted": initial, "date": "e_date", "intent": intent}
+    recoded = {
+        "outcome": text.recode_exact("outcome", d.OUTCOMES),
+        "complaint": _decode("complaint", d.COMPLAINT_CODES, intent),
+        "pain_site": _decode("pain_site", d.PAIN_CODES, intent),
+        "signs": _decode("signs", d.SIGN_CODES, intent),
+        "bleeding_site": text.recode_exact("bleeding_site", d.BLEEDING_SITES),
+        "swelling_site": text.recode_exact("swelling_site", d.SWELLING_SITES),
+        "ecog_label": text.ordered_label("ecog_index", d.ECOG),
+        **{r: text.recode_exact(r, d.REGIMENS) for r in REGIMEN_COLUMNS},
+        "cycle": text.first_present("cycle_start", "cycle_cont", "cycle_chemo"),
+        "remission_plan": text.recode_exact(
+            text.recode_exact("remission_plan", d.REMISSION_CODES), d.REMISSION_PLANS
+        ),
+    }
     placed = placed.withColumns(
         {
-            "outcome": text.recode_exact(F.col("outcome"), d.OUTCOMES),
             "record_count": F.col("_ordinal"),
             "latest_encounter": F.coalesce("death_date", "latest_encounter"),
             "age": dates.whole_years(F.col("birth_date"), F.col("dx_date")),
             "creatinine": lg.lead_fill("creatinine_raw", max_gap=d.CREATININE_GAP, **gap),
             "spep": lg.lead_fill("m_component", max_gap=d.M_COMPONENT_GAP, **gap),
             "corrected_calcium": c.corrected_calcium(F.col("calcium"), F.col("albumin")),
-            "complaint": _decode("complaint", d.COMPLAINT_CODES, intent),
-            "pain_site": _decode("pain_site", d.PAIN_CODES, intent),
-            "signs": _decode("signs", d.SIGN_CODES, intent),
-            "bleeding_site": text.recode_exact(F.col("bleeding_site"), d.BLEEDING_SITES),
-            "swelling_site": text.recode_exact(F.col("swelling_site"), d.SWELLING_SITES),
-            "ecog_label": text.ordered_label(F.col("ecog_index"), d.ECOG),
-            "regimen_start": text.recode_exact(F.col("regimen_start"), d.REGIMENS),
-            "regimen_cont": text.recode_exact(F.col("regimen_cont"), d.REGIMENS),
-            "regimen_chemo": text.recode_exact(F.col("regimen_chemo"), d.REGIMENS),
-            "cycle": F.coalesce("cycle_start", "cycle_cont", "cycle_chemo"),
-            "remission_plan": text.recode_exact(
-                text.recode_exact(F.col("remission_plan"), d.REMISSION_CODES), d.REMISSION_PLANS
-            ),
             "on_remission": c.remission_by_date(F.col("on_remission"), F.col("remission_date")),
+            **{name: F.expr(sql) for name, sql in recoded.items()},
         }
     ).drop("_ordinal", "_prev_date", "_next")
 
-    pains = d.PAIN_FLAGS_INTENT if intent else d.PAIN_FLAGS
-    notes = d.MAINTENANCE_NOTES_INTENT if intent else d.MAINTENANCE_NOTES
-    treatment = text.first_present(F.col("regimen_start"), F.col("regimen_cont"), F.col("regimen_chemo"))
-    plan = text.rule_cascade(F.col("remission_plan"), F.col("notes"), [(notes, d.MAINTENANCE)], ignore_case=True)
+    flags = {
+        "complaint": d.COMPLAINT_FLAGS,
+        "pain_site": d.PAIN_FLAGS_INTENT if intent else d.PAIN_FLAGS,
+        "signs": d.SIGN_FLAGS,
+    }
+    maintenance = [(d.MAINTENANCE_NOTES_INTENT if intent else d.MAINTENANCE_NOTES, d.MAINTENANCE)]
+    found = {
+        **{name: text.keyword_flag(col, p) for col, patterns in flags.items() for name, p in patterns.items()},
+        "treatment": text.rule_cascade(text.first_present(*REGIMEN_COLUMNS), "notes", d.NOTE_RULES),
+        "remission_plan": text.rule_cascade("remission_plan", "notes", maintenance, ignore_case=True),
+    }
     derived = placed.withColumns(
         {
             "survival_status": c.event_flag(F.col("outcome"), d.CENSORED),
             "renal_failure": c.band(F.col("creatinine"), d.CREATININE_CUT, "<=177", "> 177", True),
             "anemia": c.band(F.col("hgb"), d.HGB_CUT, "< 10", ">=10", False),
             "hypercalcemia": c.yes_no(F.col("corrected_calcium") > d.CALCIUM_CUT),
-            **{name: text.keyword_flag(F.col("complaint"), p) for name, p in d.COMPLAINT_FLAGS.items()},
-            **{name: text.keyword_flag(F.col("pain_site"), p) for name, p in pains.items()},
-            **{name: text.keyword_flag(F.col("signs"), p) for name, p in d.SIGN_FLAGS.items()},
-            "treatment": text.rule_cascade(treatment, F.col("notes"), d.NOTE_RULES),
-            "remission_plan": plan,
+            **{name: F.expr(sql) for name, sql in found.items()},
         }
     )
     derived = derived.withColumn(
@@ -137,10 +142,8 @@ def derive(clean: DataFrame, intent: bool = False, hot_rows: int = HOT_ROWS) ->
     return frames.reorder(derived, d.FRONT_COLUMNS)
 
 
-def _decode(col: str, codes, intent: bool):
-    if intent:
-        return text.recode_tokens(F.col(col), dict(codes))
-    return text.recode_sequential(F.col(col), codes)
+def _decode(col: str, codes, intent: bool) -> str:
+    return text.recode_tokens(col, dict(codes)) if intent else text.recode_sequential(col, codes)
 
 
 def initial_visits(derived: DataFrame, intent: bool = False) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import text as t
 from ..plans import dictionaries as d
 from ..plans.bindings import enc, registry_rows, table
@@ -19,11 +17,11 @@ from .base import (
  {sql_recode("swelling_site", d.SWELLING_SITES)} AS swelling_site FROM enc"""),
 )
 def recode_exact(spark, sf):
-    return enc(spark, sf).select(
+    return enc(spark, sf).selectExpr(
         "ingest_id",
-        t.recode_exact(F.col("outcome"), d.OUTCOMES).alias("outcome"),
-        t.recode_exact(F.col("bleeding_site"), d.BLEEDING_SITES).alias("bleeding_site"),
-        t.recode_exact(F.col("swelling_site"), d.SWELLING_SITES).alias("swelling_site"),
+        t.recode_exact("outcome", d.OUTCOMES) + " AS outcome",
+        t.recode_exact("bleeding_site", d.BLEEDING_SITES) + " AS bleeding_site",
+        t.recode_exact("swelling_site", d.SWELLING_SITES) + " AS swelling_site",
     )
 
 
@@ -37,8 +35,8 @@ _REGIMENS = ["regimen_a", "regimen_b", "regimen_c"]
     ),
 )
 def recode_regimens(spark, sf):
-    return enc(spark, sf).select(
-        "ingest_id", *[t.recode_exact(F.col(c), d.REGIMENS).alias(c) for c in _REGIMENS]
+    return enc(spark, sf).selectExpr(
+        "ingest_id", *[f"{t.recode_exact(c, d.REGIMENS)} AS {c}" for c in _REGIMENS]
     )
 
 
@@ -46,12 +44,12 @@ _PLAN = sql_recode(f"({sql_recode('remission_plan', d.REMISSION_CODES)})", d.REM
 
 
 def _plan():
-    return t.recode_exact(t.recode_exact(F.col("remission_plan"), d.REMISSION_CODES), d.REMISSION_PLANS)
+    return t.recode_exact(t.recode_exact("remission_plan", d.REMISSION_CODES), d.REMISSION_PLANS)
 
 
 @query("recode_remission", with_enc(f"SELECT ingest_id, {_PLAN} AS remission_plan FROM enc"))
 def recode_remission(spark, sf):
-    return enc(spark, sf).select("ingest_id", _plan().alias("remission_plan"))
+    return enc(spark, sf).selectExpr("ingest_id", f"{_plan()} AS remission_plan")
 
 
 _CODED = {"complaint_codes": d.COMPLAINT_CODES, "pain_codes": d.PAIN_CODES, "sign_codes": d.SIGN_CODES}
@@ -64,8 +62,8 @@ _CODED = {"complaint_codes": d.COMPLAINT_CODES, "pain_codes": d.PAIN_CODES, "sig
     ),
 )
 def recode_sequential(spark, sf):
-    return enc(spark, sf).select(
-        "ingest_id", *[t.recode_sequential(F.col(c), v).alias(c) for c, v in _CODED.items()]
+    return enc(spark, sf).selectExpr(
+        "ingest_id", *[f"{t.recode_sequential(c, v)} AS {c}" for c, v in _CODED.items()]
     )
 
 
@@ -75,8 +73,8 @@ def recode_sequential(spark, sf):
  lambda x: {sql_recode("x", dict(d.COMPLAINT_CODES))}), ';') AS complaint_codes FROM enc"""),
 )
 def recode_tokens(spark, sf):
-    return enc(spark, sf).select(
-        "ingest_id", t.recode_tokens(F.col("complaint_codes"), dict(d.COMPLAINT_CODES)).alias("complaint_codes")
+    return enc(spark, sf).selectExpr(
+        "ingest_id", t.recode_tokens("complaint_codes", dict(d.COMPLAINT_CODES)) + " AS complaint_codes"
     )
 
 
@@ -95,12 +93,12 @@ def _flags_sql(columns, source):
 
 @query("keyword_flags", with_enc(_flags_sql(_FLAGGED, "enc")))
 def keyword_flags(spark, sf):
-    decoded = enc(spark, sf).select(
-        "ingest_id", *[t.recode_sequential(F.col(c), codes).alias(c) for c, codes, _ in _FLAGGED]
+    decoded = enc(spark, sf).selectExpr(
+        "ingest_id", *[f"{t.recode_sequential(c, codes)} AS {c}" for c, codes, _ in _FLAGGED]
     )
-    return decoded.select(
+    return decoded.selectExpr(
         "ingest_id",
-        *[t.keyword_flag(F.col(c), p).alias(name) for c, _, flags in _FLAGGED for name, p in flags.items()],
+        *[f"{t.keyword_flag(c, p)} AS {name}" for c, _, flags in _FLAGGED for name, p in flags.items()],
     )
 
 
@@ -109,8 +107,8 @@ def keyword_flags(spark, sf):
     "SELECT doc_id, " + ", ".join(f"{sql_flag('text', p)} AS {n}" for n, p in d.COMPLAINT_FLAGS.items()) + " FROM documents",
 )
 def keyword_flags_documents(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", *[t.keyword_flag(F.col("text"), p).alias(n) for n, p in d.COMPLAINT_FLAGS.items()]
+    return table(spark, sf, "documents").selectExpr(
+        "doc_id", *[f"{t.keyword_flag('text', p)} AS {n}" for n, p in d.COMPLAINT_FLAGS.items()]
     )
 
 
@@ -120,10 +118,10 @@ def keyword_flags_documents(spark, sf):
  CAST(CASE WHEN ecog_index BETWEEN 0 AND 4 THEN ecog_index + 1 END AS INT) AS ecog_rank FROM enc"""),
 )
 def ordered_category(spark, sf):
-    return enc(spark, sf).select(
+    return enc(spark, sf).selectExpr(
         "ingest_id",
-        t.ordered_label(F.col("ecog_index"), d.ECOG).alias("ecog_label"),
-        t.ordered_rank(F.col("ecog_index"), d.ECOG).alias("ecog_rank"),
+        t.ordered_label("ecog_index", d.ECOG) + " AS ecog_label",
+        t.ordered_rank("ecog_index", d.ECOG) + " AS ecog_rank",
     )
 
 
@@ -132,7 +130,7 @@ def ordered_category(spark, sf):
     with_enc("SELECT ingest_id, coalesce(regimen_a, regimen_b, regimen_c) AS treatment FROM enc"),
 )
 def first_present(spark, sf):
-    return enc(spark, sf).select("ingest_id", t.first_present(*map(F.col, _REGIMENS)).alias("treatment"))
+    return enc(spark, sf).selectExpr("ingest_id", t.first_present(*_REGIMENS) + " AS treatment")
 
 
 @query(
@@ -140,8 +138,8 @@ def first_present(spark, sf):
     with_registry("SELECT ingest_id, coalesce(cycle_start, cycle_cont, cycle_chemo) AS cycle FROM reg"),
 )
 def first_present_cycle(spark, sf):
-    cycles = [F.col(c) for c in ("cycle_start", "cycle_cont", "cycle_chemo")]
-    return registry_rows(spark, sf).select("ingest_id", t.first_present(*cycles).alias("cycle"))
+    cycle = t.first_present("cycle_start", "cycle_cont", "cycle_chemo")
+    return registry_rows(spark, sf).selectExpr("ingest_id", f"{cycle} AS cycle")
 
 
 # Rules on the notes of events, some with a wildcard, the last one never reached.
@@ -159,8 +157,8 @@ _EVENT_RULES = [
     with_enc(f"SELECT ingest_id, {sql_cascade('regimen_a', 'notes', _EVENT_RULES)} AS treatment FROM enc"),
 )
 def rule_cascade_events(spark, sf):
-    value = t.rule_cascade(F.col("regimen_a"), F.col("notes"), _EVENT_RULES)
-    return enc(spark, sf).select("ingest_id", value.alias("treatment"))
+    value = t.rule_cascade("regimen_a", "notes", _EVENT_RULES)
+    return enc(spark, sf).selectExpr("ingest_id", f"{value} AS treatment")
 
 
 _FIRST = "coalesce(regimen_start, regimen_cont, regimen_chemo)"
@@ -171,9 +169,9 @@ _FIRST = "coalesce(regimen_start, regimen_cont, regimen_chemo)"
     with_registry(f"SELECT ingest_id, {sql_cascade(_FIRST, 'notes', d.NOTE_RULES)} AS treatment FROM reg"),
 )
 def rule_cascade(spark, sf):
-    given = F.coalesce("regimen_start", "regimen_cont", "regimen_chemo")
-    return registry_rows(spark, sf).select(
-        "ingest_id", t.rule_cascade(given, F.col("notes"), d.NOTE_RULES).alias("treatment")
+    given = t.first_present("regimen_start", "regimen_cont", "regimen_chemo")
+    return registry_rows(spark, sf).selectExpr(
+        "ingest_id", t.rule_cascade(given, "notes", d.NOTE_RULES) + " AS treatment"
     )
 
 
@@ -182,9 +180,8 @@ def rule_cascade(spark, sf):
     f"SELECT doc_id, {sql_cascade('NULL', 'text', d.NOTE_RULES)} AS treatment FROM documents",
 )
 def rule_cascade_documents(spark, sf):
-    none = F.lit(None).cast("string")
-    return table(spark, sf, "documents").select(
-        "doc_id", t.rule_cascade(none, F.col("text"), d.NOTE_RULES).alias("treatment")
+    return table(spark, sf, "documents").selectExpr(
+        "doc_id", t.rule_cascade("string(NULL)", "text", d.NOTE_RULES) + " AS treatment"
     )
 
 
@@ -200,10 +197,10 @@ def _maintenance(notes):
 )
 def plan_fill(spark, sf):
     def filled(notes):
-        return t.rule_cascade(_plan(), F.col("notes"), _maintenance(notes), ignore_case=True)
+        return t.rule_cascade(_plan(), "notes", _maintenance(notes), ignore_case=True)
 
-    return registry_rows(spark, sf).select(
+    return registry_rows(spark, sf).selectExpr(
         "ingest_id",
-        filled(d.MAINTENANCE_NOTES).alias("remission_plan"),
-        filled(d.MAINTENANCE_NOTES_INTENT).alias("remission_plan_intent"),
+        filled(d.MAINTENANCE_NOTES) + " AS remission_plan",
+        filled(d.MAINTENANCE_NOTES_INTENT) + " AS remission_plan_intent",
     )

@@ -11,7 +11,8 @@ from cohortline.plans import dictionaries as d
 
 def apply(spark, schema, rows, *exprs):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + schema)
-    out = df.select("i", *[e.alias(f"o{k}") for k, e in enumerate(exprs)]).orderBy("i").collect()
+    columns = [F.expr(e) if isinstance(e, str) else e for e in exprs]
+    out = df.select("i", *[c.alias(f"o{k}") for k, c in enumerate(columns)]).orderBy("i").collect()
     return [tuple(r)[1:] if len(exprs) > 1 else r[1] for r in out]
 
 
@@ -25,8 +26,8 @@ def test_missing_text_matches_nothing(spark):
         spark,
         "s string",
         [("x BONE pain",), (None,), ("bone\npain",)],
-        t.text_match(F.col("s"), "bone pain", ignore_case=True),
-        t.text_match(F.col("s"), "bone.pain"),
+        t.text_match("s", "bone pain", ignore_case=True),
+        t.text_match("s", "bone.pain"),
     )
     assert out == [(True, False), (False, False), (False, True)]
 
@@ -34,7 +35,7 @@ def test_missing_text_matches_nothing(spark):
 @pytest.mark.parametrize("pattern", ["other|others", "(bone|back) pain", "k: 1."])
 def test_literal_search_equals_regex(spark, pattern):
     rows = [("The OTHERS",), ("back pain",), ("k: 1",), ("k: 12",), ("BONE PAIN",), (None,)]
-    got = apply(spark, "s string", rows, t.text_match(F.col("s"), pattern, ignore_case=True))
+    got = apply(spark, "s string", rows, t.text_match("s", pattern, ignore_case=True))
     want = apply(spark, "s string", rows, F.coalesce(F.col("s").rlike("(?is)" + pattern), F.lit(False)))
     assert got == want
 
@@ -130,15 +131,15 @@ def test_age_and_survival_time(spark):
 def test_recode_exact(spark):
     out = apply(
         spark, "s string", [("DECEASED",), ("deceased",), ("Alive",), (None,)],
-        t.recode_exact(F.col("s"), d.OUTCOMES),
+        t.recode_exact("s", d.OUTCOMES),
     )
     assert out == ["Deceased", "Deceased", "Alive", None]
     out = apply(
-        spark, "s string", [("LL",), ("BILATERAL LL",), ("ll",)], t.recode_exact(F.col("s"), d.SWELLING_SITES)
+        spark, "s string", [("LL",), ("BILATERAL LL",), ("ll",)], t.recode_exact("s", d.SWELLING_SITES)
     )
     assert out == ["Lower Limb", "Bilateral Swelling", "ll"]
     out = apply(
-        spark, "s string", [("1",), ("15",), ("2;7",), ("9",), (None,)], t.recode_exact(F.col("s"), d.REGIMENS)
+        spark, "s string", [("1",), ("15",), ("2;7",), ("9",), (None,)], t.recode_exact("s", d.REGIMENS)
     )
     assert out == ["VTD", "Others", "TD", "9", None]
 
@@ -149,8 +150,8 @@ def test_recode_sequential_and_tokens(spark):
         spark,
         "s string",
         rows,
-        t.recode_sequential(F.col("s"), d.COMPLAINT_CODES),
-        t.recode_tokens(F.col("s"), dict(d.COMPLAINT_CODES)),
+        t.recode_sequential("s", d.COMPLAINT_CODES),
+        t.recode_tokens("s", dict(d.COMPLAINT_CODES)),
     )
     assert out == [
         ("Bone Pain;Fatigue", "Bone Pain;Fatigue"),
@@ -167,17 +168,17 @@ def test_recode_sequential_and_tokens(spark):
 def test_flags(spark):
     rows = [("BONE pain",), ("Fatique",), ("mother",), (None,)]
     names = ["bone_pain", "fatigue", "others_complaint"]
-    out = apply(spark, "s string", rows, *[t.keyword_flag(F.col("s"), d.COMPLAINT_FLAGS[n]) for n in names])
+    out = apply(spark, "s string", rows, *[t.keyword_flag("s", d.COMPLAINT_FLAGS[n]) for n in names])
     assert out == [("Yes", "No", "No"), ("No", "Yes", "No"), ("No", "No", "Yes"), ("No", "No", "No")]
     rows = [("Upper Limb",), ("None",)]
     for flags, want in ((d.PAIN_FLAGS, [("Yes", "Yes"), ("No", "No")]), (d.PAIN_FLAGS_INTENT, [("Yes", "No"), ("No", "Yes")])):
-        got = apply(spark, "s string", rows, *[t.keyword_flag(F.col("s"), flags[n]) for n in ("upper_limb", "no_pain_site")])
+        got = apply(spark, "s string", rows, *[t.keyword_flag("s", flags[n]) for n in ("upper_limb", "no_pain_site")])
         assert got == want
 
 
 def test_ordered_category(spark):
     rows = [(0,), (4,), (5,), (None,)]
-    out = apply(spark, "x int", rows, t.ordered_label(F.col("x"), d.ECOG), t.ordered_rank(F.col("x"), d.ECOG))
+    out = apply(spark, "x int", rows, t.ordered_label("x", d.ECOG), t.ordered_rank("x", d.ECOG))
     assert out == [("Normal", 1), ("bedridden 100%", 5), (None, None), (None, None)]
 
 
@@ -190,16 +191,29 @@ def test_rule_cascade(spark):
         (None, "CT THALIDOMIDE\nnow"),
         (None, None),
     ]
-    out = apply(spark, "o string, n string", rows, t.rule_cascade(F.col("o"), F.col("n"), d.NOTE_RULES))
+    out = apply(spark, "o string, n string", rows, t.rule_cascade("o", "n", d.NOTE_RULES))
     assert out == ["TD", None, "VD", None, "T", None]
 
 
 def test_remission_plan(spark):
     rows = [("1",), ("2",), ("3",), ("4",), ("stop all medications",)]
-    plan = t.recode_exact(t.recode_exact(F.col("p"), d.REMISSION_CODES), d.REMISSION_PLANS)
+    plan = t.recode_exact(t.recode_exact("p", d.REMISSION_CODES), d.REMISSION_PLANS)
     m = "On Maintenance Therapy"
     assert apply(spark, "p string", rows, plan) == ["Drug Holiday", "Drug Holiday", m, m, "stop all medications"]
     rows = [(None, "for MAINTENANCE"), (None, "IN REMISSION"), ("x", "maintenance")]
     for notes, want in ((d.MAINTENANCE_NOTES, [m, None, "x"]), (d.MAINTENANCE_NOTES_INTENT, [m, m, "x"])):
-        filled = t.rule_cascade(F.col("p"), F.col("n"), [(notes, m)], ignore_case=True)
+        filled = t.rule_cascade("p", "n", [(notes, m)], ignore_case=True)
         assert apply(spark, "p string, n string", rows, filled) == want
+
+
+def test_rule_guard_leaves_out_no_match(spark):
+    guard = t._guard([p for p, _ in d.NOTE_RULES], False)
+    assert len(guard) < 20
+    for pattern, _ in d.NOTE_RULES:
+        assert any(g in pattern.rstrip(".") for g in guard)
+    assert t._guard(["a(b|c)"], False) is None
+    assert t._words("others|other", True) == ["other"]
+    rows = [(None, f"x {p.rstrip('.')} y") for p, _ in d.NOTE_RULES] + [(None, "nothing of that")]
+    plain = "coalesce(o, CASE " + " ".join(f"WHEN n RLIKE {t.quoted('(?s)' + p)} THEN {t.quoted(v)}" for p, v in d.NOTE_RULES) + " END)"
+    got = apply(spark, "o string, n string", rows, t.rule_cascade("o", "n", d.NOTE_RULES), plain)
+    assert all(a == b for a, b in got) and got[-1] == (None, None)
