@@ -51,7 +51,11 @@ def text_match(text: str, pattern: str, ignore_case: bool = False) -> str:
 
 
 def _guard(patterns: Sequence[str], ignore_case: bool) -> list[str] | None:
-    """Few fragments such that any text that matches any pattern contains one of them."""
+    """Few fragments such that any text that matches any pattern contains one of them.
+
+    None starts with a blank, and capitals are preferred: substring search is slow where the
+    first character is common.
+    """
     needed: set[str] = set()
     for pattern in patterns:
         words = _words(pattern, ignore_case)
@@ -64,9 +68,14 @@ def _guard(patterns: Sequence[str], ignore_case: bool) -> list[str] | None:
     chosen = []
     while needed:
         counts = Counter(
-            g for w in needed for g in {w[i : i + _FRAGMENT] for i in range(max(1, len(w) - _FRAGMENT + 1))}
+            g
+            for w in needed
+            for g in {w[i : i + _FRAGMENT] for i in range(max(1, len(w) - _FRAGMENT + 1))}
+            if g[:1] != " "
         )
-        best = max(sorted(counts), key=counts.__getitem__)
+        if not counts:
+            return None
+        best = max(sorted(counts), key=lambda g: (counts[g], g[:1].isupper()))
         chosen.append(best)
         needed = {w for w in needed if best not in w}
     return chosen if all(chosen) else None
