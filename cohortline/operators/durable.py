@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from the copy.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set first if nobody has.
 
-    The folder is the session's `spark.checkpoint.dir`, which the cluster points at shared
-    storage.  Only a local session without one gets a temporary folder.
+    It is the session's `spark.checkpoint.dir`, which the cluster points at shared storage.
+    Only a local session without one gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +22,15 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="cohortline-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and go on from the copy."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name beside the checkpoints, for a table written and read again."""
+    return f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"

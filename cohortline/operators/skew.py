@@ -101,6 +101,8 @@ def with_neighbours(
     chunk's edge comes from two small tables: days per key (bounded by the calendar) and
     blocks per day (bounded by the range of row ids).
     """
+    if dict(df.dtypes)[date] != "date":
+        raise TypeError(f"{date} must be a DATE: the calendar bounds what is kept per key")
     if hot is None:
         hot = hot_keys(df, [key], hot_rows)
     shown = F.struct(F.col(date).alias("date"), *[F.col(v) for v in values])

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import frames, longitudinal as lg, quality as q
+from ..operators.durable import scratch_folder
 from ..plans.bindings import enc
+from ..sources import encounters as src
 from .base import query, with_enc
 
 _DATES = ["iv_date", "e_date", "encounter_type", "dx_date", "death_date"]
@@ -104,3 +107,16 @@ def negative_duration(spark, sf):
         "ingest_id", "hosp_id", F.datediff("e_date", "dx_date").cast("long").alias("days")
     )
     return q.negative_duration(rows, "days")
+
+
+_CSV = {"Hosp_ID": "hosp_id", "Pat_Name": "pat_name", "E_Date": "e_date", "Encounter_Type": "encounter_type", "HgB_g/dl": "hgb"}
+
+
+@query("csv_round_trip", with_enc("SELECT hosp_id, pat_name, e_date, encounter_type, hgb FROM enc"))
+def csv_round_trip(spark, sf):
+    """Write encounters as the registry's CSV export, scan it again and type it."""
+    rows = enc(spark, sf).withColumn("e_date", F.date_format("e_date", "M/d/yyyy"))
+    path = scratch_folder(spark) + "/encounters"
+    src.write_snapshot(rows.select(*[F.col(c).alias(name) for name, c in _CSV.items()]), path, "csv")
+    casts = {"hosp_id": "bigint", "hgb": "double", "e_date": dates.parse_date(F.col("e_date"))}
+    return src.read_encounters(spark, path, list(_CSV), _CSV, casts).drop("ingest_id")
