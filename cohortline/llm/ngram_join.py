@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.durable import durable
 from .blobs import SCHEMA, bucket_count, bucket_of, scatter, unpack_all
 from .graph import components
-from .words import encoded, mix, set_key, shingle_sets
+from .words import encoded, mix, set_key, shingle_sets, slices
 
 #: Members of a region whose pairs are listed; larger regions are joined by document pivots.
 SMALL_REGION = 64
@@ -57,7 +57,7 @@ def _profiles(n_words: int):
     )
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, sketches, new = [], [], [], {}
             for values in shingle_sets(encoded(batch.column("text").to_pylist()), n_words):
                 key = set_key(values)
@@ -73,7 +73,7 @@ def _profiles(n_words: int):
                 [pa.array(np.zeros(rows, np.int8)), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())],
                 schema=schema,
             )
-            # A third occurrence in one batch is worth reporting; the reports are added up over all tasks.
+            # A third occurrence in one slice is worth reporting; the reports are added up over all tasks.
             value, count = np.unique(np.concatenate(list(new.values())), return_counts=True)
             value, count = value[count >= 3].view(np.int64), count[count >= 3]
             rows = len(value)
@@ -105,7 +105,7 @@ class _Frequent:
 def _windows(n_words: int, share: Fraction, n_buckets: int, frequent):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_frequent = _Frequent(np.frombuffer(frequent.value, dtype=np.uint64))
-        for batch in batches:
+        for batch in slices(batches):
             pivots, keys, sizes, ranks, seen = [], [], [], [], set()
             for values in shingle_sets(encoded(batch.column("text").to_pylist()), n_words):
                 n, key = len(values), set_key(values)
@@ -180,7 +180,7 @@ def _possible(share: Fraction):
 
 def _sets(n_words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, blobs = [], []
             found = shingle_sets(encoded(batch.column("text").to_pylist()), n_words)
             for key, values in zip(batch.column("key").to_pylist(), found):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.durable import durable
 from .blobs import SCHEMA, bucket_count, bucket_of, pack, scatter, unpack, unpack_all
-from .words import CHUNK_BYTES, encoded, mix
+from .words import CHUNK_BYTES, encoded, mix, slices
 
 #: Bytes in an anchor, windows in a slice of a long text, and the difference cover.
 K = 16
@@ -84,6 +84,7 @@ class Runs:
         starts = np.flatnonzero(np.cumsum(inside[: len(least)], dtype=np.int8))
         at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
+        del h, h1, inside
         self.first, self.anchor = starts[edge], at[edge]
         self.last = starts[np.concatenate((edge[1:], [len(at)])) - 1] if len(at) else self.first
         self.text = np.searchsorted(self.begin, self.first, side="right") - 1
@@ -114,7 +115,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 def _dealt_runs(length: int, n_buckets: int):
     def dealt_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, found = _ids(batch), []
             for part in _pieces(encoded(batch.column("text").to_pylist()), length):
                 runs = Runs([x for _, _, x in part], length)
@@ -182,7 +183,7 @@ def _asked_runs(length: int, n_buckets: int):
     width = length + lead
 
     def asked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, asks = _ids(batch), [unpack(x, ("u8",))[0] for x in batch.column("asks").to_pylist()]
             out = []
             for part in _pieces(encoded(batch.column("text").to_pylist()), length):
@@ -316,7 +317,7 @@ def _cut(length: int, names: list[str], with_text: bool):
         return np.cumsum(step[:-1]) > 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             lengths, removed, spans, digests, starts, ends, kept = [], [], [], [], [], [], []
             for text, first, second in zip(encoded(batch.column("_text").to_pylist()), batch.column("_whole").to_pylist(), batch.column("_part").to_pylist()):
                 rest, gone = text, None
@@ -367,16 +368,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_runs = 2 * total // (length - K + 2) + 1
-    n_homes = bucket_count(spark, n_runs // 5, 500_000)
+    n_homes = bucket_count(spark, n_runs // 5, 300_000)
 
-    dealt = texts.mapInArrow(_dealt_runs(length, bucket_count(spark, n_runs, 500_000)), SCHEMA)
+    dealt = texts.mapInArrow(_dealt_runs(length, bucket_count(spark, n_runs, 300_000)), SCHEMA)
     homes = dealt.groupBy("bucket").applyInArrow(_settled(n_homes), SCHEMA)
     found = durable(homes.groupBy("bucket").applyInArrow(_by_document, _BY_DOCUMENT))
 
     own_id = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
     asks = found.where("asks is not null").select("mark_id", "asks")
     asked = texts.join(asks, own_id == F.col("mark_id")).select("doc_id", "text", "asks")
-    compared = asked.mapInArrow(_asked_runs(length, bucket_count(spark, n_runs // 8, 60_000)), SCHEMA)
+    compared = asked.mapInArrow(_asked_runs(length, bucket_count(spark, n_runs // 8, 40_000)), SCHEMA)
     compared = compared.groupBy("bucket").applyInArrow(_compared(length, n_homes), SCHEMA)
     parts = durable(compared.groupBy("bucket").applyInArrow(_by_document, _BY_DOCUMENT))
 

@@ -11,9 +11,13 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are turned into arrays at a time. One longer text is still taken whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+#: Bytes of text that a task works on between two outputs.
+SLICE_BYTES = 8_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _EVEN = np.uint64(0x2545F4914F6CDD1D)
 
@@ -67,6 +71,16 @@ def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield first, part
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `limit` bytes of a column, so that memory doesn't depend on the length of texts."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        edge = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else []
+        for a, b in zip(edge[:-1], edge[1:]):
+            yield batch.slice(int(a), int(b - a))
+
+
 def encoded(texts: Iterable[str | None]) -> list[bytes]:
     """UTF-8 of each text; a missing text is empty."""
     return [(x or "").encode("utf-8", "surrogatepass") for x in texts]
