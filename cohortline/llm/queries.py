@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_lexicon, ngram_join, packing, suffix_dedup
+from . import bpe_lexicon, ngram_join, packing, quality_rules, site_classifier, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_lexicon")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.encode(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")

@@ -89,19 +89,27 @@ def encoded(texts: Iterable[str | None]) -> list[bytes]:
 class Words:
     """The words of a list of texts. `first[i]:first[i + 1]` are the words of text i."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, letters: bool = False):
+        """`letters`: words are runs of ASCII letters and of bytes from 0x80 on instead."""
         joined = b" ".join(texts) + b" "
         self.data = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.text_start = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
         self.text_end = self.text_start + lengths
         blank = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
+        if letters:
+            blank = ~((self.data >= 128) | (((self.data | 32) >= 97) & ((self.data | 32) <= 122)))
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         if len(blank) and not blank[0]:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[0::2], edge[1::2]
         self.first = np.concatenate((np.searchsorted(self.starts, self.text_start), [len(self.starts)]))
 
+    def sums(self, marks: np.ndarray) -> np.ndarray:
+        """Marked bytes of each text."""
+        total = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))
+        return total[self.text_end] - total[self.text_start]
+
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
 
