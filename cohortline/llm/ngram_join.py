@@ -10,8 +10,8 @@ first level are therefore the shingles themselves (as singleton sets), in one gl
   every linked pair meets in the region of its first common pivot.
 * Shingles that many documents have come last in the order. They are found by counts of every task's batches over all rows. The order
   decides which region a pair meets in, never whether it does.
-* Small regions give the pairs that sizes, positions and 128 counts by hash allow; those are verified against the full sets.
-* Large regions hold the full sets of their members and are joined in turn by document pivots: exact distances to a few members, Voronoi
+* Small regions give the pairs that sizes, positions and 128 counts by hash allow; documents that such pairs connect form a region of their own.
+* These and the large regions hold the full sets of their members and are joined in turn by document pivots: exact distances to a few members, Voronoi
   cells by the nearest, and the cell also takes each document whose distance exceeds that to its own pivot by 2r or less. Cells recurse. A
   cell whose members are already connected is done. Where cells do not shrink, pivots are taken one by one instead, each with
   its distances to all others, until the rest is connected. A region too large for one task is cut into blocks, and each pair of blocks is
@@ -38,9 +38,9 @@ from .words import encoded, mix, set_key, shingle_sets, slices
 SMALL_REGION = 64
 #: Shingles of the members of a region that one task holds.
 TASK_SHINGLES = 2_000_000
-#: A shingle is put last in the order from so many documents on; no more of them than the second number are sent to all tasks (8 bytes
+#: A shingle is put last in the order from so many reported occurrences on; no more of them than the second number are sent to all tasks (8 bytes
 #: each, the most frequent). Either only shapes regions.
-FREQUENT = 16
+FREQUENT = 4
 FREQUENT_MOST = 300_000
 _SKETCH = 128
 _WINDOW = ("u8", "i8", "u4", "u4")
@@ -57,30 +57,32 @@ def _profiles(n_words: int):
     )
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n, keys, sketches, new = [], [], [], {}
-            for values in shingle_sets(encoded(batch.column("text").to_pylist()), n_words):
-                key = set_key(values)
-                counts = np.bincount((values & np.uint64(_SKETCH - 1)).astype(np.int64), minlength=_SKETCH)
-                n.append(len(values))
-                keys.append(key)
-                sketches.append(np.minimum(counts, 65535).astype("<u2").tobytes())
-                new.setdefault(key, values)
-            rows = len(n)
-            if not rows:
+        for batch in batches:
+            new: dict[int, np.ndarray] = {}
+            for part in slices([batch]):
+                n, keys, sketches = [], [], []
+                for values in shingle_sets(encoded(part.column("text").to_pylist()), n_words):
+                    key = set_key(values)
+                    counts = np.bincount((values & np.uint64(_SKETCH - 1)).astype(np.int64), minlength=_SKETCH)
+                    n.append(len(values))
+                    keys.append(key)
+                    sketches.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+                    new.setdefault(key, values)
+                zero = pa.array(np.zeros(len(n), np.int8))
+                columns = [zero, part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())]
+                yield pa.record_batch(columns, schema=schema)
+            if not new:
                 continue
-            yield pa.record_batch(
-                [pa.array(np.zeros(rows, np.int8)), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())],
-                schema=schema,
-            )
-            # A third occurrence in one slice is worth reporting; the reports are added up over all tasks.
-            value, count = np.unique(np.concatenate(list(new.values())), return_counts=True)
-            value, count = value[count >= 3].view(np.int64), count[count >= 3]
+            # What different sets of one batch share is reported; the reports are added up over all tasks.
+            every = np.sort(np.concatenate(list(new.values())))
+            new.clear()
+            start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])) if len(every) else np.empty(0, bool))
+            count = np.diff(np.concatenate((start, [len(every)])))
+            value, count = every[start[count > 1]].view(np.int64), count[count > 1]
             rows = len(value)
             nothing = pa.nulls(rows, pa.int64())
-            yield pa.record_batch(
-                [pa.array(np.ones(rows, np.int8)), nothing, pa.array(value), pa.array(count.astype(np.int64)), nothing, pa.nulls(rows, pa.binary())], schema=schema
-            )
+            columns = [pa.array(np.ones(rows, np.int8)), nothing, pa.array(value), pa.array(count.astype(np.int64)), nothing, pa.nulls(rows, pa.binary())]
+            yield pa.record_batch(columns, schema=schema)
 
     return profiles, "kind byte, doc_id long, text_hash long, n long, key long, sketch binary"
 
@@ -192,18 +194,6 @@ def _sets(n_words: int):
     return sets
 
 
-def _verified(share: Fraction):
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("members_a"), batch.column("members_b")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= _need(len(x) + len(y), share))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return verified
-
-
 class Region:
     """Sets of one region, joined exactly by document pivots. `links` is a spanning forest of the links found."""
 
@@ -334,33 +324,25 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = met.where("kind = 0").select("a", "b").distinct().join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
     pairs = durable(pairs.mapInArrow(_possible(share), "a long, b long"))
-    members = met.where("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("key"))
+    # Documents that chains of possible pairs connect form a region as well, so that a set is sent there once and not with every pair.
+    chains = components(pairs).select(F.lit(0).alias("kind"), F.col("component").alias("region"), F.col("node").alias("key"))
+    members = durable(met.where("kind = 1").select(F.lit(1).alias("kind"), F.col("a").alias("region"), F.col("b").alias("key")).union(chains))
 
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(members.select("key")).distinct()
-    wanted = wanted.join(classes.select("key", F.col("doc_id").alias("id"), "text_hash"), "key")
+    wanted = members.select("key").distinct().join(classes.select("key", F.col("doc_id").alias("id"), "text_hash"), "key")
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
     sets = durable(texts.select("key", "text").mapInArrow(_sets(words), "key long, members binary"))
 
-    def set_side(s: str) -> DataFrame:
-        return sets.select(F.col("key").alias(s), F.col("members").alias(f"members_{s}"))
-
-    by_pair = pairs.join(set_side("a"), "a").join(set_side("b"), "b").mapInArrow(_verified(share), "a long, b long")
-
-    sizes = members.join(classes.select("key", "n"), "key").groupBy("region").agg(F.ceil(F.sum("n") / F.lit(TASK_SHINGLES)).alias("blocks"))
+    by = ["kind", "region"]
+    sizes = members.join(classes.select("key", "n"), "key").groupBy(*by).agg(F.ceil(F.sum("n") / F.lit(TASK_SHINGLES)).alias("blocks"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     units = (
-        members.join(sizes, "region")
-        .select("region", "key", block.alias("block"), other.alias("other"))
-        .select("region", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    )
-    by_region = (
-        units.join(sets, "key")
-        .select("region", "low", "high", "key", "members")
-        .groupBy("region", "low", "high")
-        .applyInArrow(_region_links(share), "a long, b long")
+        members.join(sizes, by)
+        .select(*by, "key", block.alias("block"), other.alias("other"))
+        .select(*by, "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
-    linked = components(by_pair.union(by_region))
+    by_region = units.join(sets, "key").groupBy(*by, "low", "high").applyInArrow(_region_links(share), "a long, b long")
+    linked = components(by_region)
     # The component's smallest doc_id; its name so far is a set's key.
     named = linked.join(classes.select(F.col("key").alias("node"), "doc_id"), "node")
     named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("linked_id")), "component").select(F.col("node").alias("key"), "linked_id")
