@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from .words import slices
 WINDOW = 4096
 SHARD_TOKENS = 8_000_000
 #: Pieces of text between blanks whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _WORKER: dict = {}
 
 
@@ -51,17 +52,83 @@ def blank_parts(text: str | None) -> list[str]:
     return (text or "").replace("\n", " ").split(" ")
 
 
-class PartIds:
-    """Ids of texts by those of their parts, each encoded once as long as it is remembered."""
+#: What may follow a word of letters in a part that is put together from the ids of both, and words encoded as one string.
+_TRAILING = ".,;:!?&%$#*|()-"
+_TOGETHER = 1000
 
-    def __init__(self, path: str | None):
-        self.tokenizer = load_tokenizer(path)
-        self.forget()
 
-    def forget(self) -> None:
+class _Store:
+    """Sequences of ids by name, one behind the other."""
+
+    def __init__(self):
         self.place: dict[str, int] = {"": 0}
         self.ids, self.start = np.empty(0, np.uint32), np.zeros(2, np.int64)
 
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.start) - 1
+        self.place.update(zip(names, range(first, first + len(names))))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the places, one after the other, and their numbers."""
+        size = self.start[places + 1] - self.start[places]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.ids[np.repeat(self.start[places] - (upto - size), size) + np.arange(total)], size
+
+
+class PartIds:
+    """Ids of texts by those of their parts, each encoded once as long as it is remembered.
+
+    Where the tokenizer marks the ends of words, a part of letters with punctuation behind has the ids of the word in lower case and of the rest; words are
+    encoded many at a time and told apart by the marks, which is checked by their number. All other parts are encoded by themselves.
+    """
+
+    def __init__(self, path: str | None):
+        self.tokenizer = load_tokenizer(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for x, i in names.items() if x.endswith(suffix)]] = True
+        self.parts, self.words = _Store(), _Store()
+
+    def _alone(self, store: _Store, names: list[str]) -> None:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        if found:
+            store.add(names, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _learn_words(self, words: list[str]) -> None:
+        groups = [words[a : a + _TOGETHER] for a in range(0, len(words), _TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(group) and last[-1] == len(ids) - 1:
+                self.words.add(group, ids, np.diff(np.concatenate(([-1], last))))
+            else:
+                self._alone(self.words, group)
+
+    def _learn(self, parts: list[str]) -> None:
+        plain, rest = [], []
+        for x in parts:
+            letters = x.rstrip(_TRAILING)
+            # Lower case by character, as the tokenizer has it, differs from that of a string for one letter only.
+            if letters.isalpha() and (letters.isascii() or ("\u03a3" not in letters and is_normalized("NFC", letters) and letters.lower().isalpha())):
+                plain.append((x, letters.lower(), x[len(letters) :]))
+            else:
+                rest.append(x)
+        if not self.ends.any():
+            plain, rest = [], parts
+        known = self.words.place
+        self._learn_words(list({w for _, w, _ in plain if w not in known}))
+        self._alone(self.words, list({t for _, _, t in plain if t not in known}))
+        if plain:
+            places = np.fromiter((known[y] for _, w, t in plain for y in (w, t)), np.int64, 2 * len(plain))
+            ids, sizes = self.words.get(places)
+            self.parts.add([x for x, _, _ in plain], ids, sizes[0::2] + sizes[1::2])
+        self._alone(self.parts, rest)
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin; one more entry ends the last."""
         parts, counts = [], []
@@ -69,21 +136,14 @@ class PartIds:
             own = blank_parts(text)
             parts.extend(own)
             counts.append(len(own))
-        if len(self.place) > REMEMBERED:
-            self.forget()
-        new = [x for x in set(parts) if x not in self.place]
-        if new:
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            n = len(self.start) - 1
-            self.place.update(zip(new, range(n, n + len(new))))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
-            self.ids = np.concatenate([self.ids, *found])
-        at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
-        size = self.start[at + 1] - self.start[at]
+        if len(self.parts.place) > REMEMBERED:
+            self.parts = _Store()
+        if len(self.words.place) > REMEMBERED:
+            self.words = _Store()
+        self._learn([x for x in set(parts) if x not in self.parts.place])
+        ids, size = self.parts.get(np.fromiter(map(self.parts.place.__getitem__, parts), np.int64, len(parts)))
         total = np.concatenate(([0], np.cumsum(size)))
-        where = np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])
-        return self.ids[where], total[np.concatenate(([0], np.cumsum(counts)))]
+        return ids, total[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
 
 
 def _pieces(path: str | None, end_id: int, window: int, with_ids: bool):
