@@ -290,7 +290,7 @@ def _region_links(share: Fraction):
 
 
 def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_shingles, class_id (documents with an equal set share it), component_id.
+    """One row for each row of `docs`: doc_id, text_hash, n_shingles, class_id (documents with an equal set share it), component_id.
 
     ASCII letters are compared in lower case. component_id is the smallest doc_id that links of at least `similarity` reach, the
     document's own without links. A text without words has no shingles and no links; a missing text counts as one. A missing doc_id
@@ -349,20 +349,21 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = classes.select("key", F.col("doc_id").alias("own_id")).join(named, "key", "left")
     ids = ids.select("key", F.coalesce("linked_id", "own_id").alias("component"))
     return stats.join(ids, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("key").alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each group: the one with the smallest id, once. Documents without words all stay."""
-    found = durable(shingle_classes(docs, id_col, text_col, words, similarity))
-    gone = found.where(F.col("n_shingles") > 0).where(F.coalesce(F.col("component_id") != F.col("doc_id"), F.col("component_id").isNotNull()))
-    named = F.col(id_col).cast("long")
-    gone_id = gone.select(F.col("doc_id").alias("_gone_id")).distinct()
-    rest = docs.join(gone_id, named.eqNullSafe(F.col("_gone_id")), "left_anti")
-    again = found.where("n_shingles > 0").groupBy("doc_id", "class_id").count().where("count > 1").select(F.col("doc_id").alias("_again_id")).distinct()
-    again = again.join(gone_id, F.col("_again_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    found = durable(shingle_classes(docs, id_col, text_col, words, similarity).where("n_shingles > 0"))
+    # One text for an id within a group: texts that differ may have the same shingles.
+    least = found.groupBy("doc_id", "class_id").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("times"))
+    marked = found.join(least.withColumnsRenamed({"doc_id": "l_id", "class_id": "l_class"}), F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("class_id") == F.col("l_class")))
+    other = F.coalesce(F.col("component_id") != F.col("doc_id"), F.col("component_id").isNotNull()) | (F.col("text_hash") != F.col("least"))
+    gone = marked.where(other).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    again = marked.where(~other & (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
+    rest = docs.join(gone, own, "left_anti")
     if not again.take(1):
         return rest
-    repeated = rest.join(again, named.eqNullSafe(F.col("_again_id")), "left_semi")
-    return rest.join(again, named.eqNullSafe(F.col("_again_id")), "left_anti").union(repeated.dropDuplicates([id_col, text_col]))
+    return rest.join(again, own, "left_anti").union(rest.join(again, own, "left_semi").dropDuplicates([id_col, text_col]))

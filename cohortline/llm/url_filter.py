@@ -91,8 +91,8 @@ class Cascade:
     def add_membership(self, df: DataFrame, key: str, out: str) -> DataFrame:
         """`df` with a boolean column: whether the key is listed."""
         if self.listed is not None:
-            listed = self.listed.select(F.col("key").alias("_listed"))
-            return df.join(listed, F.col(key) == F.col("_listed"), "left").withColumn(out, F.col("_listed").isNotNull()).drop("_listed")
+            listed = self.listed.select(F.col("key").alias("_listed_key"))
+            return df.join(listed, F.col(key) == F.col("_listed_key"), "left").withColumn(out, F.col("_listed_key").isNotNull()).drop("_listed_key")
         verdict = F.lit(len(self.levels) % 2 == 1)  # of a key that passes every level
         for level in reversed(self.levels):
             verdict = F.when(~level.passes(F.col(key)), F.lit(level.number % 2 == 0)).otherwise(verdict)
