@@ -11,8 +11,9 @@ only ever holds arrays of the size of the covariate list.  Each Newton step is o
    of those times' weights.  What remains are products of the totals of step 1.
 
 Up to WIDE covariates the products are summed per time in step 1, in one pass over the rows.
-Beyond that a second pass sums them as cells of the non-zero covariates of each row, so the
-plan does not grow with the number of covariates and zeros of categories cost nothing.
+Beyond that a second pass sums them as cells of the non-zero covariates of each row, so zeros
+of categories cost nothing. The plan still grows with the number of covariates: it has a window
+sum and a term of the linear predictor for each, and an entry for each pair of them.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from .durable import durable
 from .ordered import SORTED_ROWS, order_cuts, running_totals
 from .survival import Z95
 
-MAX_LEVELS = 1000
-MAX_STEPS = 20
 STEP_TOL = 1e-9
 SINGULAR = 1e-9
 DIRECT_TERMS = 32
@@ -87,12 +86,13 @@ class CoxFit:
 
 
 def _level_deaths(df: DataFrame, cov: Covariate, died: Column) -> dict[str, int]:
-    """Levels of a category that occur, reference first, with their events."""
+    """Levels of a category that occur, reference first, with their events.
+
+    Each level becomes a column of the caller's plan, so the levels are those of a plan whatever their number.
+    """
     level = F.col(cov.col).cast("string")
-    rows = df.filter(level.isNotNull()).groupBy(level.alias("level")).agg(F.sum(died)).limit(MAX_LEVELS + 1)
+    rows = df.filter(level.isNotNull()).groupBy(level.alias("level")).agg(F.sum(died))
     found = {r[0]: r[1] for r in rows.collect()}
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{cov.col} has more than {MAX_LEVELS} levels; it is no category")
     order = [v for v in cov.levels or () if v in found]
     order += sorted(v for v in found if v not in order)
     if cov.baseline in order:
@@ -370,12 +370,14 @@ def coxph(
     ties: str = "efron",
     weight: str | None = None,
     sorted_rows: int = SORTED_ROWS,
+    max_steps: int = 20,
 ) -> CoxFit:
     """Fit a proportional-hazards model; rows with any missing value are left out.
 
     `weight` is a column of row counts.  A covariate column without variation or a combination
     of earlier ones gets no coefficient (NaN here, NULL in tables).  `converged` is false when
-    the steps do not settle, as for a level without events.
+    the steps do not settle within `max_steps` Newton steps, as for a level without events; a
+    step that cannot improve the likelihood leaves the last estimate.
     """
     d = design(df, time, status, covariates, weight, sorted_rows)
     beta = np.zeros(d.size)
@@ -384,7 +386,7 @@ def coxph(
     grid = np.ix_(kept, kept)
     score_test = float(score[kept] @ np.linalg.solve(info[grid], score[kept])) if kept else 0.0
     loglik, steps, converged = loglik0, 0, not kept
-    while kept and steps < MAX_STEPS and not converged:
+    while kept and steps < max_steps and not converged:
         try:
             step = np.linalg.solve(info[grid], score[kept])
         except np.linalg.LinAlgError:
@@ -393,15 +395,17 @@ def coxph(
             beta[kept] += step
             converged = True
             break
+        steps += 1
         for _ in range(10):
             trial = beta.copy()
             trial[kept] += step
             new = _evaluate(d, trial, ties)
-            steps += 1
             # Rounding moves the likelihood in its last digits once the steps are tiny.
             if new[0] >= loglik - 1e-10 * abs(loglik):
                 break
             step = step / 2
+        else:  # no step improves the likelihood: the last good estimate stays
+            break
         beta, (loglik, score, info) = trial, new
     coef = np.full(d.size, np.nan)
     coef[kept] = beta[kept]

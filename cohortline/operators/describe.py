@@ -40,10 +40,14 @@ def crosstab_counts(
     `levels` are the column levels; by default those that occur.
     """
     present = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-    counts = present.groupBy(F.col(row).alias("_row")).pivot(col, levels).count().na.fill(0)
-    return counts.unpivot("_row", counts.columns[1:], "column", "n").select(
-        F.col("_row").alias("row"), "column", "n"
-    )
+    cells = present.groupBy(F.col(row).alias("row"), F.col(col).cast("string").alias("column")).agg(F.count(F.lit(1)).alias("n"))
+    cells = durable(cells)
+    if levels is None:
+        columns = cells.agg(F.array_sort(F.collect_set("column"))).scalar()
+    else:
+        columns = F.array(*[F.lit(v).cast("string") for v in levels])
+    grid = cells.select("row").distinct().select("row", F.explode(columns).alias("column"))
+    return grid.join(cells, ["row", "column"], "left").na.fill(0, ["n"]).select("row", "column", "n")
 
 
 def six_number(df: DataFrame, col: str, sorted_rows: int = SORTED_ROWS) -> DataFrame:

@@ -153,8 +153,9 @@ def initial_visits(derived: DataFrame, intent: bool = False) -> DataFrame:
     """
     rows = frames.keep_label(derived, "encounter_type", "Initial")
     if intent:
-        first = rows.groupBy("hosp_id").agg(F.min("record_count").alias("record_count"))
-        rows = rows.join(first, ["hosp_id", "record_count"], "left_semi")
+        first = rows.groupBy(F.col("hosp_id").alias("_id")).agg(F.min("record_count").alias("_first"))
+        same = F.col("hosp_id").eqNullSafe(F.col("_id")) & F.col("record_count").eqNullSafe(F.col("_first"))
+        rows = rows.join(first, same, "left_semi")
     start, end = F.col("dx_date"), F.col("latest_encounter")
     return rows.withColumns(
         {

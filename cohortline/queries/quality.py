@@ -120,3 +120,42 @@ def csv_round_trip(spark, sf):
     src.write_snapshot(rows.select(*[F.col(c).alias(name) for name, c in _CSV.items()]), path, "csv")
     casts = {"hosp_id": "bigint", "hgb": "double", "e_date": dates.parse_date(F.col("e_date"))}
     return src.read_encounters(spark, path, list(_CSV), _CSV, casts).drop("ingest_id")
+
+
+_NOTES = {"Hosp_ID": "hosp_id", "Notes": "notes", "Plan": "plan"}
+
+
+@query(
+    "csv_quoted_round_trip",
+    with_enc("""SELECT row_number() OVER (ORDER BY ingest_id) - 1 AS ingest_id, hosp_id,
+ CASE ingest_id % 5 WHEN 0 THEN NULL ELSE notes || chr(10) || 'says "on TD, now" ok' END AS notes,
+ CASE WHEN ingest_id % 3 > 0 THEN remission_plan END AS plan FROM enc"""),
+)
+def csv_quoted_round_trip(spark, sf):
+    """Free text with line breaks, separators, quotes and quoted blanks, written as CSV and scanned again."""
+    note = F.concat("notes", F.lit('\nsays "on TD, now" ok'))
+    rows = enc(spark, sf).select(
+        F.col("ingest_id").alias("_order"),
+        F.col("hosp_id").alias("Hosp_ID"),
+        F.when(F.col("ingest_id") % 5 == 0, "").otherwise(note).alias("Notes"),
+        F.when(F.col("ingest_id") % 3 > 0, F.col("remission_plan")).alias("Plan"),
+    )
+    path = scratch_folder(spark) + "/notes"
+    src.write_snapshot(rows.repartitionByRange("_order").sortWithinPartitions("_order").drop("_order"), path, "csv")
+    return src.read_encounters(spark, path, list(_NOTES), _NOTES, {"hosp_id": "bigint"})
+
+
+@query(
+    "write_review",
+    with_enc("""SELECT hosp_id, pat_name, dx_date FROM enc WHERE hosp_id IN (
+ SELECT hosp_id FROM enc GROUP BY hosp_id HAVING count(DISTINCT dx_date) + max(CASE WHEN dx_date IS NULL THEN 1 ELSE 0 END) > 1)"""),
+)
+def write_review(spark, sf):
+    """The rows of patients with conflicting dates of diagnosis as a list for data entry, read back."""
+    rows = enc(spark, sf).select("hosp_id", "pat_name", F.date_format("dx_date", "M/d/yyyy").alias("dx_date"))
+    keys = q.keys_conflicting(rows, "hosp_id", "dx_date")
+    path = scratch_folder(spark) + "/review"
+    src.write_review(rows.join(keys.select("hosp_id"), "hosp_id", "left_semi"), path)
+    columns = ["hosp_id", "pat_name", "dx_date"]
+    casts = {"hosp_id": "bigint", "dx_date": dates.parse_date(F.col("dx_date"))}
+    return src.read_encounters(spark, path, columns, {}, casts).drop("ingest_id")

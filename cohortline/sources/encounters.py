@@ -18,6 +18,7 @@ def read_encounters(
     columns: Sequence[str],
     rename: Mapping[str, str],
     casts: Mapping[str, Column | str] | None = None,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Scan CSV files with a header into text columns, blank and `NA` cells as NULL.
 
@@ -25,12 +26,19 @@ def read_encounters(
     `casts` (a type name, or an expression over the renamed columns).  `ingest_id` numbers the
     rows from 0 in file order, files sorted by path, however the scan is split.  The result is
     a durable copy, because the numbers must not change when a plan is run again.
+
+    Quoted cells may hold separators, doubled quotes and line breaks; a quoted blank is missing too. A record with too many or too few cells
+    is an error. `line_breaks=False` is for exports known to have none inside cells: their files can be split.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.read.schema(schema)
         .options(
             header=True,
+            quote='"',
+            escape='"',
+            multiLine=line_breaks,
+            mode="FAILFAST",
             nullValue="NA",
             ignoreLeadingWhiteSpace=True,
             ignoreTrailingWhiteSpace=True,
@@ -38,7 +46,7 @@ def read_encounters(
         )
         .csv(path)
     )
-    renamed = [F.col(f"`{c}`").alias(rename.get(c, c)) for c in columns]
+    renamed = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(rename.get(c, c)) for c in columns]
     scan = durable(
         raw.select(
             *renamed,
@@ -66,8 +74,8 @@ def read_encounters(
 
 
 def write_review(df: DataFrame, path: str) -> None:
-    """A list for data entry: CSV with a header, missing as `NA`."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+    """A list for data entry: CSV with a header, missing as `NA`; quotes in quoted cells are doubled."""
+    df.write.mode("overwrite").options(header=True, nullValue="NA", quote='"', escape='"').csv(path)
 
 
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:

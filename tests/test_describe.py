@@ -60,3 +60,9 @@ def test_frequencies_and_rates(spark):
     assert [tuple(r) for r in both] == [("two", 3, 2, 2 / 3), ("x", 3, 2, 2 / 3)]
     assert tuple(ds.ratio(df, "a", "x", "y").first()) == (2, 1, 2.0)
     assert sorted(map(tuple, ds.share(df, "a").collect())) == [("x", 2, 2 / 3), ("y", 1, 1 / 3)]
+
+
+def test_crosstab_of_many_columns(spark):
+    df = spark.range(24_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS t", "cast(id % 12000 as string) AS v")
+    out = ds.crosstab_counts(df, "t", "v")
+    assert out.count() == 24_000 and out.agg({"n": "sum"}).first()[0] == 24_000

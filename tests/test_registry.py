@@ -144,3 +144,26 @@ def test_models(spark):
     assert table[0].term == "anemia=>=10"
     km = cl.survival_curve(initial)
     assert sv.km_at(km, [d.REPORT_MONTHS]).count() <= 1
+
+
+def test_quoted_cells_survive(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('k,notes,z\n1,"line one\nline two",a\n2,"says ""on TD, now"" ok",b\n3,"",c\n4,NA," d "\n')
+    got = [tuple(r) for r in src.read_encounters(spark, str(path), ["k", "notes", "z"], {}).orderBy("ingest_id").collect()]
+    assert got == [(0, "1", "line one\nline two", "a"), (1, "2", 'says "on TD, now" ok', "b"), (2, "3", None, "c"), (3, "4", None, "d")]
+
+
+def test_malformed_record_is_an_error(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("k,z\n1,a\n2,b,c\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        src.read_encounters(spark, str(path), ["k", "z"], {}).collect()
+
+
+def test_first_visits_of_a_missing_key(spark):
+    rows = [(None, 2, "Initial"), (None, 1, "Initial"), (7, 1, "Initial"), (7, 2, "Initial"), (8, 1, "Return")]
+    df = spark.createDataFrame(rows, "hosp_id long, record_count int, encounter_type string")
+    for name, kind in (("dx_date", "date"), ("latest_encounter", "date"), ("outcome", "string")):
+        df = df.withColumn(name, F.lit(None).cast(kind))
+    got = cl.initial_visits(df, intent=True).select("hosp_id", "record_count").collect()
+    assert sorted(map(tuple, got), key=str) == [(7, 1), (None, 1)]

@@ -242,3 +242,8 @@ def test_tied_sums_in_closed_form(spark):
         assert r.p1 == pytest.approx((share / left).sum(), rel=1e-8)
         assert r.q1 == pytest.approx((share / left**2).sum(), rel=1e-8)
         assert r.lg == pytest.approx(np.log(left).sum(), rel=1e-11)
+
+
+def test_encode_has_no_bound_on_levels(spark):
+    df = spark.range(3_000).selectExpr("cast(id % 1500 as string) AS v")
+    assert len(cox.encode(df, "v")) == 1_499
