@@ -35,6 +35,8 @@ _NONE = np.iinfo(np.int32).max
 # The splitting rule of the tokenizer file; white space has become spaces before.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
 _LETTERS = regex.compile(r"\p{L}+")
+#: Punctuation behind a word of letters that the splitting rule keeps as one run.
+_TRAILING = ".,;:!?&%$#*|()-"
 
 
 def _byte_symbols() -> list[str]:
@@ -212,7 +214,7 @@ class Lexicon:
     """A compiled lexicon, mapped from its file."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, dtype=np.int64, mode="r")
+        data = np.memmap(path, dtype=np.int64, mode="r").view(np.ndarray)
         self.root, n = int(data[0]), int(data[1])
         sizes, at, columns = data[2 : 2 + n].tolist(), 2 + n, []
         for size in sizes:
@@ -246,16 +248,29 @@ class Lexicon:
         return self.ids[self.start[place] : self.start[place + 1]].tolist()
 
 
+def _plain(part: str) -> tuple[str, str] | None:
+    """Letters in lower case and the punctuation behind them, where the tokenizer's rules do no more than that; else nothing."""
+    stem = part.rstrip(_TRAILING)
+    if not stem.isalpha():
+        return None
+    # Below U+0250 a letter is in normal form as it stands; lower case must not add a mark.
+    if not stem.isascii() and (max(stem) >= "\u0250" or not stem.lower().isalpha()):
+        return None
+    return stem.lower(), part[len(stem) :]
+
+
 class Encoder:
     """Ids of texts, part by part."""
 
     def __init__(self, merges: Merges, normal, lexicon: Lexicon | None):
         self.merges, self.normal, self.lexicon = merges, normal, lexicon
         self.special = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
+        self.decimal = [str(i) for i in range(len(merges.names))]
+        # Ids in decimal and decoded text of the lexicon's words met so far; never more than it holds.
+        self.frequent: dict[str, tuple[str, str]] = {"": ("", "")}
         self.forget()
 
     def forget(self) -> None:
-        self.count: dict[str, int] = {"": 0}
         self.shown: dict[str, str] = {"": ""}
         self.decoded: dict[str, str] = {"": ""}
 
@@ -272,33 +287,39 @@ class Encoder:
             out.extend([self.merges.special[piece]] if piece in self.merges.special else self._split(piece))
         return out
 
+    def _written(self, ids: Sequence[int]) -> tuple[str, str]:
+        return " ".join([self.decimal[i] for i in ids]), " ".join([self.merges.names[i] for i in ids])
+
+    def _words(self, words: Sequence[str]) -> dict[str, tuple[str, str]]:
+        """Ids in decimal and decoded text of words that are not in `frequent`, which gains those of the lexicon."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        place = self.lexicon.find(raw) if self.lexicon is not None else np.full(len(raw), -1)
+        for i in np.flatnonzero(place >= 0).tolist():
+            self.frequent[words[i]] = self._written(self.lexicon.sequence(place[i]))
+        unseen = np.flatnonzero(place < 0).tolist()
+        return {words[i]: self._written(ids) for i, ids in zip(unseen, self.merges.words([raw[i] for i in unseen]))}
+
     def learn(self, parts: Iterable[str]) -> None:
         """Encode the parts that are not remembered."""
-        if len(self.count) > REMEMBERED:
+        if len(self.shown) > REMEMBERED:
             self.forget()
-        new = [x for x in set(parts) if x not in self.count]
-        units = [self._units(x) for x in new]
-        words = list({u for own in units for u in own if isinstance(u, str)})
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        place = self.lexicon.find(raw) if self.lexicon is not None else np.full(len(raw), -1)
-        unseen = np.flatnonzero(place < 0)
-        ids = [self.lexicon.sequence(p) if p >= 0 else [] for p in place.tolist()]
-        for i, found in zip(unseen.tolist(), self.merges.words([raw[i] for i in unseen])):
-            ids[i] = found
-        of = dict(zip(words, ids))
-        names = self.merges.names
-        for part, own in zip(new, units):
-            all_ids = [i for u in own for i in (of[u] if isinstance(u, str) else (u,))]
-            self.count[part] = len(all_ids)
-            self.shown[part] = " ".join(map(str, all_ids))
-            self.decoded[part] = " ".join([names[i] for i in all_ids])
+        frequent = self.frequent
+        units = {x: _plain(x) or self._units(x) for x in parts if x not in self.shown}
+        rare = self._words(list({u for own in units.values() for u in own if isinstance(u, str) and u not in frequent}))
+        for part, own in units.items():
+            found = [self._written([u]) if isinstance(u, int) else frequent.get(u) or rare[u] for u in own if u != ""]
+            if len(found) == 1:
+                self.shown[part], self.decoded[part] = found[0]
+            else:
+                self.shown[part], self.decoded[part] = " ".join([x for x, _ in found]), " ".join([x for _, x in found])
 
     def texts(self, texts: Sequence[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids in decimal joined by spaces, decoded text) of each."""
         parts = [blank_parts(x) for x in texts]
         self.learn({x for own in parts for x in own})
         for own in parts:
-            yield sum(map(self.count.__getitem__, own)), " ".join(filter(None, map(self.shown.__getitem__, own))), " ".join(filter(None, map(self.decoded.__getitem__, own)))
+            ids = " ".join(filter(None, map(self.shown.__getitem__, own)))
+            yield (ids.count(" ") + 1 if ids else 0), ids, " ".join(filter(None, map(self.decoded.__getitem__, own)))
 
 
 def _counted(tokenizer: str | None):
@@ -309,7 +330,8 @@ def _counted(tokenizer: str | None):
                 parts.update((text or "").lower().split())
             words: Counter = Counter()
             for part, n in parts.items():
-                for word in _LETTERS.findall(part):
+                stem = part.rstrip(_TRAILING)
+                for word in (stem,) if stem.isascii() and stem.isalpha() else _LETTERS.findall(part):
                     words[word] += n
             yield pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
