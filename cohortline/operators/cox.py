@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .durable import durable
-from .ordered import SORTED_ROWS, order_cuts, running_totals
+from .ordered import SORTED_ROWS, count_ranges, running_totals
 from .survival import Z95
 
 STEP_TOL = 1e-9
@@ -58,7 +58,7 @@ class Design:
     n: int
     n_event: int
     event_totals: np.ndarray
-    cuts: list[float]
+    ranges: int
 
     @property
     def size(self) -> int:
@@ -164,8 +164,8 @@ def design(
         "w",
         F.array(*values).alias("x"),
     )
-    cuts = order_cuts(rows.select("time").distinct(), "time", sorted_rows)
-    return Design(rows, columns, terms, n, n_event, np.array(event_totals, dtype=float), cuts)
+    ranges = count_ranges(rows.select("time").distinct(), sorted_rows)
+    return Design(rows, columns, terms, n, n_event, np.array(event_totals, dtype=float), ranges)
 
 
 def _linear(beta: Sequence[float]) -> str:
@@ -252,10 +252,10 @@ def _risk_sets(d: Design, beta: Sequence[float], ties: str, clock: bool = False,
     if clock:
         totals["n"] = "n_risk"
     by_time = parts.groupBy("time").agg(*[F.expr(f"sum({v}) AS {n}") for n, v in sums.items()])
-    at_risk = running_totals(by_time, "time", totals, cuts=d.cuts, descending=True)
+    at_risk = running_totals(by_time, "time", totals, ranges=d.ranges, descending=True)
     if clock:
         at_risk = at_risk.selectExpr("*", "if(m < n_risk, log1p(-m / n_risk), 0D) AS fall")
-        at_risk = running_totals(at_risk, "time", {"fall": "fallen"}, cuts=d.cuts)
+        at_risk = running_totals(at_risk, "time", {"fall": "fallen"}, ranges=d.ranges)
         at_risk = at_risk.selectExpr("*", "1 - exp(fallen - fall) AS g")
     else:
         at_risk = at_risk.selectExpr("*", "1D AS g")
@@ -276,7 +276,7 @@ def _cells(d: Design, beta, ties: str, powers: Sequence[int], clock: bool) -> Da
     size, cross = d.size + 1, d.size <= WIDE
     times = _risk_sets(d, beta, ties, clock, cross)
     times = times.selectExpr("*", *[f"p0 * pow(g, {k}) AS h{k}" for k in powers])
-    times = running_totals(times, "time", {f"h{k}": f"a{k}" for k in powers}, cuts=d.cuts)
+    times = running_totals(times, "time", {f"h{k}": f"a{k}" for k in powers}, ranges=d.ranges)
     product = "q0 * s[i] * s[j] - q1 * (s[i] * e[j] + e[i] * s[j]) + q2 * e[i] * e[j]"
     product = f"if(i > 0 AND m > 0, {product}, 0D)"
     places = f"array({', '.join(f'struct({i} AS i, {j} AS j)' for i, j in [*_upper(size), (-1, 0)])})"
@@ -293,7 +293,7 @@ def _cells(d: Design, beta, ties: str, powers: Sequence[int], clock: bool) -> Da
 
     # Many covariates: products of the non-zero ones, row by row, instead of all per time.
     spread = times.select("time", "g", "p1", *[f"a{k}" for k in powers])
-    if not d.cuts:  # so at most SORTED_ROWS distinct times
+    if d.ranges == 1:  # so at most SORTED_ROWS distinct times
         spread = F.broadcast(spread)
     present = "filter(transform(x, (v, n) -> struct(n, v)), q -> q.v <> 0)"
     products = """flatten(transform(present, a -> transform(
@@ -534,7 +534,7 @@ def concordance(fit: CoxFit, sorted_rows: int = SORTED_ROWS) -> float | None:
     )
     scored = durable(scored)
     scores = durable(scored.select("eta").distinct().withColumn("one", F.lit(1).cast("long")))
-    ranks = running_totals(scores, "eta", {"one": "rank"}, cuts=order_cuts(scores, "eta", sorted_rows))
+    ranks = running_totals(scores, "eta", {"one": "rank"}, ranges=count_ranges(scores, sorted_rows))
     places = max(int(scores.count() - 1).bit_length(), 1)
     ranked = scored.join(ranks.select("eta", (F.col("rank") - 1).alias("rank")), "eta")
     # Place -1 keeps whole ranks together: the pairs tied in the score.
@@ -559,7 +559,7 @@ def concordance(fit: CoxFit, sorted_rows: int = SORTED_ROWS) -> float | None:
         ],
     )
     later = running_totals(
-        by_time, "time", {"a0": "from0", "a1": "from1"}, ["place", "above"], fit.design.cuts, descending=True
+        by_time, "time", {"a0": "from0", "a1": "from1"}, ["place", "above"], fit.design.ranges, descending=True
     )
     # Comparable with an event: every later time, and those censored at the same time.
     after = [F.col(f"from{s}") - F.col(f"a{s}") + F.col(f"k{s}") for s in (0, 1)]
@@ -602,8 +602,6 @@ def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     d = fit.design
     means = _risk_sets(d, fit.beta, fit.ties).filter("m > 0")
     means = means.selectExpr("time", "transform(s, (v, i) -> (v * p0 - e[i] * p1) / m) AS mean")
-    if not d.cuts:  # so at most SORTED_ROWS distinct times
-        means = F.broadcast(means)
     events = d.rows.filter("status = 1").join(means, "time")
     events = events.selectExpr("time", "w AS n", "transform(x, (v, i) -> v - mean[i]) AS r")
 

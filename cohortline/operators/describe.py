@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .durable import durable
-from .ordered import SORTED_ROWS, order_cuts, running_totals
+from .ordered import SORTED_ROWS, count_ranges, running_totals
 
 
 def freq(df: DataFrame, col: str) -> DataFrame:
@@ -59,8 +59,7 @@ def six_number(df: DataFrame, col: str, sorted_rows: int = SORTED_ROWS) -> DataF
     counts = durable(df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k")))
     n = counts.agg(F.sum(F.when(F.col("v").isNotNull(), F.col("k")))).first()[0] or 0
     present = counts.filter(F.col("v").isNotNull())
-    cuts = order_cuts(present, "v", sorted_rows)
-    ranked = running_totals(present, "v", {"k": "upto"}, cuts=cuts)
+    ranked = running_totals(present, "v", {"k": "upto"}, ranges=count_ranges(present, sorted_rows))
 
     def at(share: float) -> Column:
         place = (max(n, 1) - 1) * share
@@ -130,5 +129,5 @@ def ratio(df: DataFrame, col: str, a, b) -> DataFrame:
 
 def share(df: DataFrame, col: str) -> DataFrame:
     """(value, n, share) of the present values of a column, e.g. a coded age or remission state."""
-    total = df.agg(F.count(col)).first()[0]
-    return freq(df, col).withColumn("share", F.col("n") / F.lit(total))
+    counts = freq(df, col)
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())

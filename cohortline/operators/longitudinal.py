@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import day_gap
 from ..functions.nulls import known
-from .skew import HOT_ROWS, attach, hot_keys, with_group_values, with_neighbours
+from .skew import HOT_ROWS, Hot, attach, hot_keys, with_group_values, with_neighbours
 
 
 def fill_from_group_min(
@@ -16,7 +16,7 @@ def fill_from_group_min(
     key: str,
     target: str,
     source: str | None = None,
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """A missing `target` takes the key's minimum of `source` (by default of itself)."""
@@ -25,7 +25,7 @@ def fill_from_group_min(
 
 
 def harmonise_to_min(
-    df: DataFrame, key: str, col: str, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, col: str, hot: Hot | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Every present value becomes the key's minimum; missing stays missing."""
     marked = with_group_values(df, [key], {"_min": F.min(col)}, hot, hot_rows)
@@ -37,7 +37,7 @@ def group_max(
     key: str,
     col: str,
     out: str,
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The key's maximum of `col` on every row."""
@@ -45,7 +45,7 @@ def group_max(
 
 
 def group_count(
-    df: DataFrame, key: str, out: str, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, out: str, hot: Hot | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """The key's number of rows on every row."""
     return with_group_values(df, [key], {out: F.count(F.lit(1))}, hot, hot_rows)
@@ -66,7 +66,7 @@ def ordinal(
     date: str,
     out: str = "record_count",
     row_id: str = "ingest_id",
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Position of the row in its key's history (date, missing last; then `row_id`)."""
@@ -96,7 +96,7 @@ def gap_limited_lead_fill(
     out: str,
     row_id: str = "ingest_id",
     intent: bool = False,
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """A missing value on a labelled row takes the next row's value if the gap is small.
@@ -120,7 +120,7 @@ def fill_from_first_returns(
     n: int,
     out: str,
     row_id: str = "ingest_id",
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """A missing value on a labelled row takes the first present one of the key's first `n`

@@ -1,9 +1,10 @@
 """Running totals over a sorted table of any length.
 
 Statistics over an order (risk sets, quantiles, ranks) first shrink the rows to one per distinct
-value.  Up to `SORTED_ROWS` such values one task sorts them.  Beyond that the values are cut
-into ranges of about that many, each range is summed on its own, and the totals of the ranges
-before it are added.
+value.  Up to `SORTED_ROWS` such values one task sorts them.  Beyond that Spark's range
+partitioning puts about that many into a partition, each partition is summed on its own, and the
+totals of the partitions before it are added.  Neither the plan nor the work for a row grows
+with the number of ranges.
 """
 
 from __future__ import annotations
@@ -12,19 +13,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .durable import durable
+
 SORTED_ROWS = 1_000_000
 
 
-def order_cuts(table: DataFrame, order: str, sorted_rows: int = SORTED_ROWS) -> list[float]:
-    """Values that cut the table into ranges of about `sorted_rows` rows; none if it is that small.
+def count_ranges(table: DataFrame, sorted_rows: int = SORTED_ROWS) -> int:
+    """Into how many ranges the table is to be cut: 1 if it is small.
 
     `table` should be durable: it is counted here and read again by the caller.
     """
-    ranges = -(-table.count() // sorted_rows)
-    if ranges <= 1:
-        return []
-    shares = [i / ranges for i in range(1, ranges)]
-    return sorted(set(table.approxQuantile(order, shares, 0.25 / ranges)))
+    return max(1, -(-table.count() // sorted_rows))
 
 
 def running_totals(
@@ -32,17 +31,19 @@ def running_totals(
     order: str,
     sums: dict[str, str],
     by: Sequence[str] = (),
-    cuts: Sequence[float] = (),
+    ranges: int = 1,
     descending: bool = False,
 ) -> DataFrame:
-    """Add `sums[col]` = total of `col` over all rows of the same `by` up to and including this one."""
+    """Add `sums[col]` = total of `col` over all rows of the same `by` up to and including this one.
+
+    With several `ranges` the range of each row is fixed by a durable copy, as the cuts are sampled.
+    """
     key = F.col(order).desc() if descending else F.col(order).asc()
     whole = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    if not cuts:
+    if ranges <= 1:
         return table.withColumns({out: F.sum(col).over(whole) for col, out in sums.items()})
 
-    at_or_below = F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(order))
-    table = table.withColumn("_range", F.size(at_or_below))
+    table = durable(table.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
     within = (
         Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .skew import HOT_ROWS, with_group_values
+from ..functions.nulls import same_key
 
 
 def missing_rows(df: DataFrame, cols: Sequence[str], row_id: str = "ingest_id") -> DataFrame:
@@ -52,15 +52,19 @@ def duplicate_rows(
     keys: Sequence[str],
     col: str,
     row_id: str = "ingest_id",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows that repeat the `col` value of an earlier row of the same key.
 
     Earlier means a smaller `row_id`; sorting by the keys and `col` first changes nothing,
-    because rows compared here agree in all of them.
+    because rows compared here agree in all of them.  Only groups of two or more rows, found by one
+    aggregate, are joined to the rows; in clean data they are few.
     """
-    marked = with_group_values(df, [*keys, col], {"_first": F.min(row_id)}, hot_rows=hot_rows)
-    return marked.filter(F.col(row_id) > F.col("_first")).drop("_first")
+    names = [*keys, col]
+    marks = ["_dup_" + n for n in names]
+    groups = df.groupBy(*names).agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    repeated = groups.filter("_rows > 1").drop("_rows").toDF(*marks, "_first")
+    later = same_key(df, repeated, names, marks) & (df[row_id] > repeated["_first"])
+    return df.join(repeated, later, "left_semi")
 
 
 def repeated_label(
@@ -69,10 +73,9 @@ def repeated_label(
     col: str,
     label: str,
     row_id: str = "ingest_id",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Second and later rows of one label per key."""
-    return duplicate_rows(df.filter(F.col(col) == label), keys, col, row_id, hot_rows)
+    return duplicate_rows(df.filter(F.col(col) == label), keys, col, row_id)
 
 
 def negative_duration(df: DataFrame, col: str) -> DataFrame:

@@ -9,6 +9,7 @@ task.  Without hot keys (one scan of the key columns tells) the plan is the plai
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,12 +21,17 @@ HOT_ROWS = 1_000_000
 _HOT = "_hot_"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys with more than `hot_rows` rows, one row each, or None if there are none."""
+#: The keys were counted and none is hot; None where a caller takes `hot` says that nobody has looked yet.
+NONE_HOT = False
+Hot = DataFrame | Literal[False]
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot:
+    """The keys with more than `hot_rows` rows, one row each, or `NONE_HOT`."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0]
     if largest is None or largest <= hot_rows:
-        return None
+        return NONE_HOT
     return durable(sizes.filter(F.col("_n") > hot_rows).select(*keys))
 
 
@@ -37,7 +43,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataF
     return df.join(listed, on, "left_anti"), df.join(listed, on, "left_semi")
 
 
-def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], hot: Hot) -> DataFrame:
     """Left join of a one-row-per-key table; hot keys get theirs by broadcast."""
     names = [_HOT + k for k in keys]
     table = per_key.withColumnsRenamed(dict(zip(keys, names, strict=True)))
@@ -45,7 +51,7 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], hot: DataFram
     def joined(rows: DataFrame, side: DataFrame) -> DataFrame:
         return rows.join(side, same_key(rows, side, keys, names), "left").drop(*names)
 
-    if hot is None:
+    if hot is NONE_HOT:
         return joined(df, table)
     ordinary, heavy = split_hot(df, keys, hot)
     few = split_hot(per_key, keys, hot)[1].withColumnsRenamed(dict(zip(keys, names, strict=True)))
@@ -56,7 +62,7 @@ def with_group_values(
     df: DataFrame,
     keys: Sequence[str],
     values: dict[str, Column],
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Put aggregates of each key's rows on every row of that key.
@@ -71,7 +77,7 @@ def with_group_values(
     def windowed(rows: DataFrame) -> DataFrame:
         return rows.withColumns({name: agg.over(window) for name, agg in values.items()})
 
-    if hot is None:
+    if hot is NONE_HOT:
         return windowed(df)
     ordinary, heavy = split_hot(df, keys, hot)
     few = heavy.groupBy(*keys).agg(*[agg.alias(name) for name, agg in values.items()])
@@ -87,7 +93,7 @@ def with_neighbours(
     date: str,
     row_id: str,
     values: Sequence[str] = (),
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Position of each row in its key's history, and what its neighbours hold.
@@ -117,7 +123,7 @@ def with_neighbours(
             }
         )
 
-    if hot is None:
+    if hot is NONE_HOT:
         return windowed(df, [key])
     ordinary, heavy = split_hot(df, [key], hot)
     heavy = heavy.withColumn("_block", F.col(row_id) - F.pmod(F.col(row_id), F.lit(hot_rows)))

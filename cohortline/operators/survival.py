@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .durable import durable
-from .ordered import SORTED_ROWS, order_cuts, running_totals
+from .ordered import SORTED_ROWS, count_ranges, running_totals
 
 Z95 = 1.959963984540054  # two-sided 95 % point of the normal distribution
 _TOL = 1e-8
@@ -36,8 +36,8 @@ def kaplan_meier(
             F.count(F.lit(1)).alias("n"), F.sum(F.col(status).cast("long")).alias("n_event")
         )
     )
-    cuts = order_cuts(by_time, "time", sorted_rows)
-    curve = running_totals(by_time, "time", {"n": "n_risk"}, strata, cuts, descending=True)
+    ranges = count_ranges(by_time, sorted_rows)
+    curve = running_totals(by_time, "time", {"n": "n_risk"}, strata, ranges, descending=True)
 
     d, n = F.col("n_event"), F.col("n_risk")
     curve = curve.withColumns(
@@ -49,7 +49,7 @@ def kaplan_meier(
         }
     )
     curve = running_totals(
-        curve, "time", {"_log": "_logs", "_end": "_ended", "_var": "_vars"}, strata, cuts
+        curve, "time", {"_log": "_logs", "_end": "_ended", "_var": "_vars"}, strata, ranges
     )
     alive = F.col("_ended") == 0
     curve = curve.withColumns(
@@ -88,8 +88,8 @@ def km_summary(
     """Records, events, restricted mean with its error, median and the limits of the median."""
     drop = F.col("time") * (F.col("surv_before") - F.col("surv"))
     km = km.withColumns({"_drop": drop, "_all": F.col("n_event") + F.col("n_censor")})
-    cuts = order_cuts(km, "time", sorted_rows)
-    km = running_totals(km, "time", {"_drop": "_dropped"}, strata, cuts)
+    ranges = count_ranges(km, sorted_rows)
+    km = running_totals(km, "time", {"_drop": "_dropped"}, strata, ranges)
     # Area under the curve from the origin to this time; to the last time it is the mean.
     origin = F.least(F.lit(0.0), F.min("time"))
     d, n = F.col("n_event"), F.col("n_risk")
@@ -170,6 +170,29 @@ def regular_breaks(df: DataFrame, time: str, step: float) -> list[float]:
     return [i * step for i in range(int(longest // step) + 1)]
 
 
+def regular_risk_table(
+    df: DataFrame, time: str, step: float, strata: Sequence[str] = (), status: str | None = None
+) -> DataFrame:
+    """`risk_table` at 0, step, 2 * step, ... up to the longest time of all, for each stratum.
+
+    Columns: strata, time, n_risk, pct_risk (of the stratum).  Each row is counted in the last step it
+    reaches, and steps are totalled from the longest time down.  Rows without time, status or stratum are left
+    out; times below 0 count for the percentage only.
+    """
+    usable = df.dropna(subset=[time, *strata] + ([status] if status else []))
+    t, guess = F.col(time).cast("double"), F.floor(F.col(time) / F.lit(float(step)))
+    # The quotient may be rounded across a break that the time itself does not cross.
+    place = F.when((guess + 1) * step <= t, guess + 1).when(guess * step > t, guess - 1).otherwise(guess)
+    counts = durable(usable.groupBy(*strata, place.alias("_place")).agg(F.count(F.lit(1)).alias("_n")))
+    last = F.greatest(counts.agg(F.max("_place")).scalar(), F.lit(0))
+    totals = counts.groupBy(*strata).agg(F.sum("_n").alias("_all")).filter("_all > 0")
+    grid = totals.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    cells = grid.join(counts, [*strata, "_place"], "left").na.fill(0, ["_n"])
+    cells = running_totals(cells, "_place", {"_n": "n_risk"}, strata, descending=True)
+    percent = F.lit(100.0) * F.col("n_risk") / F.col("_all")
+    return cells.select(*strata, (F.col("_place") * F.lit(float(step))).alias("time"), "n_risk", percent.alias("pct_risk"))
+
+
 def km_curve(km: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
     """Points of a step plot: (kind, time, surv, lower, upper).
 

@@ -137,6 +137,20 @@ def risk_table(spark, sf):
     return rounded(sv.risk_table(_months(spark, sf), "months", _BREAKS, "status"), "pct_risk")
 
 
+@query(
+    "risk_table_regular",
+    with_patients(
+        """, used AS (SELECT c_mktsegment, months FROM pat WHERE months IS NOT NULL AND status IS NOT NULL AND c_mktsegment IS NOT NULL),
+grid AS (SELECT unnest(generate_series(0, CAST(floor(greatest(max(months), 0) / 6) AS BIGINT))) * 6 AS b FROM used)
+SELECT c_mktsegment, CAST(b AS DOUBLE) AS time, count(CASE WHEN months >= b THEN 1 END) AS n_risk,
+ round(100.0 * count(CASE WHEN months >= b THEN 1 END) / count(*), 6) AS pct_risk
+FROM used, grid GROUP BY c_mktsegment, b"""
+    ),
+)
+def risk_table_regular(spark, sf):
+    return rounded(sv.regular_risk_table(months(spark, sf), "months", 6, ["c_mktsegment"], "status"), "pct_risk")
+
+
 @query(
     "km_curve",
     with_patients(f"""{_KM}, med AS (SELECT {_cross("surv")} AS m FROM km)

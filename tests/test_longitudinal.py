@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import frames, longitudinal as lg, quality as q
+from cohortline.operators import frames, longitudinal as lg, quality as q, skew
 from cohortline.plans.bindings import enc
 
 HOT = [10**6, 1]  # rows from which a key counts as hot: none, and nearly all
@@ -75,9 +75,9 @@ def test_dedup_and_duplicates(spark, hot_rows):
     df = spark.createDataFrame(data, "ingest_id long, hosp_id long, pat_name string, e_date date")
     kept = lg.dedup_keep_first(df, ["hosp_id", "pat_name", "e_date"])
     assert [r[0] for r in rows_of(kept, "ingest_id")] == [1, 3, 4]
-    dup = q.duplicate_rows(df, ["hosp_id", "pat_name"], "e_date", hot_rows=hot_rows)
+    dup = q.duplicate_rows(df, ["hosp_id", "pat_name"], "e_date")
     assert [r[0] for r in rows_of(dup, "ingest_id")] == [2, 5]
-    assert q.duplicate_rows(kept, ["hosp_id", "pat_name"], "e_date", hot_rows=hot_rows).count() == 0
+    assert q.duplicate_rows(kept, ["hosp_id", "pat_name"], "e_date").count() == 0
 
 
 @pytest.mark.parametrize("hot_rows", HOT)
@@ -162,8 +162,6 @@ def test_hot_keys_change_no_result(spark, hot_rows):
             lg.ordinal(rows, "hosp_id", "e_date", hot_rows=n),
             lg.gap_limited_lead_fill(rows, *gap, hot_rows=n),
             lg.gap_limited_lead_fill(rows, *gap, intent=True, hot_rows=n),
-            q.duplicate_rows(rows, ["hosp_id", "pat_name"], "e_date", hot_rows=n),
-            q.repeated_label(rows, ["hosp_id", "pat_name"], "encounter_type", "Initial", hot_rows=n),
             lg.fill_from_first_returns(
                 rows, "hosp_id", "e_date", "creatinine_raw", "encounter_type", "Initial", "Return", 4, "f", hot_rows=n
             ),
@@ -224,3 +222,16 @@ def test_sort_puts_missing_last(spark):
     )
     out = [r.ingest_id for r in frames.sort_longitudinal(df, ["hosp_id", "e_date"]).collect()]
     assert out == [4, 5, 3, 2, 1]
+
+
+def test_hot_keys_are_counted_once(spark, monkeypatch):
+    calls = []
+    counted = skew.hot_keys
+    for module in (skew, lg):
+        monkeypatch.setattr(module, "hot_keys", lambda *a: calls.append(a) or counted(*a))
+    df = spark.createDataFrame([(1, date(2020, 1, 1), 0), (1, None, 1)], "hosp_id int, e_date date, ingest_id long")
+    hot = counted(df, ["hosp_id"])
+    assert hot is skew.NONE_HOT
+    assert lg.ordinal(df, "hosp_id", "e_date", hot=hot).count() == 2 and calls == []
+    lg.ordinal(df, "hosp_id", "e_date")
+    assert len(calls) == 1
