@@ -247,3 +247,17 @@ def test_tied_sums_in_closed_form(spark):
 def test_encode_has_no_bound_on_levels(spark):
     df = spark.range(3_000).selectExpr("cast(id % 1500 as string) AS v")
     assert len(cox.encode(df, "v")) == 1_499
+
+
+def test_regular_risk_table(spark):
+    rows = [("a", 0.3, 1), ("a", 0.7, 0), ("a", -1.0, 1), ("b", 0.05, 1), ("b", None, 1), ("b", 0.2, None), (None, 0.5, 1)]
+    df = spark.createDataFrame(rows, "g string, t double, s int")
+    out = {(r.g, round(r.time * 10)): (r.n_risk, round(r.pct_risk, 6)) for r in sv.regular_risk_table(df, "t", 0.1, ["g"], "s").collect()}
+    want = {}
+    for g, times in (("a", [0.3, 0.7, -1.0]), ("b", [0.05])):
+        last = max(i for i in range(9) if i * 0.1 <= 0.7)
+        for i in range(last + 1):
+            n = sum(t >= i * 0.1 for t in times)
+            want[g, i] = (n, round(100 * n / len(times), 6))
+    assert out == want
+    assert sv.regular_risk_table(df.limit(0), "t", 0.1, ["g"]).count() == 0
