@@ -2,7 +2,8 @@
 
 The letters are the words of a text (runs other than 0x20 and 0x09-0x0D), hashed. A run of K words is a closed syncmer if the least of its
 S-word runs stands at its first or last place. That depends on the K words alone, so a passage has the same anchors wherever it lies, up to its
-last words. The fingerprint is the SKETCH least different anchor hashes; likeness estimates the Jaccard similarity of the anchor sets.
+last words. A text too short to be sure of an anchor and without one (up to K + K - S - 2 words) is its own anchor, the hash of all its words. The fingerprint
+is the SKETCH least different anchor hashes; likeness estimates the Jaccard similarity of the anchor sets.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ def _least(a: Column, b: Column) -> Column:
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add `out`: for each K-word run in order, its hash if it is a closed syncmer, else NULL.
 
-    A text of 1 to K - 1 words has one entry, the hash of all; one without words has none.
+    A text of 1 to K - 1 words has one entry, the hash of all; one without words has none. Where K words or more hold no closed syncmer,
+    the first entry is the hash of all words.
     """
     t = f"_{out}"
     words = F.filter(F.split(F.col(text), "[ \\t-\\r]+"), lambda w: w != "")
@@ -58,9 +60,13 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
         _paired(f"{t}h", 4, _hash).alias(f"{t}h"),
     )
     full = F.zip_with(F.col(f"{t}h"), F.col(f"{t}e"), lambda h, e: F.when(e, h))
-    short = F.array(F.xxhash64(F.col(f"{t}w")))
-    n = F.size(f"{t}w")
-    return df.select(*kept, F.when(n >= K, full).when(n > 0, short).otherwise(F.array().cast("array<bigint>")).alias(out))
+    df = df.select(*kept, f"{t}w", full.alias(f"{t}f"))
+    whole, n = F.xxhash64(F.col(f"{t}w")), F.size(f"{t}w")
+    anchored = F.exists(F.col(f"{t}f"), lambda h: h.isNotNull())
+    alone = F.transform(F.col(f"{t}f"), lambda h, i: F.when(i == 0, whole))
+    return df.select(
+        *kept, F.when(anchored, F.col(f"{t}f")).when(n >= K, alone).when(n > 0, F.array(whole)).otherwise(F.array().cast("array<bigint>")).alias(out)
+    )
 
 
 def positions(anchors: Column) -> Column:

@@ -218,6 +218,21 @@ def test_syncmers_equal_a_plain_loop(spark):
     assert moved[11:] == df.collect()[3].own
 
 
+def test_short_texts_without_anchors(spark):
+    """From 8 to 12 words a text need not hold a closed syncmer."""
+    texts = [prose(100 * n + s, n) for n in range(8, 13) for s in range(12)] + ["", " \n"]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    prints = [got[i].fingerprint for i in range(60)]
+    assert len(set(texts[:60])) == 60 and len(set(prints)) == 60 and all(prints)
+    assert all(got[i].near_next == 0 for i in range(60)) and (got[60].near_next, got[60].fingerprint, got[61].fingerprint) == (1, "", "")
+    # An edit of a text without an anchor is seen.
+    alone = syncmers.with_anchors(spark.createDataFrame(list(enumerate(texts[:60])), "doc_id long, text string"), "text", "own")
+    alone = alone.where("own[0] = xxhash64(transform(split(text, ' '), w -> xxhash64(w)))").collect()
+    hashed = {r.doc_id: r.own for r in alone}
+    assert len(hashed) > 5 and all(len(x) == len(texts[i].split(" ")) - syncmers.K + 1 and set(x[1:]) <= {None} for i, x in hashed.items())
+    assert all(got[i].near_edited < 1 for i in hashed)
+
+
 def test_empty_tables(no_docs, labels):
     for made in (
         ngram_join.shingle_classes(no_docs), ngram_join.near_duplicates(no_docs), suffix_dedup.remove_repeats(no_docs), quality_rules.judge(no_docs, labels.limit(0)), site_classifier.classify(no_docs, labels),
