@@ -35,6 +35,23 @@ def test_repeated_runs_go_from_open_blocks(spark):
     assert got[3].text == got[4].text == "copy of an article with words" and got[5].text == got[0].text
 
 
+def test_near_copies_and_quotations_on_unmarked_pages_stay(spark):
+    def words(i, n):
+        return " ".join(f"w{i}x{k}" for k in range(n))
+
+    notice, quote = words("notice", 14), words("quote", 20)
+    article = [words("a", 40), words("b", 30), words("c", 25)]
+    copy = [article[0].replace("wax20", "other"), *article[1:]]
+    # Two near copies alone, and among other pages; a quotation, a heading and a common phrase on two of them; the notice on all.
+    pages = [("http://two.x/1", article), ("http://two.x/2", copy)]
+    expected = [article, copy]
+    for i, own in enumerate([article, copy, *([f"{words(i, 12)} {quote} {words(i + 50, 12)}", "A shared heading", words(i + 90, 15)] for i in (1, 2)), *([words(i, 35)] for i in range(3, 9))]):
+        pages.append((f"http://many.x/{i}", [*own, notice]))
+        expected.append(own)
+    got = text_of(spark, [(url, "".join(f"<p>{x}</p>" for x in own)) for url, own in pages])
+    assert [got[i].text for i in range(len(pages))] == ["\n\n".join(x) for x in expected]
+
+
 def test_no_pages(spark):
     assert host_suffix.main_text(spark.createDataFrame([], ROW)).count() == 0
 
