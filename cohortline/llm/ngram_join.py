@@ -290,11 +290,11 @@ def _region_links(share: Fraction):
 
 
 def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each row of `docs`: doc_id, text_hash, n_shingles, class_id (documents with an equal set share it), component_id.
+    """One row for each row of `docs`: doc_id, text_hash, n_shingles, class_id (documents with an equal set share it), component_id, group_id.
 
     ASCII letters are compared in lower case. component_id is the smallest doc_id that links of at least `similarity` reach, the
     document's own without links. A text without words has no shingles and no links; a missing text counts as one. A missing doc_id
-    gets the component of the others of its group, NULL if there are none. Repeated rows are returned as often as they occur. Other columns are ignored.
+    gets the component of the others of its group, NULL if there are none; group_id, a set's key, names the group in any case (NULL without words). Repeated rows are returned as often as they occur. Other columns are ignored.
     """
     spark, share = docs.sparkSession, Fraction(str(similarity))
     docs = docs.select(
@@ -345,23 +345,24 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = components(by_region)
     # The component's smallest doc_id; its name so far is a set's key.
     named = linked.join(classes.select(F.col("key").alias("node"), "doc_id"), "node")
-    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("linked_id")), "component").select(F.col("node").alias("key"), "linked_id")
+    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("linked_id")), "component").select(F.col("node").alias("key"), "linked_id", F.col("component").alias("group_id"))
     ids = classes.select("key", F.col("doc_id").alias("own_id")).join(named, "key", "left")
-    ids = ids.select("key", F.coalesce("linked_id", "own_id").alias("component"))
+    ids = ids.select("key", F.coalesce("linked_id", "own_id").alias("component"), F.coalesce("group_id", "key").alias("group_id"))
     return stats.join(ids, "key", "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("key").alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("key").alias("class_id"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "group_id"
     )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each group: the one with the smallest id, once. Documents without words all stay."""
     found = durable(shingle_classes(docs, id_col, text_col, words, similarity).where("n_shingles > 0"))
-    # One text for an id within a group: texts that differ may have the same shingles.
-    least = found.groupBy("doc_id", "class_id").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("times"))
-    marked = found.join(least.withColumnsRenamed({"doc_id": "l_id", "class_id": "l_class"}), F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("class_id") == F.col("l_class")))
-    other = F.coalesce(F.col("component_id") != F.col("doc_id"), F.col("component_id").isNotNull()) | (F.col("text_hash") != F.col("least"))
+    # Of each group the row with the least id, a missing one last, and the least hash of its text; the join is by the component's own name.
+    rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("text_hash").isNull().alias("no_text"), "text_hash")
+    least = found.groupBy("group_id").agg(F.min(rank).alias("r")).select("group_id", F.col("r.doc_id").alias("l_id"), F.col("r.text_hash").alias("l_hash"))
+    marked = found.join(least, "group_id")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("l_id")) & F.col("text_hash").eqNullSafe(F.col("l_hash")))
     gone = marked.where(other).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    again = marked.where(~other & (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    again = marked.where(~other).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").drop("count")
     own = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
     rest = docs.join(gone, own, "left_anti")
     if not again.take(1):

@@ -67,6 +67,13 @@ def test_one_of_near_copies_stays(docs, rows):
     assert len([x for x in got if not x or not x.strip()]) == sum(1 for _, n in zip(rows, links(rows)) if not n[0])
 
 
+def test_one_of_near_copies_without_own_ids_stays(spark):
+    base, other, third = prose(21, 100), prose(22, 100), prose(23, 100)
+    rows = [(None, base), (None, base + " more"), (7, other), (7, other + " more"), (7, other), (None, third), (9, third + " more"), (None, "")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and Counter(r.doc_id for r in got) == {None: 2, 7: 1, 9: 1}
+
+
 def test_repeats_equal_brute_force(docs, rows):
     got = suffix_dedup.remove_repeats(docs, with_text=True, keep=("n_chars",)).collect()
     same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], [(r[0], *x) for r, x in zip(rows, without_repeats(rows))])
