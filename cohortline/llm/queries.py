@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_lexicon, host_suffix, ngram_join, packing, quality_rules, revisits, site_classifier, suffix_dedup, syncmers, url_filter
+from . import bpe_lexicon, host_suffix, ngram_join, packing, quality_rules, revisits, simhash_anchors, site_classifier, suffix_dedup, syncmers, url_filter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,3 +136,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+@query("op11_lanczos_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_simhash_anchors")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.near_copies(table(spark, sf_dir, "documents"))
