@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_lexicon, host_suffix, ngram_join, packing, quality_rules, revisits, simhash_anchors, site_classifier, suffix_dedup, syncmers, url_filter, whitening
+from . import bpe_lexicon, host_suffix, ngram_join, packing, quality_rules, revisits, simhash_anchors, site_classifier, suffix_dedup, syncmers, turn_repair, url_filter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +146,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash_anchors")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchors.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op13_turn_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
