@@ -1,26 +1,31 @@
 """Cox regression on distributed rows.
 
-Rows are reduced once to one per (time, status, covariate pattern) with a count; the driver
-only ever holds arrays of the size of the covariate list.  Each Newton step is one query:
+Rows are reduced once to one per (model, time, covariate pattern) with its number of rows and of
+events; the driver only ever holds arrays of the size of the covariate lists.  Each Newton step is
+one query for all models that still climb:
 
-1. rows -> weight and weighted covariates per distinct time, totalled from the longest time
-   down (the risk sets);
+1. rows -> weight and weighted covariates per model and distinct time, totalled from the longest
+   time down (the risk sets);
 2. per event time, the sums over tied events that Efron's method needs, in closed form;
-3. the information matrix.  Its covariate products are not totalled per risk set: a row is at
+3. the information matrices.  Their covariate products are not totalled per risk set: a row is at
    risk at every event time up to its own, so its products enter once, with the running total
    of those times' weights.  What remains are products of the totals of step 1.
 
+Coefficients enter as one constant map from model to array, so the code Spark compiles for the
+first step serves all others.  Each model has its own step length and leaves the query once it has settled.
+
 Up to WIDE covariates the products are summed per time in step 1, in one pass over the rows.
 Beyond that a second pass sums them as cells of the non-zero covariates of each row, so zeros
-of categories cost nothing. The plan still grows with the number of covariates: it has a window
-sum and a term of the linear predictor for each, and an entry for each pair of them.
+of categories cost nothing. The plan still grows with the covariates of the widest model: it has a window
+sum and a term of the linear predictor for each, and an entry for each pair of them. Categories with very many levels
+belong to `wide_cox`.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -49,21 +54,34 @@ class Covariate:
 
 
 @dataclass
-class Design:
-    """Rows (time, status, w, x) with x = [1, covariates...]; numeric covariates are centred."""
+class Stack:
+    """Rows (model, time, w, d, x) of all models: w rows, d of them events, x = [1, covariates..., 0 up to `size`]."""
 
     rows: DataFrame
+    size: int
+    ranges: int
+
+
+@dataclass
+class Design:
+    """A model's columns and its place among the stacked rows; numeric covariates are centred."""
+
+    stack: Stack
+    model: int
     columns: list[str]
     terms: dict[str, list[int]]
     n: int
     n_event: int
     event_totals: np.ndarray
-    ranges: int
 
     @property
     def size(self) -> int:
         return len(self.columns)
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.stack.rows.where(F.col("model") == self.model)
+
 
 @dataclass
 class CoxFit:
@@ -85,26 +103,25 @@ class CoxFit:
         return np.where(np.isnan(self.coef), 0.0, self.coef)
 
 
-def _level_deaths(df: DataFrame, cov: Covariate, died: Column) -> dict[str, int]:
-    """Levels of a category that occur, reference first, with their events.
-
-    Each level becomes a column of the caller's plan, so the levels are those of a plan whatever their number.
-    """
-    level = F.col(cov.col).cast("string")
-    rows = df.filter(level.isNotNull()).groupBy(level.alias("level")).agg(F.sum(died))
-    found = {r[0]: r[1] for r in rows.collect()}
+def _ordered(cov: Covariate, found: Sequence[str]) -> list[str]:
+    """The levels of a category that occur, reference first."""
     order = [v for v in cov.levels or () if v in found]
     order += sorted(v for v in found if v not in order)
     if cov.baseline in order:
         order.remove(cov.baseline)
         order.insert(0, cov.baseline)
-    return {v: found[v] for v in order}
+    return order
 
 
 def encode(df: DataFrame, col: str, baseline: str | None = None, levels=None) -> dict[str, Column]:
-    """0/1 columns of a category against its baseline, by name; unused levels have none."""
-    used = list(_level_deaths(df, Covariate(col, "category", baseline, levels), F.lit(0)))
-    return _dummies(col, used)
+    """0/1 columns of a category against its baseline, by name; unused levels have none.
+
+    Each level becomes a column of the caller's plan, so the levels are those of a plan. `wide_cox.number_levels` numbers
+    them in a table instead, whatever how many.
+    """
+    level = F.col(col).cast("string")
+    found = [r[0] for r in df.where(level.isNotNull()).select(level.alias("level")).distinct().collect()]
+    return _dummies(col, _ordered(Covariate(col, "category", baseline, levels), found))
 
 
 def _dummies(col: str, used: Sequence[str]) -> dict[str, Column]:
@@ -125,51 +142,90 @@ def model_frame(
     return durable(usable.groupBy(time, status, *dict.fromkeys(cols)).agg(counted.alias("w")))
 
 
-def design(
+def designs(
     df: DataFrame,
     time: str,
     status: str,
-    covariates: Sequence[Covariate],
+    models: Mapping[str, Sequence[Covariate]],
     weight: str | None = None,
     sorted_rows: int = SORTED_ROWS,
-) -> Design:
-    """The rows of a model; those with any missing value are left out."""
-    usable = df.dropna(subset=[time, status, *[c.col for c in covariates]])
-    grouped = model_frame(usable, time, status, [c.col for c in covariates], weight)
-    numeric = [c.col for c in covariates if c.kind != "category"]
+) -> dict[str, Design]:
+    """The rows of several models in one table; a model leaves out those that miss one of its values."""
+    frame = model_frame(df, time, status, [c.col for covariates in models.values() for c in covariates], weight)
     died = F.when(F.col(status) == 1, F.col("w")).otherwise(0)
-    facts = grouped.agg(
-        F.sum("w"),
-        F.sum(died),
-        *[v for c in numeric for v in (F.sum(F.col("w") * F.col(c)) / F.sum("w"), F.sum(died * F.col(c)))],
-    ).first()
-    means = {c: float(v or 0.0) for c, v in zip(numeric, facts[2::2], strict=True)}
-    event_means = dict(zip(numeric, facts[3::2], strict=True))
-    n, n_event = facts[0] or 0, facts[1] or 0
-    columns, terms, values, event_totals = [], {}, [F.lit(1.0)], []
-    for cov in covariates:
-        if cov.kind == "category":
-            deaths = _level_deaths(grouped, cov, died)
-            added = _dummies(cov.col, list(deaths))
-            event_totals += list(deaths.values())[1:]
-        else:
-            added = {cov.col: F.col(cov.col).cast("double") - F.lit(means[cov.col])}
-            event_totals.append((event_means[cov.col] or 0.0) - n_event * means[cov.col])
-        terms[cov.col] = list(range(len(columns), len(columns) + len(added)))
-        columns += added
-        values += added.values()
-    rows = grouped.select(
-        F.col(time).cast("double").alias("time"),
-        F.col(status).cast("int").alias("status"),
-        "w",
-        F.array(*values).alias("x"),
-    )
-    ranges = count_ranges(rows.select("time").distinct(), sorted_rows)
-    return Design(rows, columns, terms, n, n_event, np.array(event_totals, dtype=float), ranges)
-
-
-def _linear(beta: Sequence[float]) -> str:
-    return " + ".join(f"({float(b)!r}D) * x[{i + 1}]" for i, b in enumerate(beta) if b) or "0.0D"
+    none = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def whole(covariates: Sequence[Covariate], made: Column) -> Column:
+        return F.when(F.coalesce(*[F.when(F.col(c.col).isNull(), False) for c in covariates], F.lit(True)), made)
+
+    # One aggregate for the sizes of all models, the means of their numbers and the events of their levels.
+    cells = []
+    for m, covariates in enumerate(models.values()):
+        for k, cov in enumerate([None, *covariates]):
+            if cov is None:
+                level, value = none
+            elif cov.kind == "category":
+                level, value = F.col(cov.col).cast("string"), none[1]
+            else:
+                level, value = none[0], F.col(cov.col).cast("double")
+            cell = F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), level.alias("level"), value.alias("value"))
+            cells.append(whole(covariates, cell))
+    facts = frame.select("w", died.alias("d"), F.explode(F.array(*cells)).alias("cell")).where("cell IS NOT NULL")
+    facts = facts.groupBy("cell.m", "cell.k", "cell.level").agg(
+        F.sum("w").alias("w"), F.sum("d").alias("d"),
+        F.sum(F.col("w") * F.col("cell.value")).alias("wv"), F.sum(F.col("d") * F.col("cell.value")).alias("dv"),
+    )
+    known = {(r["m"], r["k"], r["level"]): r for r in facts.collect()}
+
+    made: list[tuple] = []
+    for m, covariates in enumerate(models.values()):
+        columns, terms, values, event_totals = [], {}, [F.lit(1.0)], []
+        size = known.get((m, 0, None))
+        n, n_event = (size["w"], size["d"]) if size else (0, 0)
+        for k, cov in enumerate(covariates, 1):
+            if cov.kind == "category":
+                used = _ordered(cov, [level for a, b, level in known if (a, b) == (m, k)])
+                added = _dummies(cov.col, used)
+                event_totals += [known[m, k, v]["d"] for v in used[1:]]
+            else:
+                fact = known.get((m, k, None))
+                mean = float(fact["wv"]) / fact["w"] if fact else 0.0
+                added = {cov.col: F.col(cov.col).cast("double") - F.lit(mean)}
+                event_totals.append(float(fact["dv"]) - n_event * mean if fact else 0.0)
+            terms[cov.col] = list(range(len(columns), len(columns) + len(added)))
+            columns += added
+            values += added.values()
+        made.append((columns, terms, n, n_event, np.array(event_totals, dtype=float), values))
+
+    size = max(len(columns) for columns, *_ in made)
+    arms = []
+    for m, (covariates, (columns, *_, values)) in enumerate(zip(models.values(), made, strict=True)):
+        x = F.array(*values, *[F.lit(0.0)] * (size - len(columns)))
+        arms.append(whole(covariates, F.struct(F.lit(m).alias("model"), x.alias("x"))))
+    rows = frame.select(F.col(time).cast("double").alias("time"), "w", died.alias("d"), F.explode(F.array(*arms)).alias("arm"))
+    rows = rows.where("arm IS NOT NULL").groupBy("arm.model", "time", "arm.x").agg(F.sum("w").alias("w"), F.sum("d").alias("d"))
+    rows = durable(rows)
+    stack = Stack(rows, size, count_ranges(rows.select("time").distinct(), sorted_rows))
+    return {name: Design(stack, m, *made[m][:5]) for m, name in enumerate(models)}
+
+
+def _betas(betas: Mapping[int, Sequence[float]], size: int) -> str:
+    """A constant map from model to its `size` coefficients; models without have none."""
+    arms = []
+    for model, beta in betas.items():
+        padded = [*beta, *[0.0] * (size - len(beta))]
+        arms.append(f"{int(model)}, CAST(array({', '.join(f'{float(b)!r}D' for b in padded)}) AS array<double>)")
+    return f"map({', '.join(arms)})"
+
+
+def _predictor(size: int) -> str:
+    return " + ".join(f"beta[{i}] * x[{i + 1}]" for i in range(size)) or "0.0D"
+
+
+def _scored(stack: Stack, betas: Mapping[int, Sequence[float]]) -> DataFrame:
+    """The rows of the models in `betas` with their linear predictor `eta`."""
+    rows = stack.rows.selectExpr("*", f"try_element_at({_betas(betas, stack.size)}, model) AS beta").where("beta IS NOT NULL")
+    return rows.selectExpr("model", "time", "w", "d", "x", f"{_predictor(stack.size)} AS eta")
 
 
 def _tied_sums(times: DataFrame, ties: str) -> DataFrame:
@@ -227,35 +283,30 @@ def _upper(size: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(size) for j in range(i, size)]
 
 
-def _risk_sets(d: Design, beta: Sequence[float], ties: str, clock: bool = False, cross: bool = False) -> DataFrame:
-    """One row per distinct time: events m, risk-set totals s, event totals e, tied sums.
+def _risk_sets(
+    stack: Stack, betas: Mapping[int, Sequence[float]], ties: str, clock: bool = False, cross: bool = False
+) -> DataFrame:
+    """One row per model and distinct time: events m, risk-set totals s, event totals e, tied sums.
 
-    With `clock`, also g = 1 - S(t-) of the Kaplan-Meier curve of all rows.  With `cross`, the
+    With `clock`, also g = 1 - S(t-) of the Kaplan-Meier curve of the model's rows.  With `cross`, the
     time's own covariate products ac (all rows), dc (events) and event totals z.
     """
-    size = d.size + 1
-    scored = d.rows.selectExpr("time", "status", "w", "x", f"w * exp({_linear(beta)}) AS r")
-    products = {}
+    size = stack.size + 1
+    scored = _scored(stack, betas).selectExpr("*", "w * exp(eta) AS r", "d * exp(eta) AS rd")
+    sums = {"n": "w", "m": "d"}
     for i, j in _upper(size) if cross else [(0, j) for j in range(size)]:
-        value = " * ".join(["r", *[f"x[{k}]" for k in (i, j) if k]])
-        products[f"{i}_{j}"] = f"sum({value}) AS c{i}_{j}"
-    counts = {f"z{j}": f"sum(w * x[{j}]) AS z{j}" for j in range(size)} if cross else {}
-    # Summed per time and status first: events are then told apart on far fewer rows.
-    parts = scored.groupBy("time", "status").agg(
-        F.sum("w").alias("w"), *[F.expr(e) for e in [*products.values(), *counts.values()]]
-    )
-    sums = {"n": "w", "m": "if(status = 1, w, 0L)"}
-    for ij in products:
-        sums |= {f"c{ij}": f"c{ij}", f"d{ij}": f"if(status = 1, c{ij}, 0D)"}
-    sums |= {z: f"if(status = 1, {z}, 0D)" for z in counts}
+        product = "".join(f" * x[{k}]" for k in (i, j) if k)
+        sums |= {f"c{i}_{j}": f"r{product}", f"d{i}_{j}": f"rd{product}"}
+    if cross:
+        sums |= {f"z{j}": f"d * x[{j}]" for j in range(size)}
+    by_time = scored.groupBy("model", "time").agg(*[F.expr(f"sum({v}) AS {n}") for n, v in sums.items()])
     totals = {f"c0_{j}": f"s{j}" for j in range(size)}
     if clock:
         totals["n"] = "n_risk"
-    by_time = parts.groupBy("time").agg(*[F.expr(f"sum({v}) AS {n}") for n, v in sums.items()])
-    at_risk = running_totals(by_time, "time", totals, ranges=d.ranges, descending=True)
+    at_risk = running_totals(by_time, "time", totals, ["model"], stack.ranges, descending=True)
     if clock:
         at_risk = at_risk.selectExpr("*", "if(m < n_risk, log1p(-m / n_risk), 0D) AS fall")
-        at_risk = running_totals(at_risk, "time", {"fall": "fallen"}, ranges=d.ranges)
+        at_risk = running_totals(at_risk, "time", {"fall": "fallen"}, ["model"], stack.ranges)
         at_risk = at_risk.selectExpr("*", "1 - exp(fallen - fall) AS g")
     else:
         at_risk = at_risk.selectExpr("*", "1D AS g")
@@ -265,18 +316,18 @@ def _risk_sets(d: Design, beta: Sequence[float], ties: str, clock: bool = False,
         packed["dc"] = [*[f"d{i}_{j}" for i, j in _upper(size)], "0D"]
         packed["z"] = [f"z{j}" for j in range(size)]
     arrays = [f"array({', '.join(names)}) AS {out}" for out, names in packed.items()]
-    return _tied_sums(at_risk.selectExpr("time", "m", "g", "s0", "d0_0 AS e0", *arrays), ties)
+    return _tied_sums(at_risk.selectExpr("model", "time", "m", "g", "s0", "d0_0 AS e0", *arrays), ties)
 
 
-def _cells(d: Design, beta, ties: str, powers: Sequence[int], clock: bool) -> DataFrame:
-    """Rows (i, j, y per power, z per power) that add up to the information matrices and scores.
+def _cells(stack: Stack, betas, ties: str, powers: Sequence[int], clock: bool) -> DataFrame:
+    """Rows (model, i, j, y per power, z per power) that add up to the information matrices and scores.
 
     Pair (0, j) holds what the score of covariate j needs; i = -1 the log term.
     """
-    size, cross = d.size + 1, d.size <= WIDE
-    times = _risk_sets(d, beta, ties, clock, cross)
+    size, cross = stack.size + 1, stack.size <= WIDE
+    times = _risk_sets(stack, betas, ties, clock, cross)
     times = times.selectExpr("*", *[f"p0 * pow(g, {k}) AS h{k}" for k in powers])
-    times = running_totals(times, "time", {f"h{k}": f"a{k}" for k in powers}, ranges=d.ranges)
+    times = running_totals(times, "time", {f"h{k}": f"a{k}" for k in powers}, ["model"], stack.ranges)
     product = "q0 * s[i] * s[j] - q1 * (s[i] * e[j] + e[i] * s[j]) + q2 * e[i] * e[j]"
     product = f"if(i > 0 AND m > 0, {product}, 0D)"
     places = f"array({', '.join(f'struct({i} AS i, {j} AS j)' for i, j in [*_upper(size), (-1, 0)])})"
@@ -285,6 +336,7 @@ def _cells(d: Design, beta, ties: str, powers: Sequence[int], clock: bool) -> Da
             "*", "place.i AS i", "place.j AS j"
         )
         return pairs.selectExpr(
+            "model",
             "i",
             "j",
             *[f"if(i < 0, lg, ac[at] * a{k} - (dc[at] * p1 + {product}) * pow(g, {k})) AS y{k}" for k in powers],
@@ -292,27 +344,30 @@ def _cells(d: Design, beta, ties: str, powers: Sequence[int], clock: bool) -> Da
         )
 
     # Many covariates: products of the non-zero ones, row by row, instead of all per time.
-    spread = times.select("time", "g", "p1", *[f"a{k}" for k in powers])
-    if d.ranges == 1:  # so at most SORTED_ROWS distinct times
+    spread = times.select("model", "time", "g", "p1", *[f"a{k}" for k in powers])
+    if stack.ranges == 1:  # so at most SORTED_ROWS distinct times a model
         spread = F.broadcast(spread)
     present = "filter(transform(x, (v, n) -> struct(n, v)), q -> q.v <> 0)"
     products = """flatten(transform(present, a -> transform(
         filter(present, b -> b.n >= a.n), b -> struct(a.n AS i, b.n AS j, a.v * b.v AS v))))"""
     rows = (
-        d.rows.selectExpr("time", "status", "w", f"{present} AS present", f"w * exp({_linear(beta)}) AS r")
-        .join(spread, "time")
+        _scored(stack, betas)
+        .selectExpr("model", "time", "d", f"{present} AS present", "w * exp(eta) AS r", "d * exp(eta) AS rd")
+        .join(spread, ["model", "time"])
         .selectExpr(
+            "model",
             f"inline({products})",
-            *[f"r * (a{k} - if(status = 1, p1 * pow(g, {k}), 0D)) AS y{k}" for k in powers],
-            *[f"if(status = 1, w * pow(g, {k}), 0D) AS z{k}" for k in powers],
+            *[f"r * a{k} - rd * p1 * pow(g, {k}) AS y{k}" for k in powers],
+            *[f"d * pow(g, {k}) AS z{k}" for k in powers],
         )
-        .selectExpr("i", "j", *[f"{c}{k} * v AS {c}{k}" for c in "yz" for k in powers])
+        .selectExpr("model", "i", "j", *[f"{c}{k} * v AS {c}{k}" for c in "yz" for k in powers])
     )
     means = (
         times.filter("m > 0")
         .selectExpr("*", f"inline({places})")
         .filter("i <> 0")
         .selectExpr(
+            "model",
             "i",
             "j",
             *[f"if(i < 0, lg, -{product} * pow(g, {k})) AS y{k}" for k in powers],
@@ -322,31 +377,39 @@ def _cells(d: Design, beta, ties: str, powers: Sequence[int], clock: bool) -> Da
     return rows.unionByName(means)
 
 
-def _information(d: Design, beta, ties: str, powers: Sequence[int] = (0,), clock: bool = False):
-    """Log term, scores and information matrices, each time weighted by g to the given powers.
+def _information(stack: Stack, betas, ties: str, powers: Sequence[int] = (0,), clock: bool = False) -> dict[int, tuple]:
+    """Log term, scores and information matrices of each model, each time weighted by g to the given powers.
 
-    Returns (lg, [score vector per power], [matrix per power]).
+    A value is (lg, [score vector per power], [matrix per power]).
     """
-    cells = _cells(d, beta, ties, powers, clock)
+    size = stack.size
+    out = {m: [0.0, [np.zeros(size) for _ in powers], [np.zeros((size, size)) for _ in powers]] for m in betas}
+    cells = _cells(stack, betas, ties, powers, clock)
     sums = [F.expr(f"sum({c}{k}) AS {c}{k}") for c in "yz" for k in powers]
-    log_term, scores = 0.0, [np.zeros(d.size) for _ in powers]
-    matrices = [np.zeros((d.size, d.size)) for _ in powers]
-    for row in cells.groupBy("i", "j").agg(*sums).collect():
-        i, j = row["i"], row["j"]
+    for row in cells.groupBy("model", "i", "j").agg(*sums).collect():
+        i, j, found = row["i"], row["j"], out[row["model"]]
         for k, power in enumerate(powers):
             if i < 0:
-                log_term = row["y0"]
+                found[0] = row["y0"]
             elif i == 0 and j > 0:
-                scores[k][j - 1] = row[f"z{power}"] - row[f"y{power}"]
+                found[1][k][j - 1] = row[f"z{power}"] - row[f"y{power}"]
             elif i > 0:
-                matrices[k][i - 1, j - 1] = matrices[k][j - 1, i - 1] = row[f"y{power}"]
-    return log_term, scores, matrices
+                found[2][k][i - 1, j - 1] = found[2][k][j - 1, i - 1] = row[f"y{power}"]
+    return {m: tuple(v) for m, v in out.items()}
+
+
+def _evaluate_all(designs: Sequence[Design], betas: Sequence[np.ndarray], ties: str) -> list[tuple]:
+    """Log-likelihood, score vector and information matrix of each model at its `beta`."""
+    found = _information(designs[0].stack, {d.model: b for d, b in zip(designs, betas, strict=True)}, ties)
+    out = []
+    for d, beta in zip(designs, betas, strict=True):
+        log_term, (score,), (info,) = found[d.model]
+        out.append((float(beta @ d.event_totals) - log_term, score[: d.size], info[: d.size, : d.size]))
+    return out
 
 
 def _evaluate(d: Design, beta: np.ndarray, ties: str) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood, score vector and information matrix at `beta`."""
-    log_term, (score,), (info,) = _information(d, beta, ties)
-    return float(beta @ d.event_totals) - log_term, score, info
+    return _evaluate_all([d], [beta], ties)[0]
 
 
 def _independent(info: np.ndarray) -> list[int]:
@@ -362,60 +425,114 @@ def _independent(info: np.ndarray) -> list[int]:
     return kept
 
 
-def coxph(
+@dataclass
+class _Climb:
+    """Newton's method for one model: where it stands, and the trial it waits for."""
+
+    d: Design
+    ties: str
+    max_steps: int
+    at: tuple[float, np.ndarray, np.ndarray] = field(init=False)
+    trial: np.ndarray | None = field(init=False)
+    steps: int = 0
+    halved: int = 0
+    converged: bool = False
+
+    def begin(self, at_zero: tuple[float, np.ndarray, np.ndarray]) -> None:
+        self.beta, self.at, self.loglik0 = np.zeros(self.d.size), at_zero, at_zero[0]
+        self.kept = _independent(at_zero[2])
+        self.grid = np.ix_(self.kept, self.kept)
+        score = at_zero[1][self.kept]
+        self.score_test = float(score @ np.linalg.solve(at_zero[2][self.grid], score)) if self.kept else 0.0
+        self.converged = not self.kept
+        self._propose()
+
+    def _propose(self) -> None:
+        self.trial = None
+        if self.converged or self.steps >= self.max_steps:
+            return
+        try:
+            self.step = np.linalg.solve(self.at[2][self.grid], self.at[1][self.kept])
+        except np.linalg.LinAlgError:
+            return
+        if np.max(np.abs(self.step)) < STEP_TOL:
+            self.beta[self.kept] += self.step
+            self.converged = True
+            return
+        self.steps, self.halved = self.steps + 1, 0
+        self._set_trial()
+
+    def _set_trial(self) -> None:
+        self.trial = self.beta.copy()
+        self.trial[self.kept] += self.step
+
+    def take(self, new: tuple[float, np.ndarray, np.ndarray]) -> None:
+        """Go to the trial if it is no worse, else try half the step; after ten halves the last good estimate stays."""
+        # Rounding moves the likelihood in its last digits once the steps are tiny.
+        if new[0] >= self.at[0] - 1e-10 * abs(self.at[0]):
+            self.beta, self.at = self.trial, new
+            self._propose()
+            return
+        self.step, self.halved = self.step / 2, self.halved + 1
+        if self.halved < 10:
+            self._set_trial()
+        else:
+            self.trial = None
+
+    def fit(self) -> CoxFit:
+        size = self.d.size
+        coef, var = np.full(size, np.nan), np.full((size, size), np.nan)
+        coef[self.kept] = self.beta[self.kept]
+        if self.kept:
+            try:
+                var[self.grid] = np.linalg.inv(self.at[2][self.grid])
+            except np.linalg.LinAlgError:
+                self.converged = False
+        return CoxFit(
+            self.d, coef, var, self.kept, self.loglik0, self.at[0], self.score_test, self.steps, self.converged, self.ties
+        )
+
+
+def coxph_all(
     df: DataFrame,
     time: str,
     status: str,
-    covariates: Sequence[Covariate],
+    models: Mapping[str, Sequence[Covariate]],
     ties: str = "efron",
     weight: str | None = None,
     sorted_rows: int = SORTED_ROWS,
     max_steps: int = 20,
-) -> CoxFit:
-    """Fit a proportional-hazards model; rows with any missing value are left out.
+) -> dict[str, CoxFit]:
+    """Fit several proportional-hazards models at once; each leaves out rows with a missing value of its own.
 
-    `weight` is a column of row counts.  A covariate column without variation or a combination
-    of earlier ones gets no coefficient (NaN here, NULL in tables).  `converged` is false when
+    Every step is one evaluation of all models that have not settled yet. `weight` is a column of row counts.  A covariate column
+    without variation or a combination of earlier ones gets no coefficient (NaN here, NULL in tables).  `converged` is false when
     the steps do not settle within `max_steps` Newton steps, as for a level without events; a
     step that cannot improve the likelihood leaves the last estimate.
     """
-    d = design(df, time, status, covariates, weight, sorted_rows)
-    beta = np.zeros(d.size)
-    loglik0, score, info = _evaluate(d, beta, ties)
-    kept = _independent(info)
-    grid = np.ix_(kept, kept)
-    score_test = float(score[kept] @ np.linalg.solve(info[grid], score[kept])) if kept else 0.0
-    loglik, steps, converged = loglik0, 0, not kept
-    while kept and steps < max_steps and not converged:
-        try:
-            step = np.linalg.solve(info[grid], score[kept])
-        except np.linalg.LinAlgError:
-            break
-        if np.max(np.abs(step)) < STEP_TOL:
-            beta[kept] += step
-            converged = True
-            break
-        steps += 1
-        for _ in range(10):
-            trial = beta.copy()
-            trial[kept] += step
-            new = _evaluate(d, trial, ties)
-            # Rounding moves the likelihood in its last digits once the steps are tiny.
-            if new[0] >= loglik - 1e-10 * abs(loglik):
-                break
-            step = step / 2
-        else:  # no step improves the likelihood: the last good estimate stays
-            break
-        beta, (loglik, score, info) = trial, new
-    coef = np.full(d.size, np.nan)
-    coef[kept] = beta[kept]
-    var = np.full((d.size, d.size), np.nan)
-    if kept:
-        try:
-            var[grid] = np.linalg.inv(info[grid])
-        except np.linalg.LinAlgError:
-            converged = False
-    return CoxFit(d, coef, var, kept, loglik0, loglik, score_test, steps, converged, ties)
+    made = designs(df, time, status, models, weight, sorted_rows)
+    climbs = [_Climb(d, ties, max_steps) for d in made.values()]
+    zero = _evaluate_all([c.d for c in climbs], [np.zeros(c.d.size) for c in climbs], ties) if climbs else []
+    for climb, found in zip(climbs, zero, strict=True):
+        climb.begin(found)
+    while going := [c for c in climbs if c.trial is not None]:
+        for climb, found in zip(going, _evaluate_all([c.d for c in going], [c.trial for c in going], ties), strict=True):
+            climb.take(found)
+    return {name: climb.fit() for name, climb in zip(made, climbs, strict=True)}
+
+
+def coxph(
+    df: DataFrame,
+    time: str,
+    status: str,
+    covariates: Sequence[Covariate],
+    ties: str = "efron",
+    weight: str | None = None,
+    sorted_rows: int = SORTED_ROWS,
+    max_steps: int = 20,
+) -> CoxFit:
+    """Fit one proportional-hazards model; see `coxph_all`."""
+    return coxph_all(df, time, status, {"": covariates}, ties, weight, sorted_rows, max_steps)[""]
 
 
 def cox_loglik_at(
@@ -428,7 +545,7 @@ def cox_loglik_at(
     sorted_rows: int = SORTED_ROWS,
 ) -> DataFrame:
     """(loglik, score_<column>...) of the partial likelihood at a given `beta`."""
-    d = design(df, time, status, covariates, sorted_rows=sorted_rows)
+    d = designs(df, time, status, {"": covariates}, sorted_rows=sorted_rows)[""]
     loglik, score, _ = _evaluate(d, np.array(beta, dtype=float), ties)
     schema = ", ".join(["loglik double", *[f"`score_{c}` double" for c in d.columns]])
     return df.sparkSession.createDataFrame([(loglik, *map(float, score))], schema)
@@ -438,7 +555,7 @@ def cox_score_at_zero(
     df: DataFrame, time: str, status: str, covariate: Covariate, ties: str = "efron", sorted_rows: int = SORTED_ROWS
 ) -> DataFrame:
     """(score, information, chisq) of one column at coefficient 0: without ties the log-rank test."""
-    d = design(df, time, status, [covariate], sorted_rows=sorted_rows)
+    d = designs(df, time, status, {"": [covariate]}, sorted_rows=sorted_rows)[""]
     if d.size != 1:
         raise ValueError("the covariate must give one column")
     _, score, info = _evaluate(d, np.zeros(1), ties)
@@ -504,6 +621,15 @@ def cox_tests(fit: CoxFit, with_concordance: bool = True) -> DataFrame:
     return fit.design.rows.sparkSession.createDataFrame([row], schema)
 
 
+def cox_tests_all(fits: Mapping[str, CoxFit], with_concordance: bool = True) -> DataFrame:
+    """The tests of several models, one row each, with a `model` column."""
+    out = None
+    for name, fit in fits.items():
+        part = cox_tests(fit, with_concordance).select(F.lit(name).alias("model"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def cox_table(fits: Mapping[str, CoxFit]) -> DataFrame:
     """The coefficients of several models, one after the other, with a `model` column."""
     out = None
@@ -516,67 +642,86 @@ def cox_table(fits: Mapping[str, CoxFit]) -> DataFrame:
     return out
 
 
+def _pair_counts(times: np.ndarray, scores: np.ndarray, d: np.ndarray, k: np.ndarray, within: bool = True) -> np.ndarray:
+    """[concordant, discordant, tied] pairs of an event and a comparable row, among points with d events and k others.
+
+    Comparable with an event are all points of a later time and, if `within`, the others of the same time. Scores are taken as ranks. Two
+    different ranks agree in their leading bits up to one place; for each place the points are sorted by the bits above it and time, and
+    running totals count the later points with the other bit.
+    """
+    _, ranks = np.unique(scores, return_inverse=True)
+    places = max(int(ranks.max()).bit_length(), 1) if len(ranks) else 0
+    found = np.zeros(3)
+    for place in range(-1, places):
+        above = ranks if place < 0 else ranks >> (place + 1)
+        order = np.lexsort((-times, above))
+        group, when = above[order], times[order]
+        new_group = np.concatenate(([True], group[1:] != group[:-1]))
+        new_time = new_group | np.concatenate(([True], when[1:] != when[:-1]))
+        first = np.maximum.accumulate(np.where(new_group, np.arange(len(order)), 0))
+        start = np.maximum.accumulate(np.where(new_time, np.arange(len(order)), 0))
+        edges = np.concatenate((np.flatnonzero(new_time), [len(order)]))
+        end = np.repeat(edges[1:], np.diff(edges))
+        bit = np.zeros(len(order), dtype=np.int64) if place < 0 else ranks[order] >> place & 1
+        for side in (0, 1) if place >= 0 else (0,):
+            here = bit == side
+            total = np.concatenate(([0], np.cumsum(np.where(here, d[order] + k[order], 0))))
+            others = np.concatenate(([0], np.cumsum(np.where(here, k[order], 0))))
+            after = total[start] - total[first] + (others[end] - others[start] if within else 0)
+            events = d[order] * (here if place < 0 else ~here)
+            found[2 if place < 0 else side] += (events.astype(float) * after).sum()
+    return found
+
+
+def _pair_sums(points: DataFrame, by: str | None, time: str, score: str, ties: bool, within: bool = True) -> np.ndarray:
+    """The pair counts within each group of `by`, added up; Spark groups, a task counts one group at a time."""
+
+    def count(table):
+        import pyarrow as pa
+
+        columns = [table.column(c).to_numpy() for c in (time, score, "d", "k")]
+        found = _pair_counts(*columns, within=within)
+        return pa.table({"good": found[:1], "bad": found[1:2], "tied": found[2:]})
+
+    schema = "good double, bad double, tied double"
+    groups = points.select(time, score, "d", "k", F.col(by).alias("_by") if by else F.lit(0).alias("_by")).groupBy("_by")
+    row = groups.applyInArrow(count, schema).agg(F.sum("good"), F.sum("bad"), F.sum("tied")).first()
+    found = np.array([float(v or 0.0) for v in row])
+    return found if ties else found * [1, 1, 0]
+
+
 def concordance(fit: CoxFit, sorted_rows: int = SORTED_ROWS) -> float | None:
     """Share of comparable pairs in which the higher risk score has the earlier event.
 
-    Exact, without forming pairs.  Scores are replaced by their ranks.  Two different ranks
-    agree in their leading bits up to one place, where the smaller has 0 and the larger 1.  So
-    for each place, rows are grouped by the bits above it, and within a group running totals
-    over time count, for each event, the later rows with the other bit.
+    Exact, without forming pairs, on one point for each distinct (time, score). Up to `sorted_rows` points are counted in one task. Beyond, scores are
+    cut into ranges of about that many points, and times likewise. Pairs within a range of scores are counted there; pairs of different
+    score ranges by the numbers of points for each (time, score range) within a range of times; pairs that differ in both ranges by the
+    numbers for each pair of ranges. So a point is shuffled twice, however many there are. Points of one score stay in one range.
     """
-    scored = (
-        fit.design.rows.withColumn("eta", F.expr(f"round({_linear(fit.beta)}, 12)"))
-        .groupBy("time", "eta")
-        .agg(
-            F.sum(F.when(F.col("status") == 1, F.col("w")).otherwise(0)).alias("d"),
-            F.sum(F.when(F.col("status") != 1, F.col("w")).otherwise(0)).alias("k"),
-        )
-    )
-    scored = durable(scored)
-    scores = durable(scored.select("eta").distinct().withColumn("one", F.lit(1).cast("long")))
-    ranks = running_totals(scores, "eta", {"one": "rank"}, ranges=count_ranges(scores, sorted_rows))
-    places = max(int(scores.count() - 1).bit_length(), 1)
-    ranked = scored.join(ranks.select("eta", (F.col("rank") - 1).alias("rank")), "eta")
-    # Place -1 keeps whole ranks together: the pairs tied in the score.
-    place = F.explode(F.sequence(F.lit(-1), F.lit(places - 1)))
-    bits = ranked.select("time", "d", "k", "rank", place.alias("place")).select(
-        "time", "d", "k", "place",
-        F.when(F.col("place") < 0, F.col("rank")).otherwise(
-            F.expr("shiftright(rank, place + 1)")
-        ).alias("above"),
-        F.when(F.col("place") < 0, 0).otherwise(F.expr("shiftright(rank, place) & 1")).alias("bit"),
-    )
-    one, zero = F.col("bit") == 1, F.col("bit") == 0
-    by_time = bits.groupBy("place", "above", "time").agg(
-        *[
-            F.sum(F.when(side, F.col(c)).otherwise(0)).alias(f"{c}{s}")
-            for c in "dk"
-            for s, side in ((0, zero), (1, one))
-        ],
-        *[
-            F.sum(F.when(side, F.col("d") + F.col("k")).otherwise(0)).alias(f"a{s}")
-            for s, side in ((0, zero), (1, one))
-        ],
-    )
-    later = running_totals(
-        by_time, "time", {"a0": "from0", "a1": "from1"}, ["place", "above"], fit.design.ranges, descending=True
-    )
-    # Comparable with an event: every later time, and those censored at the same time.
-    after = [F.col(f"from{s}") - F.col(f"a{s}") + F.col(f"k{s}") for s in (0, 1)]
-    whole = F.col("place") < 0
-    as_big = [c.cast("double") for c in (F.col("d1") * after[0], F.col("d0") * after[1], F.col("d0") * after[0])]
-    row = later.agg(
-        F.sum(F.when(~whole, as_big[0])), F.sum(F.when(~whole, as_big[1])), F.sum(F.when(whole, as_big[2]))
-    ).first()
-    concordant, discordant, tied = (float(v or 0.0) for v in row)
+    scored = _scored(fit.design.stack, {fit.design.model: fit.beta}).selectExpr("time", "round(eta, 12) AS score", "d", "w - d AS k")
+    counts = [F.sum("d").alias("d"), F.sum("k").alias("k")]
+    points = durable(scored.groupBy("time", "score").agg(*counts))
+    ranges = count_ranges(points, sorted_rows)
+    if ranges == 1:
+        found = _pair_sums(points, None, "time", "score", ties=True)
+    else:
+        points = durable(points.repartitionByRange(ranges, "score").withColumn("score_range", F.spark_partition_id()))
+        found = _pair_sums(points, "score_range", "time", "score", ties=True)
+        by_range = points.groupBy("time", "score_range").agg(*counts)
+        by_range = durable(by_range.repartitionByRange(ranges, "time").withColumn("time_range", F.spark_partition_id()))
+        found = found + _pair_sums(by_range, "time_range", "time", "score_range", ties=False)
+        grid = by_range.groupBy("time_range", "score_range").agg(*counts)
+        found = found + _pair_sums(grid, None, "time_range", "score_range", ties=False, within=False)
+    concordant, discordant, tied = found
     pairs = concordant + discordant + tied
-    return (concordant + tied / 2) / pairs if pairs else None
+    return float((concordant + tied / 2) / pairs) if pairs else None
 
 
 def cox_zph(fit: CoxFit) -> DataFrame:
     """(term, chisq, df, p): score test of a coefficient drifting with 1 - S(t-), per term and global."""
     d = fit.design
-    _, (_, u1, _), (i0, i1, i2) = _information(d, fit.beta, fit.ties, (0, 1, 2), clock=True)
+    found = _information(d.stack, {d.model: fit.beta}, fit.ties, (0, 1, 2), clock=True)
+    _, (_, u1, _), (i0, i1, i2) = found[d.model]
 
     def test(name: str, drift: list[int]):
         drift = [j for j in drift if j in fit.kept]
@@ -600,10 +745,10 @@ def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     the coefficient: its trend over time is the coefficient's.  `n` equal events share a row.
     """
     d = fit.design
-    means = _risk_sets(d, fit.beta, fit.ties).filter("m > 0")
+    means = _risk_sets(d.stack, {d.model: fit.beta}, fit.ties).filter("m > 0")
     means = means.selectExpr("time", "transform(s, (v, i) -> (v * p0 - e[i] * p1) / m) AS mean")
-    events = d.rows.filter("status = 1").join(means, "time")
-    events = events.selectExpr("time", "w AS n", "transform(x, (v, i) -> v - mean[i]) AS r")
+    events = d.rows.filter("d > 0").join(means, "time")
+    events = events.selectExpr("time", "d AS n", "transform(x, (v, i) -> v - mean[i]) AS r")
 
     def scaled(i: int) -> str:
         parts = [f"({float(fit.var[i, j] * d.n_event)!r}D) * r[{j + 1}]" for j in fit.kept]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import clinical as c, dates, text
 from ..operators import describe, frames, longitudinal as lg, quality, survival
-from ..operators.cox import Covariate, CoxFit, coxph, model_frame
+from ..operators.cox import Covariate, CoxFit, coxph, coxph_all
 from ..operators.durable import durable
 from ..operators.skew import HOT_ROWS, hot_keys, with_group_values, with_neighbours
 from ..sources.encounters import read_encounters
@@ -212,11 +212,8 @@ JOINT_MODEL = [
 
 
 def cox_models(initial: DataFrame, names: Iterable[str] = tuple(MODELS)) -> dict[str, CoxFit]:
-    """The one-covariate models, all fitted from one reduced table."""
-    names = list(names)
-    clock = ("survival_months", "survival_status")
-    frame = model_frame(initial, *clock, [c.col for n in names for c in MODELS[n]])
-    return {n: coxph(frame, *clock, MODELS[n], weight="w") for n in names}
+    """The one-covariate models, all fitted at once."""
+    return coxph_all(initial, "survival_months", "survival_status", {n: MODELS[n] for n in names})
 
 
 def joint_cox(initial: DataFrame) -> CoxFit:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cox as cx, describe as ds, survival as sv
 from ..plans import clinical as cl, dictionaries as d
 from ..plans.bindings import REGISTRY_COHORT, REGISTRY_CORRECTIONS, registry_rows
+from . import cox_sql
 from .base import (
     query, rounded, sql_cascade, sql_flag, sql_label, sql_recode, sql_sequential, with_registry,
 )
@@ -216,25 +217,55 @@ def registry_km_at(spark, sf):
     return rounded(at, "surv", "std_err", "lower", "upper")
 
 
-_COLUMNS = ["term", "coef", "exp_coef", "se", "z", "lower", "upper"]
+_COLUMNS = ["term", "coef", "exp_coef", "se", "z", "p", "lower", "upper"]
+_TESTS = ["loglik0", "loglik", "lrt", "lrt_p", "wald", "wald_p", "score", "score_p", "concordance"]
+_CLOCK = ("survival_months", "survival_status")
+_INITIAL_ONCE = _INITIAL.replace("\ninit AS (", "\ninit AS MATERIALIZED (")
 
 
 def _table(df, *first):
     return rounded(df.select(*first, *_COLUMNS, "n", "n_event", "converged"), *_COLUMNS[1:])
 
 
-@query("registry_cox_models")
+def _tests(df, *first):
+    return rounded(df.select(*first, "n", "n_event", "df", *_TESTS, "converged"), *_TESTS)
+
+
+_ALL_FITS = ", ".join([_INITIAL_ONCE, *[cox_sql.fit_sql(n, "init", *_CLOCK, m) for n, m in cl.MODELS.items()]])
+_JOINT_FIT = f"{_INITIAL_ONCE}, {cox_sql.fit_sql('joint', 'init', *_CLOCK, cl.JOINT_MODEL)}"
+
+
+@query(
+    "registry_cox_models",
+    _sql(_ALL_FITS, " UNION ALL ".join(cox_sql.summary_sql(n, first=f"'{n}' AS model, ") for n in cl.MODELS)),
+)
 def registry_cox_models(spark, sf):
     initial = _initial(spark, sf)
     return _table(cx.cox_table(cl.cox_models(initial)), "model")
 
 
-@query("registry_cox_joint")
+@query(
+    "registry_cox_model_tests",
+    _sql(
+        ", ".join([_ALL_FITS, *[cox_sql.tests_ctes(n) for n in cl.MODELS]]),
+        " UNION ALL ".join(cox_sql.tests_select(n, first=f"'{n}' AS model, ") for n in cl.MODELS),
+    ),
+)
+def registry_cox_model_tests(spark, sf):
+    return _tests(cx.cox_tests_all(cl.cox_models(_initial(spark, sf))), "model")
+
+
+@query("registry_cox_joint", _sql(_JOINT_FIT, cox_sql.summary_sql("joint", first="'joint' AS model, ")))
 def registry_cox_joint(spark, sf):
     fit = cl.joint_cox(_initial(spark, sf))
     return _table(cx.cox_table({"joint": fit}), "model")
 
 
-@query("registry_cox_joint_zph")
+@query("registry_cox_joint_tests", _sql(f"{_JOINT_FIT}, {cox_sql.tests_ctes('joint')}", cox_sql.tests_select("joint")))
+def registry_cox_joint_tests(spark, sf):
+    return _tests(cx.cox_tests(cl.joint_cox(_initial(spark, sf))))
+
+
+@query("registry_cox_joint_zph", _sql(f"{_JOINT_FIT}, {cox_sql.zph_sql('joint', cl.JOINT_MODEL)}", ""))
 def registry_cox_joint_zph(spark, sf):
     return rounded(cx.cox_zph(cl.joint_cox(_initial(spark, sf))), "chisq", "p")

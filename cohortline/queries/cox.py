@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cox as cx
 from .base import query, rounded, with_patients
+from .cox_sql import fit_sql, summary_sql, tail
 from .survival import months
 
 BALANCE = cx.Covariate("balance")
@@ -97,7 +98,7 @@ def _coefficients_sql(tag: str, names: list[str], steps: int = _STEPS) -> str:
     rows = " UNION ALL ".join(
         f"SELECT '{n}' AS term, b{i} AS b, sqrt({var[i]}) AS se FROM {state}" for i, n in enumerate(names)
     )
-    return f"""SELECT term, round(b, 6) AS coef, round(exp(b), 6) AS exp_coef, round(se, 6) AS se, round(b / se, 5) AS z,
+    return f"""SELECT term, round(b, 6) AS coef, round(exp(b), 6) AS exp_coef, round(se, 6) AS se, round(b / se, 5) AS z, round({tail("(b / se) ** 2", "1")}, 6) AS p,
  round(exp(b - 1.959963984540054 * se), 6) AS lower, round(exp(b + 1.959963984540054 * se), 6) AS upper FROM ({rows})"""
 
 
@@ -106,7 +107,7 @@ _BOTH_SQL = ", " + newton_sql("f", [_X[n] for n in _BOTH])
 
 
 def _shown(df, *first):
-    cols = ["coef", "exp_coef", "se", "lower", "upper"]
+    cols = ["coef", "exp_coef", "se", "p", "lower", "upper"]
     return rounded(rounded(df.select(*first, "term", *cols, "z"), *cols), "z", digits=5)
 
 
@@ -124,17 +125,18 @@ _SCORE = "((i11 * u0 * u0 - 2 * i01 * u0 * u1 + i00 * u1 * u1) / (i00 * i11 - i0
     with_patients(f"""{_BOTH_SQL},
 scored AS (SELECT t, s, round(b0 * x0 + b1 * x1, 12) AS eta FROM d_f, b_f_{_STEPS}),
 pairs AS (SELECT CASE WHEN a.eta > b.eta THEN 1.0 WHEN a.eta = b.eta THEN 0.5 ELSE 0.0 END AS c
- FROM scored a JOIN scored b ON a.s = 1 AND (b.t > a.t OR (b.t = a.t AND b.s = 0)))
+ FROM scored a JOIN scored b ON a.s = 1 AND (b.t > a.t OR (b.t = a.t AND b.s = 0))),
+tests AS (SELECT z.ll AS loglik0, e.ll AS loglik, 2 * (e.ll - z.ll) AS lrt,
+ (SELECT {_WALD} FROM b_f_{_STEPS}, sum_f_{_STEPS}) AS wald, (SELECT {_SCORE} FROM sum_f_0) AS score FROM sum_f_0 z, sum_f_{_STEPS} e)
 SELECT (SELECT count(*) FROM d_f) AS n, (SELECT CAST(sum(s) AS BIGINT) FROM d_f) AS n_event, CAST(2 AS INT) AS df,
- round(z.ll, 6) AS loglik0, round(e.ll, 6) AS loglik, round(2 * (e.ll - z.ll), 6) AS lrt,
- (SELECT round({_WALD}, 6) FROM b_f_{_STEPS}, sum_f_{_STEPS}) AS wald,
- (SELECT round({_SCORE}, 6) FROM sum_f_0) AS score,
+ round(loglik0, 6) AS loglik0, round(loglik, 6) AS loglik, round(lrt, 6) AS lrt, round(wald, 6) AS wald, round(score, 6) AS score,
+ round({tail("lrt", "2")}, 6) AS lrt_p, round({tail("wald", "2")}, 6) AS wald_p, round({tail("score", "2")}, 6) AS score_p,
  (SELECT round(avg(c), 6) FROM pairs) AS concordance, true AS converged
-FROM sum_f_0 z, sum_f_{_STEPS} e"""),
+FROM tests"""),
 )
 def cox_summary(spark, sf):
     tests = cx.cox_tests(_fit(spark, sf, BALANCE, MANY))
-    shown = ["loglik0", "loglik", "lrt", "wald", "score", "concordance"]
+    shown = ["loglik0", "loglik", "lrt", "lrt_p", "wald", "wald_p", "score", "score_p", "concordance"]
     return rounded(tests.select("n", "n_event", "df", *shown, "converged"), *shown)
 
 
@@ -155,7 +157,10 @@ def cox_table(spark, sf):
     return _shown(cx.cox_table(fits), "model")
 
 
-@query("cox_segment")
+@query(
+    "cox_segment",
+    with_patients(f", {fit_sql('g', 'pat', 'months', 'status', [SEGMENT])}\n{summary_sql('g', z_digits=5, sizes=False)}"),
+)
 def cox_segment(spark, sf):
     return _shown(cx.cox_summary(_fit(spark, sf, SEGMENT)))
 

@@ -261,3 +261,72 @@ def test_regular_risk_table(spark):
             want[g, i] = (n, round(100 * n / len(times), 6))
     assert out == want
     assert sv.regular_risk_table(df.limit(0), "t", 0.1, ["g"]).count() == 0
+
+
+def test_models_fitted_at_once_equal_single_fits(many_terms):
+    """Models of different widths and missing values settle after different numbers of steps."""
+    df, *_ = many_terms
+    df = df.withColumn("half", F.when(F.col("dose") > 100, "hi").when(F.col("dose") > 90, "lo")).withColumn("one", F.lit(1.0))
+    models = {
+        "dose": [Covariate("dose")],
+        "level": [Covariate("level", "category")],
+        "both": [Covariate("half", "category", "lo"), Covariate("dose")],
+        "none": [Covariate("one")],
+        "nothing": [],
+    }
+    fits = cox.coxph_all(df, "t", "s", models)
+    assert list(fits) == list(models) and len({f.steps for f in fits.values()}) > 1
+    for name, covariates in models.items():
+        single = coxph(df, "t", "s", covariates)
+        fit = fits[name]
+        assert (fit.design.n, fit.design.n_event, fit.design.columns, fit.kept) == (
+            single.design.n, single.design.n_event, single.design.columns, single.kept,
+        )
+        assert fit.coef == pytest.approx(single.coef, abs=1e-9, nan_ok=True)
+        assert (fit.loglik0, fit.loglik, fit.score_test) == pytest.approx((single.loglik0, single.loglik, single.score_test), abs=1e-8)
+        assert fit.converged and single.converged and fit.steps == single.steps
+    table = cox.cox_table({n: fits[n] for n in ("dose", "both")}).collect()
+    assert [(r.model, r.term) for r in table] == [("dose", "dose"), ("both", "half=hi"), ("both", "dose")]
+    tests = cox.cox_tests_all(fits).collect()
+    assert [r.df for r in tests] == [1, 8, 2, 0, 0]
+    residuals = cox.schoenfeld_residuals(fits["both"]).groupBy("term").agg(F.sum(F.col("residual") * F.col("n")).alias("s"))
+    assert all(abs(r.s) < 1e-6 for r in residuals.collect())
+
+
+def test_a_step_takes_few_jobs(many_terms):
+    """All models share an evaluation: the jobs of seven models are not seven times those of one."""
+    df, *_ = many_terms
+    tracker = df.sparkSession.sparkContext.statusTracker()
+
+    def jobs(work):
+        before = len(tracker.getJobIdsForGroup(None))
+        work()
+        return len(tracker.getJobIdsForGroup(None)) - before
+
+    one = {"dose": [Covariate("dose")]}
+    many = one | {f"m{i}": [Covariate("dose"), Covariate("level", "category")] for i in range(6)}
+    assert jobs(lambda: cox.coxph_all(df, "t", "s", many)) < 2 * jobs(lambda: cox.coxph_all(df, "t", "s", one))
+
+
+def test_models_of_no_rows(spark):
+    df = spark.createDataFrame([], "t double, s int, x double, g string")
+    fits = cox.coxph_all(df, "t", "s", {"x": [Covariate("x")], "g": [Covariate("g", "category")]})
+    assert [(f.design.n, f.kept, f.converged) for f in fits.values()] == [(0, [], True), (0, [], True)]
+
+
+def test_pair_counts_in_ranges(spark):
+    """Ranges of scores and times give the pairs that all pairs give, with ties in both."""
+    rng = np.random.default_rng(3)
+    times, scores, status = rng.integers(0, 12, 300), rng.integers(0, 9, 300) / 4, rng.integers(0, 2, 300)
+    good = bad = tied = 0
+    for i in np.flatnonzero(status):
+        other = (times > times[i]) | ((times == times[i]) & (status == 0))
+        good += (scores[i] > scores[other]).sum()
+        bad += (scores[i] < scores[other]).sum()
+        tied += (scores[i] == scores[other]).sum()
+    assert cox._pair_counts(times, scores, status, 1 - status).tolist() == [good, bad, tied]
+    df = spark.createDataFrame([(float(t), float(x), int(s)) for t, x, s in zip(times, scores, status)], "t double, x double, s int")
+    fit = coxph(df, "t", "s", [Covariate("x")])
+    fit.coef[0] = 1.0
+    for rows in (10**6, 40, 7, 1):
+        assert cox.concordance(fit, rows) == pytest.approx((good + tied / 2) / (good + bad + tied), abs=1e-12)
