@@ -5,7 +5,8 @@ of repeats are removed. The suffixes of all texts are never sorted together; the
 
 1. Every window has an anchor, the k-byte substring in it with the least hash (leftmost). Equal windows have equal anchors at the same
    place, so suffixes meet in the bucket of their anchor. Successive windows with one anchor form a run of at most length - k + 1 windows;
-   only runs are dealt out, with a 64-bit hash of their bytes: one for about 18 bytes of text.
+   only runs are dealt out, with a 64-bit hash of their bytes: one for about 18 bytes of text. Of equal runs in one slice of the rows only that of the
+   smallest id is: the others are repeats already, and a passage that very many documents share costs one record a slice.
 2. Runs with equal bytes are repeats as a whole in all documents but the first. If the runs of an anchor differ, their documents are asked
    for the bytes, one document for each different run. Long passages are settled here; step 3 sees their ends and edited places.
 3. A bucket's runs are laid out with their anchors at one offset. Suffixes that start at cover positions (a difference cover modulo 7) are
@@ -29,11 +30,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.durable import durable
 from .blobs import SCHEMA, bucket_count, bucket_of, pack, scatter, unpack, unpack_all
-from .words import CHUNK_BYTES, encoded, mix, slices
+from .words import encoded, mix, slices
 
 #: Bytes in an anchor, windows in a slice of a long text, and the difference cover.
 K = 16
-SLICE = 1_000_000
+SLICE = 250_000
+#: Bytes of texts whose runs are found at a time (some 100 bytes of memory for each), and of texts read at a time.
+PIECE = 250_000
+READ = 4_000_000
 CYCLE, COVER = 7, (0, 1, 3)
 #: Bytes from any position to the next cover position, at most.
 REACH = 3
@@ -102,7 +106,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
             piece = x if len(x) < SLICE + length else x[at : at + SLICE + length - 1]
             part.append((i, at, piece))
             size += len(piece)
-            if size >= CHUNK_BYTES:
+            if size >= PIECE:
                 yield part
                 part, size = [], 0
     if part:
@@ -113,34 +117,59 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(_NO_ID).to_numpy()
 
 
-def _dealt_runs(length: int, n_buckets: int):
+def _least_owners(key: np.ndarray, content: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, whether a run is the first of its kind in that order, whether it repeats one of a smaller owner); an owner's own repetition is neither."""
+    order = np.lexsort((owner, content, key))
+    key, content, owner = key[order], content[order], owner[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+    same = ~new & np.concatenate(([False], owner[1:] == owner[:-1]))
+    repeat = (owner > owner[new][np.cumsum(new) - 1]) & ~same
+    return order, new, repeat
+
+
+def _dealt_runs(length: int, n_buckets: int, n_homes: int):
+    """Runs by the buckets of their anchors; in buckets from `n_buckets` on, by documents, those that repeat one of the same slice."""
+
     def dealt_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=READ):
             ids, found = _ids(batch), []
             for part in _pieces(encoded(batch.column("text").to_pylist()), length):
                 runs = Runs([x for _, _, x in part], length)
                 owner = ids[np.fromiter((i for i, _, _ in part), np.int64, len(part))][runs.text]
                 found.append((runs.key, runs.content, owner))
-            if found:
-                key, content, owner = (np.concatenate(c) for c in zip(*found))
-                yield from scatter(bucket_of(key, n_buckets), [key >> np.uint64(16), content, owner], ascending=True)
+            if not found:
+                continue
+            key, content, owner = (np.concatenate(c) for c in zip(*found))
+            del found
+            if len(key):
+                order, new, repeat = _least_owners(key >> np.uint64(16), content, owner)
+                first, again = order[new], order[repeat]
+                yield from scatter(bucket_of(key[first], n_buckets), [key[first] >> np.uint64(16), content[first], owner[first]], ascending=True)
+                yield from scatter(n_buckets + _home(owner[again], n_homes), _marks(owner[again], content[again]))
 
     return dealt_runs
 
 
-def _settled(n_homes: int):
+def _home(doc: np.ndarray, n_homes: int) -> np.ndarray:
+    return bucket_of(mix(doc.view(np.uint64)), n_homes)
+
+
+def _marks(doc: np.ndarray, content: np.ndarray) -> list[np.ndarray]:
+    """Records of whole runs that are repeats."""
+    return [doc, np.zeros(len(doc), np.uint8), content, np.zeros(len(doc), np.uint64)]
+
+
+def _settled(n_buckets: int, n_homes: int):
     """Whole runs that repeat (kind 0), and runs whose bytes are needed (kind 1), dealt to the documents' buckets."""
 
-    def settled(table: pa.Table) -> pa.Table:
+    def settled(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at = bucket[0].as_py()
+        if at >= n_buckets:  # settled where they were found
+            return pa.table({"bucket": pa.array(np.full(table.num_rows, at - n_buckets)), "data": table.column("data")})
         key, content, owner = unpack_all(table.column("data").to_pylist(), _RUN, ascending=True)
-        order = np.lexsort((owner, content, key))
+        order, new_run, repeat = _least_owners(key, content, owner)
         key, content, owner = key[order], content[order], owner[order]
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        new_run = new_key | np.concatenate(([True], content[1:] != content[:-1]))
-        same = ~new_run & np.concatenate(([False], owner[1:] == owner[:-1]))
-        run = np.cumsum(new_run) - 1
-        earliest = owner[new_run][run]
-        repeat = (owner > earliest) & ~same
         # Of each anchor's different runs, whether their earliest documents differ.
         first_run = np.flatnonzero(new_key[new_run])
         early = owner[new_run]
@@ -155,8 +184,7 @@ def _settled(n_homes: int):
 
 
 def _to_homes(doc, kind, content, mask, n_homes: int) -> pa.Table:
-    home = bucket_of(mix(doc.view(np.uint64)), n_homes)
-    batches = list(scatter(home, [doc, kind, content, mask]))
+    batches = list(scatter(_home(doc, n_homes), [doc, kind, content, mask]))
     return pa.Table.from_batches(batches) if batches else pa.table({"bucket": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
 
 
@@ -183,7 +211,7 @@ def _asked_runs(length: int, n_buckets: int):
     width = length + lead
 
     def asked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=READ):
             ids, asks = _ids(batch), [unpack(x, ("u8",))[0] for x in batch.column("asks").to_pylist()]
             out = []
             for part in _pieces(encoded(batch.column("text").to_pylist()), length):
@@ -317,7 +345,7 @@ def _cut(length: int, names: list[str], with_text: bool):
         return np.cumsum(step[:-1]) > 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", READ):
             lengths, removed, spans, digests, starts, ends, kept = [], [], [], [], [], [], []
             for text, first, second in zip(encoded(batch.column("_text").to_pylist()), batch.column("_whole").to_pylist(), batch.column("_part").to_pylist()):
                 rest, gone = text, None
@@ -370,8 +398,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_runs = 2 * total // (length - K + 2) + 1
     n_homes = bucket_count(spark, n_runs // 5, 300_000)
 
-    dealt = texts.mapInArrow(_dealt_runs(length, bucket_count(spark, n_runs, 300_000)), SCHEMA)
-    homes = dealt.groupBy("bucket").applyInArrow(_settled(n_homes), SCHEMA)
+    n_buckets = bucket_count(spark, n_runs, 300_000)
+    dealt = texts.mapInArrow(_dealt_runs(length, n_buckets, n_homes), SCHEMA)
+    homes = dealt.groupBy("bucket").applyInArrow(_settled(n_buckets, n_homes), SCHEMA)
     found = durable(homes.groupBy("bucket").applyInArrow(_by_document, _BY_DOCUMENT))
 
     own_id = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
