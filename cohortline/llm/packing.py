@@ -63,15 +63,29 @@ class _Store:
     def __init__(self):
         self.place: dict[str, int] = {"": 0}
         self.ids, self.start = np.empty(0, np.uint32), np.zeros(2, np.int64)
+        #: Which sequences were asked for since the last `forget`.
+        self.asked = np.zeros(1, dtype=bool)
+
+    def forget(self) -> None:
+        """Keep what was asked for since the last time, or nothing if that is more than half of what is remembered."""
+        kept = [x for x, i in self.place.items() if i and self.asked[i]]
+        old, self.place = self.place, {"": 0}
+        if len(kept) > REMEMBERED // 2:
+            kept = []
+        ids, sizes = self.get(np.fromiter((old[x] for x in kept), np.int64, len(kept)))
+        self.ids, self.start, self.asked = np.empty(0, np.uint32), np.zeros(2, np.int64), np.zeros(1, dtype=bool)
+        self.add(kept, ids, sizes)
 
     def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.start) - 1
         self.place.update(zip(names, range(first, first + len(names))))
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
         self.ids = np.concatenate((self.ids, ids))
+        self.asked = np.concatenate((self.asked, np.zeros(len(names), dtype=bool)))
 
     def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids at the places, one after the other, and their numbers."""
+        self.asked[places] = True
         size = self.start[places + 1] - self.start[places]
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(upto) else 0
@@ -136,22 +150,28 @@ class PartIds:
             own = blank_parts(text)
             parts.extend(own)
             counts.append(len(own))
-        if len(self.parts.place) > REMEMBERED:
-            self.parts = _Store()
-        if len(self.words.place) > REMEMBERED:
-            self.words = _Store()
+        for store in (self.parts, self.words):
+            if len(store.place) > REMEMBERED:
+                store.forget()
         self._learn([x for x in set(parts) if x not in self.parts.place])
         ids, size = self.parts.get(np.fromiter(map(self.parts.place.__getitem__, parts), np.int64, len(parts)))
         total = np.concatenate(([0], np.cumsum(size)))
         return ids, total[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
 
 
+def part_ids(path: str | None) -> PartIds:
+    """The worker's ids of parts: what one task has learned serves the next."""
+    if ("parts", path) not in _WORKER:
+        _WORKER["parts", path] = PartIds(path)
+    return _WORKER["parts", path]
+
+
 def _pieces(path: str | None, end_id: int, window: int, with_ids: bool):
     fields = [pa.field(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
     schema = pa.schema([*fields, *[pa.field("ids", pa.list_(pa.int32()))] * with_ids])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PartIds(path)
+        encode = part_ids(path)
         for batch in slices(batches):
             ids, edge = encode(batch.column("text").to_pylist())
             rows, kept = [], []
