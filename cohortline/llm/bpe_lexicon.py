@@ -32,7 +32,8 @@ REMEMBERED = 200_000
 #: Bytes from which a word is merged by itself with a heap.
 LONG_WORD = 200
 _NONE = np.iinfo(np.int32).max
-# The splitting rule of the tokenizer file; white space has become spaces before.
+# The splitting rule of the tokenizer file for texts below U+0250; white space has become spaces before. Beyond, tables of
+# letters differ between versions of Unicode, and the tokenizer's own rule is asked.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
 _LETTERS = regex.compile(r"\p{L}+")
 #: Punctuation behind a word of letters that the splitting rule keeps as one run.
@@ -262,8 +263,9 @@ def _plain(part: str) -> tuple[str, str] | None:
 class Encoder:
     """Ids of texts, part by part."""
 
-    def __init__(self, merges: Merges, normal, lexicon: Lexicon | None):
-        self.merges, self.normal, self.lexicon = merges, normal, lexicon
+    def __init__(self, merges: Merges, tokenizer, lexicon: Lexicon | None):
+        self.merges, self.lexicon = merges, lexicon
+        self.normal, self.own_split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
         self.decimal = [str(i) for i in range(len(merges.names))]
         # Ids in decimal and decoded text of the lexicon's words met so far; never more than it holds.
@@ -276,7 +278,9 @@ class Encoder:
 
     def _split(self, text: str) -> list[str]:
         low = text.lower() if text.isascii() and text.isprintable() else self.normal(text)
-        return _SPLIT.findall(low)
+        if low.isascii() or max(low) < "\u0250":
+            return _SPLIT.findall(low)
+        return [low[a:b] for _, (a, b) in self.own_split(low)]
 
     def _units(self, part: str) -> list:
         """Words, and ids of special tokens."""
@@ -344,7 +348,7 @@ def _encoded(tokenizer: str | None, lexicon: str, with_ids: bool):
 
     def encoded_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer or tokenizer_path()
-        encoder = Encoder(Merges(path), load_tokenizer(path).normalizer.normalize_str, Lexicon(SparkFiles.get(lexicon)))
+        encoder = Encoder(Merges(path), load_tokenizer(path), Lexicon(SparkFiles.get(lexicon)))
         for batch in slices(batches):
             rows = []
             for n, ids, decoded in encoder.texts(batch.column("text").to_pylist()):

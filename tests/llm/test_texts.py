@@ -147,6 +147,32 @@ def test_encoding_equals_the_library(docs, rows, tokenizer):
         same(bpe_lexicon.encode(docs, lexicon_words=size).collect(), expected)
 
 
+def test_every_code_point_as_the_library_has_it(tokenizer):
+    """Each between letters, up to U+20000 also alone and behind a digit; both encoders."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    lexicon_free = bpe_lexicon.Encoder(bpe_lexicon.Merges(packing.tokenizer_path()), tokenizer, None)
+    lexicon_free.lexicon = None
+    by_parts = packing.PartIds(None)
+    for a in range(0, len(points), 40_000):
+        texts = [f"{c} 1{c} b{c}a" if c < "\U00020000" else f"b{c}a" for c in points[a : a + 40_000]]
+        expected = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lexicon_free.forget()
+        for text, ids, (n, shown, _) in zip(texts, expected, lexicon_free.texts(texts)):
+            assert (n, shown) == (len(ids), " ".join(map(str, ids))), ascii(text)
+        ids, edge = by_parts(texts)
+        assert [ids[x:y].tolist() for x, y in zip(edge[:-1], edge[1:])] == expected
+
+
+def test_forgotten_parts_are_learned_again(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "REMEMBERED", 12)
+    encode = packing.PartIds(None)
+    texts = [f"{prose(i % 5, 6)}, {prose(i, 3)}. the the" for i in range(30)]
+    for text in texts:
+        ids, edge = encode([text, None])
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and edge.tolist() == [0, len(ids), len(ids)]
+        assert len(encode.parts.place) < 40
+
+
 def test_lexicon_is_minimal_and_finds_its_words(tmp_path):
     words = [b"tap", b"taps", b"top", b"tops", b"a", b"\xc3\xa9t\xc3\xa9"]
     data = bpe_lexicon.compile_lexicon(words, {w: [i, i + 1] for i, w in enumerate(words)})
