@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,24 +32,56 @@ def freq_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+#: Column levels that one row of a grid stands for while it is built.
+GRID_BLOCK = 1_000
+
+
+def _grid(rows: DataFrame, columns: DataFrame, block: int) -> DataFrame:
+    """All pairs (row, column) of two tables of distinct values, built in blocks of columns.
+
+    The columns are dealt to blocks by their number; each row meets each block once, by a join on the block's number, and is unfolded there.
+    """
+    numbered = durable(columns.select("column", F.lit(1).cast("long").alias("one")))
+    n = numbered.count()
+    placed = running_totals(numbered, "column", {"one": "upto"}, ranges=count_ranges(numbered))
+    blocks = placed.groupBy(F.expr(f"CAST((upto - 1) DIV {block} AS INT)").alias("block")).agg(F.collect_list("column").alias("columns"))
+    spread = rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // block))).alias("block"))
+    return spread.join(blocks, "block").select("row", F.explode("columns").alias("column"))
+
+
 def crosstab_counts(
-    df: DataFrame, row: str, col: str, levels: Sequence | None = None
+    df: DataFrame, row: str, col: str, levels: Sequence | None = None, block: int = GRID_BLOCK
 ) -> DataFrame:
     """Two-way counts in long form (row, column, n), zero cells kept, missing excluded.
 
-    `levels` are the column levels; by default those that occur.
+    `levels` are the column levels; by default those that occur, however many.
     """
     present = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
     cells = present.groupBy(F.col(row).alias("row"), F.col(col).cast("string").alias("column")).agg(F.count(F.lit(1)).alias("n"))
     cells = durable(cells)
+    rows = cells.select("row").distinct()
     if levels is None:
-        columns = cells.agg(F.array_sort(F.collect_set("column"))).scalar()
+        grid = _grid(rows, cells.select("column").distinct(), block)
     else:
-        columns = F.array(*[F.lit(v).cast("string") for v in levels])
-    grid = cells.select("row").distinct().select("row", F.explode(columns).alias("column"))
+        grid = rows.select("row", F.explode(F.array(*[F.lit(v).cast("string") for v in levels])).alias("column"))
     return grid.join(cells, ["row", "column"], "left").na.fill(0, ["n"]).select("row", "column", "n")
 
 
+def crosstabs(df: DataFrame, row: str, levels: Mapping[str, Sequence]) -> DataFrame:
+    """(indicator, row, column, n) of several columns with known levels against one, zero cells kept, in one pass over the table.
+
+    Each column has the rows that occur with a present value of it.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("indicator"), F.col(c).cast("string").alias("column")) for c in levels])
+    present = df.filter(F.col(row).isNotNull()).select(F.col(row).alias("row"), F.inline(cells)).filter(F.col("column").isNotNull())
+    counts = present.groupBy("indicator", "row", "column").agg(F.count(F.lit(1)).alias("n"))
+    # One map of counts for each row of a table, so that zero cells need no join.
+    by_row = counts.groupBy("indicator", "row").agg(F.map_from_entries(F.collect_list(F.struct("column", "n"))).alias("found"))
+    shown = F.create_map(*[x for c, v in levels.items() for x in (F.lit(c), F.array(*[F.lit(i).cast("string") for i in v]))])
+    listed = by_row.select("indicator", "row", "found", F.explode(shown[F.col("indicator")]).alias("column"))
+    return listed.select("indicator", "row", "column", F.coalesce(F.try_element_at("found", F.col("column")), F.lit(0)).alias("n"))
+
+
 def six_number(df: DataFrame, col: str, sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """Minimum, quartiles, median, mean, maximum and missing count.
 

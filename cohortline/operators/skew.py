@@ -72,19 +72,44 @@ def with_group_values(
     """
     if hot is None:
         hot = hot_keys(df, keys, hot_rows)
+    if hot is NONE_HOT:
+        return _windowed_values(df, keys, values)
+    ordinary, heavy = split_hot(df, keys, hot)
+    return _windowed_values(ordinary, keys, values).unionByName(broadcast_values(heavy, keys, values))
+
+
+def _windowed_values(rows: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
     window = Window.partitionBy(*keys)
+    return rows.withColumns({name: agg.over(window) for name, agg in values.items()})
 
-    def windowed(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({name: agg.over(window) for name, agg in values.items()})
 
-    if hot is NONE_HOT:
-        return windowed(df)
-    ordinary, heavy = split_hot(df, keys, hot)
+def broadcast_values(heavy: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """`with_group_values` for rows of hot keys alone: one aggregate, broadcast to rows that stay where they are."""
     few = heavy.groupBy(*keys).agg(*[agg.alias(name) for name, agg in values.items()])
     names = [_HOT + k for k in keys]
     few = F.broadcast(few.withColumnsRenamed(dict(zip(keys, names, strict=True))))
-    filled = heavy.join(few, same_key(heavy, few, keys, names), "inner").drop(*names)
-    return windowed(ordinary).unionByName(filled)
+    return heavy.join(few, same_key(heavy, few, keys, names), "inner").drop(*names)
+
+
+def _with_blocks(heavy: DataFrame, key: str, date: str, row_id: str, hot_rows: int) -> DataFrame:
+    """Add `_block`, which cuts each day of a hot key into chunks of at most about `hot_rows` rows by row id.
+
+    The borders are measured quantiles of the row ids of each key and day with more rows than that, so ids may be sparse. They are as many as the largest
+    such day needs, known to a tenth of a chunk, and there are at most rows / hot_rows such days.
+    """
+    days = heavy.groupBy(key, date).agg(F.count(F.lit(1)).alias("n"))
+    largest = days.agg(F.max("n")).first()[0] or 0
+    cuts = -(-largest // hot_rows) - 1
+    if cuts <= 0:
+        return heavy.withColumn("_block", F.lit(0))
+    shares = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    borders = heavy.groupBy(F.col(key).alias("_bk"), F.col(date).alias("_bd")).agg(
+        F.count(F.lit(1)).alias("_bn"), F.percentile_approx(row_id, shares, 10 * (cuts + 1)).alias("_borders")
+    )
+    borders = F.broadcast(durable(borders.where(F.col("_bn") > hot_rows).drop("_bn")))
+    joined = heavy.join(borders, same_key(heavy, borders, [key, date], ["_bk", "_bd"]), "left")
+    block = F.size(F.filter("_borders", lambda b: b < F.col(row_id)))
+    return joined.withColumn("_block", F.when(F.col("_borders").isNull(), 0).otherwise(block)).drop("_bk", "_bd", "_borders")
 
 
 def with_neighbours(
@@ -102,32 +127,42 @@ def with_neighbours(
     integer.  New columns: `_ordinal`, `_prev_date`, and `_next`, a struct of the next row's
     date and `values`, NULL on the last row.
 
-    A hot key's history is cut into chunks of one date and one block of `hot_rows` consecutive
-    row ids.  A chunk holds at most `hot_rows` rows and is windowed on its own; what crosses a
+    A hot key's history is cut into chunks of one date and one block of row ids between measured
+    quantiles.  A chunk holds about `hot_rows` rows at most and is windowed on its own; what crosses a
     chunk's edge comes from two small tables: days per key (bounded by the calendar) and
-    blocks per day (bounded by the range of row ids).
+    blocks per day (bounded by the rows of the largest day / `hot_rows`).
     """
     if dict(df.dtypes)[date] != "date":
         raise TypeError(f"{date} must be a DATE: the calendar bounds what is kept per key")
     if hot is None:
         hot = hot_keys(df, [key], hot_rows)
-    shown = F.struct(F.col(date).alias("date"), *[F.col(v) for v in values])
-
-    def windowed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(F.col(date).asc_nulls_last(), F.col(row_id))
-        return rows.withColumns(
-            {
-                "_ordinal": F.row_number().over(w).cast("long"),
-                "_prev_date": F.lag(date).over(w),
-                "_next": F.lead(shown).over(w),
-            }
-        )
-
     if hot is NONE_HOT:
-        return windowed(df, [key])
+        return _windowed_neighbours(df, [key], date, row_id, values)
     ordinary, heavy = split_hot(df, [key], hot)
-    heavy = heavy.withColumn("_block", F.col(row_id) - F.pmod(F.col(row_id), F.lit(hot_rows)))
+    near = _windowed_neighbours(ordinary, [key], date, row_id, values)
+    return near.unionByName(chunked_neighbours(heavy, key, date, row_id, values, hot_rows))
+
 
+def _windowed_neighbours(rows: DataFrame, by: Sequence[str], date: str, row_id: str, values: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(F.col(date).asc_nulls_last(), F.col(row_id))
+    return rows.withColumns(
+        {
+            "_ordinal": F.row_number().over(w).cast("long"),
+            "_prev_date": F.lag(date).over(w),
+            "_next": F.lead(_shown(date, values)).over(w),
+        }
+    )
+
+
+def _shown(date: str, values: Sequence[str]) -> Column:
+    return F.struct(F.col(date).alias("date"), *[F.col(v) for v in values])
+
+
+def chunked_neighbours(
+    heavy: DataFrame, key: str, date: str, row_id: str, values: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """`with_neighbours` for rows of hot keys alone."""
+    heavy, shown = _with_blocks(heavy, key, date, row_id, hot_rows), _shown(date, values)
     blocks = heavy.groupBy(key, date, "_block").agg(
         F.count(F.lit(1)).alias("n"), F.min_by(shown, row_id).alias("head")
     )
@@ -164,13 +199,12 @@ def with_neighbours(
         F.when(F.col("_not_first"), F.col(date)).otherwise(F.col("_day_prev")).alias("_edge_prev"),
         F.coalesce("_block_next", "_day_next").alias("_edge_next"),
     )
-    chunks = windowed(heavy, [key, date, "_block"])
+    chunks = _windowed_neighbours(heavy, [key, date, "_block"], date, row_id, values)
     chunks = chunks.join(edges, same_key(chunks, edges, [key, date, "_block"], ["_k", "_d", "_b"]))
-    chunks = chunks.withColumns(
+    return chunks.withColumns(
         {
             "_prev_date": F.when(F.col("_ordinal") == 1, F.col("_edge_prev")).otherwise(F.col("_prev_date")),
             "_next": F.coalesce("_next", "_edge_next"),
             "_ordinal": F.col("_ordinal") + F.col("_offset"),
         }
     ).drop("_block", "_k", "_d", "_b", "_offset", "_edge_prev", "_edge_next")
-    return windowed(ordinary, [key]).unionByName(chunks)

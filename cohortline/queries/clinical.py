@@ -181,13 +181,7 @@ FROM (SELECT DISTINCT encounter_type AS r FROM derived WHERE {c} IS NOT NULL) a,
 )
 def registry_crosstabs(spark, sf):
     levels = {"renal_failure": ["<=177", "> 177"], "anemia": ["< 10", ">=10"], "hypercalcemia": ["No", "Yes"]}
-    clean = cl.clean(_filled(spark, sf), REGISTRY_COHORT)
-    derived = cl.derive(clean)
-    parts = [
-        ds.crosstab_counts(derived, "encounter_type", c, levels[c]).select(F.lit(c).alias("indicator"), "*")
-        for c in _CRAB
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ds.crosstabs(_derived(spark, sf), "encounter_type", levels)
 
 
 _KM = f"{_INITIAL}, {km_sql('init', 'survival_months', 'survival_status')}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cox as cx
+from ..operators import cox as cx, wide_cox as wx
 from .base import query, rounded, with_patients
 from .cox_sql import fit_sql, summary_sql, tail
 from .survival import months
@@ -266,3 +266,31 @@ def encode(spark, sf):
     people = months(spark, sf)
     dummies = cx.encode(people, "c_mktsegment", "HOUSEHOLD")
     return people.select("hosp_id", *[v.alias(n.split("=")[1].lower()) for n, v in dummies.items()])
+
+
+NATION = cx.Covariate("c_nationkey", "category")
+BALANCE_RAW = cx.Covariate("c_acctbal")
+_NATIONS = f""", nat AS MATERIALIZED (SELECT pat.*, c_nationkey FROM pat JOIN customer ON c_custkey = hosp_id),
+{fit_sql('w', 'nat', 'months', 'status', [NATION, BALANCE_RAW])}
+SELECT term, round(b, 6) AS coef, round(exp(b), 6) AS exp_coef FROM names_w JOIN b_w_7 USING (j)"""
+
+
+@query("cox_wide", with_patients(_NATIONS))
+def cox_wide(spark, sf):
+    """Levels as numbers in a table, Newton's equations by conjugate gradients."""
+    nations = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey")
+    people = months(spark, sf).join(nations, F.col("hosp_id") == F.col("c_custkey"))
+    fit = wx.coxph_wide(people, "months", "status", [NATION, BALANCE_RAW])
+    return rounded(wx.wide_coefficients(fit), "coef", "exp_coef")
+
+
+@query(
+    "encode_levels",
+    with_patients(""", levels AS (SELECT DISTINCT c_mktsegment AS level FROM pat WHERE c_mktsegment IS NOT NULL)
+SELECT hosp_id, number FROM pat LEFT JOIN (SELECT level, row_number() OVER (ORDER BY level <> 'HOUSEHOLD', level) - 1 AS number FROM levels)
+ ON level = c_mktsegment"""),
+)
+def encode_levels(spark, sf):
+    people = months(spark, sf)
+    numbers = wx.number_levels(people, "c_mktsegment", "HOUSEHOLD")
+    return wx.encode_levels(people, "c_mktsegment", numbers, "number").select("hosp_id", "number")

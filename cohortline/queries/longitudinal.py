@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import frames, longitudinal as lg
+from ..operators import chain, frames, longitudinal as lg
 from ..plans.bindings import ENC, enc
 from .base import query, with_enc
 
@@ -213,3 +213,63 @@ def date_from_year(spark, sf):
     return frames.date_from_year(enc(spark, sf).select("ingest_id", "birth_year"), "birth_year", "birth_date").select(
         "ingest_id", "birth_year", F.col("birth_date")
     )
+
+
+@query(
+    "apply_corrections_intent",
+    with_enc("SELECT ingest_id, hosp_id, CASE WHEN hosp_id = 7 THEN DATE '2015-05-27' ELSE dx_date END AS dx_date FROM enc"),
+)
+def apply_corrections_intent(spark, sf):
+    return frames.apply_corrections(_rows(spark, sf, "dx_date"), "hosp_id", "dx_date", {7: date(2015, 5, 27)}, intent=True)
+
+
+# Every third order corrects the ship dates of its lines; some lines have lost their order's key.
+_LINES = "SELECT l_orderkey * 10 + l_linenumber AS ingest_id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS hosp_id, l_shipdate AS dx_date FROM lineitem"
+_FIXES = "SELECT o_orderkey AS k, o_orderdate AS v FROM orders WHERE o_orderkey % 3 = 0"
+
+
+def _line_corrections(spark, sf, intent):
+    spark.read.parquet(f"{sf}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders")
+    return frames.apply_corrections(spark.sql(_LINES), "hosp_id", "dx_date", spark.sql(_FIXES), intent)
+
+
+@query(
+    "corrections_table",
+    f"""SELECT ingest_id, hosp_id, CASE WHEN hosp_id IS NULL THEN NULL WHEN k IS NOT NULL THEN v ELSE dx_date END AS dx_date
+FROM ({_LINES}) LEFT JOIN ({_FIXES}) ON k = hosp_id""",
+)
+def corrections_table(spark, sf):
+    return _line_corrections(spark, sf, intent=False)
+
+
+@query(
+    "corrections_table_intent",
+    f"""SELECT ingest_id, hosp_id, CASE WHEN k IS NOT NULL THEN v ELSE dx_date END AS dx_date
+FROM ({_LINES}) LEFT JOIN ({_FIXES}) ON k = hosp_id""",
+)
+def corrections_table_intent(spark, sf):
+    return _line_corrections(spark, sf, intent=True)
+
+
+CHAIN = [
+    chain.FillMin("iv_date", "e_date"),
+    chain.FillMin("dx_date"),
+    chain.GroupMax("e_date", "latest_encounter"),
+    chain.GroupCount("n_encounters"),
+    chain.HarmoniseMin("dx_date"),
+    chain.Ordinal("record_count"),
+    chain.LeadFill("creatinine_raw", "encounter_type", "Initial", 7, "creatinine"),
+]
+
+
+@query(
+    "repair_chain",
+    with_enc(f"""SELECT ingest_id, hosp_id, e_date, encounter_type, creatinine_raw, coalesce(iv_date, min(e_date) {_BY}) AS iv_date,
+ min(dx_date) {_BY} AS dx_date, max(e_date) {_BY} AS latest_encounter, count(*) {_BY} AS n_encounters, row_number() OVER ({_ORDER}) AS record_count,
+ CASE WHEN encounter_type = 'Initial' AND creatinine_raw IS NULL AND date_diff('day', lag(e_date) OVER ({_ORDER}), e_date) < 7
+  THEN lead(creatinine_raw) OVER ({_ORDER}) ELSE creatinine_raw END AS creatinine FROM enc"""),
+)
+def repair_chain(spark, sf):
+    rows = _rows(spark, sf, "e_date", "iv_date", "dx_date", "encounter_type", "creatinine_raw")
+    return chain.repair_chain(rows, "hosp_id", "e_date", CHAIN)

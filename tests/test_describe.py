@@ -66,3 +66,22 @@ def test_crosstab_of_many_columns(spark):
     df = spark.range(24_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS t", "cast(id % 12000 as string) AS v")
     out = ds.crosstab_counts(df, "t", "v")
     assert out.count() == 24_000 and out.agg({"n": "sum"}).first()[0] == 24_000
+
+
+def test_grid_in_blocks(spark):
+    """12,000 levels, no row of which holds more than a block of them."""
+    df = spark.range(24_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' WHEN id % 11 = 0 THEN NULL ELSE 'b' END AS t", "CAST(id DIV 2 AS STRING) AS v")
+    out = ds.crosstab_counts(df, "t", "v")
+    assert out.count() == 24_000 and out.agg({"n": "sum"}).first()[0] == df.where("t IS NOT NULL").count()
+    assert out.where("n = 0").count() == 24_000 - df.where("t IS NOT NULL").count()
+    plain = ds.crosstab_counts(df.where("v < 30"), "t", "v", block=7)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, ds.crosstab_counts(df.where("v < 30"), "t", "v", block=10**6).collect()))
+    blocks = ds._grid(df.select(ds.F.col("t").alias("row")).distinct(), df.select(ds.F.col("v").alias("column")).distinct(), 1_000)
+    assert "CartesianProduct" not in blocks._jdf.queryExecution().toString() and "NestedLoop" not in blocks._jdf.queryExecution().toString()
+
+
+def test_crosstabs_in_one_pass(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", None, 2), ("b", "y", None), (None, "x", 1), ("a", "x", 2)], "t string, u string, v int")
+    out = sorted(tuple(r) for r in ds.crosstabs(df, "t", {"u": ["x", "y"], "v": [1, 2, 3]}).collect())
+    want = [("u", "a", "x", 2), ("u", "a", "y", 0), ("u", "b", "x", 0), ("u", "b", "y", 1), ("v", "a", "1", 1), ("v", "a", "2", 2), ("v", "a", "3", 0)]
+    assert out == want and ds.crosstabs(df.limit(0), "t", {"u": ["x"]}).count() == 0

@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import frames, longitudinal as lg, quality as q, skew
+from cohortline.operators import chain, frames, longitudinal as lg, quality as q, skew
 from cohortline.plans.bindings import enc
 
 HOT = [10**6, 1]  # rows from which a key counts as hot: none, and nearly all
@@ -235,3 +235,86 @@ def test_hot_keys_are_counted_once(spark, monkeypatch):
     assert lg.ordinal(df, "hosp_id", "e_date", hot=hot).count() == 2 and calls == []
     lg.ordinal(df, "hosp_id", "e_date")
     assert len(calls) == 1
+
+
+def test_table_of_corrections(spark):
+    """50,000 corrections as a mapping, as a small table and as one that is joined by key."""
+    df = spark.range(120_000).selectExpr(
+        "id AS ingest_id", "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 2 = 0 THEN 4 ELSE id END AS hosp_id", "CAST(id AS DOUBLE) AS v", "'x' AS _key"
+    )
+    fix = {k: -float(k) for k in range(0, 150_000, 3)} | {4: None}
+    table = spark.createDataFrame([*fix.items(), (None, 7.0)], "hosp_id long, corrected double")
+    assert len(fix) > 50_000
+
+    def plain(i, intent):
+        key = None if i % 11 == 0 else 4 if i % 2 == 0 else i
+        if key is None:
+            return float(i) if intent else None
+        return fix.get(key, float(i))
+
+    for intent in (False, True):
+        want = [(i, plain(i, intent)) for i in range(120_000)]
+        for corrections, most in ((fix, 10**6), (table, 10**6), (table, 10)):
+            out = frames.apply_corrections(df, "hosp_id", "v", corrections, intent, most)
+            assert out.columns == df.columns and rows_of(out, "ingest_id", "v") == want
+    plan = frames.apply_corrections(df, "hosp_id", "v", table)._jdf.queryExecution().toString()
+    assert len(plan) < 20_000
+    with pytest.raises(ValueError, match="several"):
+        frames.apply_corrections(df, "hosp_id", "v", table.union(table))
+    assert rows_of(frames.apply_corrections(df, "hosp_id", "v", table.limit(0)), "v") == rows_of(df, "v")
+
+
+CHAIN = [
+    chain.FillMin("iv_date", "e_date"),
+    chain.FillMin("dx_date"),
+    chain.GroupMax("e_date", "latest"),
+    chain.GroupCount("n"),
+    chain.HarmoniseMin("dx_date"),
+    chain.Ordinal("record_count"),
+    chain.LeadFill("creatinine_raw", "encounter_type", "Initial", 7, "seven"),
+    chain.LeadFill("creatinine_raw", "encounter_type", "Initial", 14, "fourteen", intent=True),
+]
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 40, 3])
+def test_chain_equals_its_steps(spark, hot_rows):
+    key = F.expr("CASE WHEN ingest_id % 3 = 0 THEN 1 WHEN ingest_id % 7 = 0 THEN NULL ELSE hosp_id END")
+    rows = enc(spark, SF).withColumn("hosp_id", key)
+    rows = rows.select("ingest_id", "hosp_id", "e_date", "iv_date", "dx_date", "encounter_type", "creatinine_raw").cache()
+    out = chain.repair_chain(rows, "hosp_id", "e_date", CHAIN, hot_rows=hot_rows)
+    step = lg.fill_from_group_min(rows, "hosp_id", "iv_date", "e_date")
+    step = lg.fill_from_group_min(step, "hosp_id", "dx_date")
+    step = lg.group_max(step, "hosp_id", "e_date", "latest")
+    step = lg.group_count(step, "hosp_id", "n")
+    step = lg.harmonise_to_min(step, "hosp_id", "dx_date")
+    step = lg.ordinal(step, "hosp_id", "e_date")
+    gap = ("hosp_id", "e_date", "creatinine_raw", "encounter_type", "Initial")
+    step = lg.gap_limited_lead_fill(step, *gap, 7, "seven")
+    step = lg.gap_limited_lead_fill(step, *gap, 14, "fourteen", intent=True)
+    assert out.columns == step.columns and rows_of(out, "*") == rows_of(step, "*")
+
+
+def test_chain_is_one_exchange_and_one_scan(spark):
+    rows = enc(spark, SF).select("ingest_id", "hosp_id", "e_date", "iv_date", "dx_date", "encounter_type", "creatinine_raw")
+    out = chain.repair_chain(rows, "hosp_id", "e_date", CHAIN)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(hosp_id") == 1 and plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+    assert [len(r) for r in chain.rounds(CHAIN[:5])] == [4, 1]
+    with pytest.raises(ValueError, match="come after"):
+        chain.repair_chain(rows, "hosp_id", "e_date", [CHAIN[5], CHAIN[0]])
+    with pytest.raises(ValueError, match="another"):
+        chain.repair_chain(rows, "hosp_id", "e_date", [CHAIN[6], chain.LeadFill("seven", "encounter_type", "Initial", 7, "x")])
+
+
+def test_chunks_of_sparse_row_ids(spark):
+    """Row ids as Spark hands them out, with gaps of 2^33: chunks follow the rows, not the ids."""
+    rows = spark.range(0, 4_000, numPartitions=7).select(
+        F.expr("CASE WHEN id % 5 = 0 THEN id ELSE -1 END").alias("k"), F.expr("CASE WHEN id % 4 > 0 THEN DATE'2020-01-01' END").alias("d"),
+        F.col("id").alias("v"), F.monotonically_increasing_id().alias("row_id"),
+    ).cache()
+    hot = skew.hot_keys(rows, ["k"], 100)
+    chunks = skew._with_blocks(skew.split_hot(rows, ["k"], hot)[1], "k", "d", "row_id", 100).groupBy("k", "d", "_block").count().collect()
+    assert max(r["count"] for r in chunks) <= 200 and len(chunks) <= 2 * 3_200 / 100
+    plain = skew.with_neighbours(rows, "k", "d", "row_id", ["v"], skew.NONE_HOT)
+    split = skew.with_neighbours(rows, "k", "d", "row_id", ["v"], hot, 100)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, split.collect()), key=str)
