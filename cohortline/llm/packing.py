@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.durable import durable
-from .words import slices
+from .words import encoded, slices, span_hashes
 
 WINDOW = 4096
 SHARD_TOKENS = 8_000_000
 #: Pieces of text between blanks whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _WORKER: dict = {}
 
 
@@ -55,33 +55,36 @@ def blank_parts(text: str | None) -> list[str]:
 #: What may follow a word of letters in a part that is put together from the ids of both, and words encoded as one string.
 _TRAILING = ".,;:!?&%$#*|()-"
 _TOGETHER = 1000
+_IS_TRAILING = np.isin(np.arange(256), list(_TRAILING.encode()))
+_IS_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128) | (np.arange(256) >= 128)
+_WORD, _TAIL, _WHOLE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 class _Store:
-    """Sequences of ids by name, one behind the other."""
+    """Sequences of ids by 64-bit keys, one behind the other; place 0 has none."""
 
     def __init__(self):
-        self.place: dict[str, int] = {"": 0}
+        self.keys, self.places = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.ids, self.start = np.empty(0, np.uint32), np.zeros(2, np.int64)
         #: Which sequences were asked for since the last `forget`.
         self.asked = np.zeros(1, dtype=bool)
 
-    def forget(self) -> None:
-        """Keep what was asked for since the last time, or nothing if that is more than half of what is remembered."""
-        kept = [x for x, i in self.place.items() if i and self.asked[i]]
-        old, self.place = self.place, {"": 0}
-        if len(kept) > REMEMBERED // 2:
-            kept = []
-        ids, sizes = self.get(np.fromiter((old[x] for x in kept), np.int64, len(kept)))
-        self.ids, self.start, self.asked = np.empty(0, np.uint32), np.zeros(2, np.int64), np.zeros(1, dtype=bool)
-        self.add(kept, ids, sizes)
-
-    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it isn't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.places[at], -1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keys that are not there yet, each once."""
         first = len(self.start) - 1
-        self.place.update(zip(names, range(first, first + len(names))))
+        keys, places = np.concatenate((self.keys, keys)), np.concatenate((self.places, np.arange(first, first + len(keys))))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[order], places[order]
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
         self.ids = np.concatenate((self.ids, ids))
-        self.asked = np.concatenate((self.asked, np.zeros(len(names), dtype=bool)))
+        self.asked = np.concatenate((self.asked, np.zeros(len(sizes), dtype=bool)))
 
     def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids at the places, one after the other, and their numbers."""
@@ -91,11 +94,21 @@ class _Store:
         total = int(upto[-1]) if len(upto) else 0
         return self.ids[np.repeat(self.start[places] - (upto - size), size) + np.arange(total)], size
 
+    def forget(self) -> None:
+        """Keep what was asked for since the last time, or nothing if that is more than half of what may be remembered."""
+        kept = self.asked[self.places] if len(self.places) else np.zeros(0, dtype=bool)
+        if int(kept.sum()) > REMEMBERED // 2:
+            kept[:] = False
+        keys, (ids, sizes) = self.keys[kept], self.get(self.places[kept])
+        self.__init__()
+        self.add(keys, ids, sizes)
+
 
 class PartIds:
-    """Ids of texts by those of their parts, each encoded once as long as it is remembered.
+    """Ids of texts by those of their parts between blanks, each encoded once as long as it is remembered.
 
-    Where the tokenizer marks the ends of words, a part of letters with punctuation behind has the ids of the word in lower case and of the rest; words are
+    Parts are found and told apart by 64-bit hashes in numpy; only those not met before become strings. Where the tokenizer marks the ends of words,
+    a part of letters with punctuation behind has the ids of the word in lower case and of the rest; words are
     encoded many at a time and told apart by the marks, which is checked by their number. All other parts are encoded by themselves.
     """
 
@@ -106,57 +119,101 @@ class PartIds:
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         if suffix:
             self.ends[[i for x, i in names.items() if x.endswith(suffix)]] = True
-        self.parts, self.words = _Store(), _Store()
+        self.known = _Store()
+        #: Keys of stems of letters that are not encoded as words in lower case.
+        self.odd = np.empty(0, np.uint64)
 
-    def _alone(self, store: _Store, names: list[str]) -> None:
+    def _alone(self, keys: np.ndarray, names: list[str]) -> None:
         found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
         if found:
-            store.add(names, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+            self.known.add(keys, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
 
-    def _learn_words(self, words: list[str]) -> None:
-        groups = [words[a : a + _TOGETHER] for a in range(0, len(words), _TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
+    def _together(self, keys: np.ndarray, words: list[str]) -> None:
+        groups = [slice(a, a + _TOGETHER) for a in range(0, len(words), _TOGETHER)]
+        added: list[tuple] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(words[g]) for g in groups], add_special_tokens=False)):
+            ids, n = np.array(e.ids, np.uint32), len(words[group])
             last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(group) and last[-1] == len(ids) - 1:
-                self.words.add(group, ids, np.diff(np.concatenate(([-1], last))))
+            if len(last) == n and last[-1] == len(ids) - 1:
+                added.append((keys[group], ids, np.diff(np.concatenate(([-1], last)))))
             else:
-                self._alone(self.words, group)
-
-    def _learn(self, parts: list[str]) -> None:
-        plain, rest = [], []
-        for x in parts:
-            letters = x.rstrip(_TRAILING)
-            # Lower case by character, as the tokenizer has it, differs from that of a string for one letter only.
-            if letters.isalpha() and (letters.isascii() or ("\u03a3" not in letters and is_normalized("NFC", letters) and letters.lower().isalpha())):
-                plain.append((x, letters.lower(), x[len(letters) :]))
+                self._alone(keys[group], words[group])
+        if added:
+            self.known.add(*(np.concatenate(x) for x in zip(*added)))
+
+    def _new(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys not known yet, each once; where each is first met)."""
+        distinct, first = np.unique(keys, return_index=True)
+        new = self.known.find(distinct) < 0
+        return distinct[new], first[new]
+
+    def _learn_stems(self, keys: np.ndarray, low: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        new, first = self._new(keys)
+        new, first = (x[~np.isin(new, self.odd)] for x in (new, first))
+        good, odd, words = [], [], []
+        for i, a, b in zip(range(len(new)), starts[first].tolist(), ends[first].tolist()):
+            raw = low[a:b]
+            if raw.isascii():
+                word = raw.decode()
             else:
-                rest.append(x)
-        if not self.ends.any():
-            plain, rest = [], parts
-        known = self.words.place
-        self._learn_words(list({w for _, w, _ in plain if w not in known}))
-        self._alone(self.words, list({t for _, _, t in plain if t not in known}))
-        if plain:
-            places = np.fromiter((known[y] for _, w, t in plain for y in (w, t)), np.int64, 2 * len(plain))
-            ids, sizes = self.words.get(places)
-            self.parts.add([x for x, _, _ in plain], ids, sizes[0::2] + sizes[1::2])
-        self._alone(self.parts, rest)
+                # Lower case by character, as the tokenizer has it, differs from that of a string for one letter only.
+                word = raw.decode("utf-8", "surrogatepass")
+                lower = word.lower()
+                if not (word.isalpha() and "\u03a3" not in word and is_normalized("NFC", word) and lower.isalpha()):
+                    odd.append(i)
+                    continue
+                word = lower
+            good.append(i)
+            words.append(word)
+        self.odd = np.concatenate((self.odd, new[odd]))
+        self._together(new[good], words)
+
+    def _learn(self, keys: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        new, first = self._new(keys)
+        self._alone(new, [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist())])
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin; one more entry ends the last."""
-        parts, counts = [], []
-        for text in texts:
-            own = blank_parts(text)
-            parts.extend(own)
-            counts.append(len(own))
-        for store in (self.parts, self.words):
-            if len(store.place) > REMEMBERED:
-                store.forget()
-        self._learn([x for x in set(parts) if x not in self.parts.place])
-        ids, size = self.parts.get(np.fromiter(map(self.parts.place.__getitem__, parts), np.int64, len(parts)))
+        if len(self.known.keys) > REMEMBERED:
+            self.known.forget()
+        if len(self.odd) > REMEMBERED:
+            self.odd = self.odd[:0]
+        raw = encoded(texts)
+        joined = b" ".join(raw) + b" "
+        low = joined.lower()
+        data = np.frombuffer(joined, dtype=np.uint8)
+        blank = (data == 32) | (data == 10)
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if len(blank) and not blank[0]:
+            edge = np.concatenate(([0], edge))
+        starts, ends = edge[0::2], edge[1::2]
+        key = span_hashes(data, starts, ends) ^ _WHOLE
+        places = np.zeros((len(starts), 2), dtype=np.int64)
+        plain = np.zeros(len(starts), dtype=bool)
+        if self.ends.any() and len(starts):
+            other = np.flatnonzero(~_IS_LETTER[data])
+            stem = np.minimum(other[np.searchsorted(other, starts)], ends)
+            tails = np.concatenate(([0], np.cumsum(_IS_TRAILING[data], dtype=np.int64)))
+            plain = (stem > starts) & (tails[ends] - tails[stem] == ends - stem)
+            word = span_hashes(np.frombuffer(low, dtype=np.uint8), starts, stem) ^ _WORD
+            at = np.flatnonzero(plain)
+            self._learn_stems(word[at], low, starts[at], stem[at])
+            found = self.known.find(word[at])
+            plain[at] = found >= 0
+            at, found = at[found >= 0], found[found >= 0]
+            places[at, 0] = found
+            at = at[ends[at] > stem[at]]
+            tail = span_hashes(data, stem[at], ends[at]) ^ _TAIL
+            self._learn(tail, joined, stem[at], ends[at])
+            places[at, 1] = self.known.find(tail)
+        at = np.flatnonzero(~plain)
+        self._learn(key[at], joined, starts[at], ends[at])
+        places[at, 0] = self.known.find(key[at])
+        ids, size = self.known.get(places.ravel())
         total = np.concatenate(([0], np.cumsum(size)))
-        return ids, total[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        begin = np.concatenate(([0], np.cumsum(sizes + 1)))
+        return ids, total[2 * np.searchsorted(starts, begin)]
 
 
 def part_ids(path: str | None) -> PartIds:
