@@ -22,7 +22,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.durable import scratch_folder
+from ..operators.durable import durable, scratch_folder
+from .frequent import most_frequent
 from .packing import blank_parts, load_tokenizer, tokenizer_path
 from .words import slices
 
@@ -373,10 +374,10 @@ def publish(spark, data: bytes, name: str) -> str:
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, size: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the `size` most frequent words of all documents, ties in the words' order."""
+    """The compiled lexicon of the most frequent words of all documents, at most `size`; words of like frequency are in it together or not at all."""
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
     counts = texts.mapInArrow(_counted(tokenizer), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    top = most_frequent(durable(counts.where(F.octet_length("word") <= LONG_WORD)), size).toArrow()
     words = [x.encode() for x in top.column("word").to_pylist()]
     ids = dict(zip(words, Merges(tokenizer or tokenizer_path()).words(words)))
     return compile_lexicon(words, ids)
@@ -386,7 +387,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """One row for each row of `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256, and with `with_ids` the ids and the decoded text.
 
     A missing or empty text has no ids and decodes to nothing. The strings of special tokens in a text become their ids. Decoding
-    joins the tokens by spaces, as the tokenizer file names no decoder. Other columns are ignored, repeated rows returned as they are.
+    joins the tokens by spaces, as the tokenizer file names no decoder. Other columns are ignored, whatever their names, repeated rows returned as they are; an empty table gives no rows.
     """
     spark = docs.sparkSession
     name = publish(spark, build_lexicon(docs, text_col, tokenizer, lexicon_words), f"lexicon-{uuid4().hex}")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.durable import durable
 from .blobs import SCHEMA, bucket_count, bucket_of, scatter, unpack_all
+from .frequent import most_frequent
 from .graph import components
 from .words import encoded, mix, set_key, shingle_sets, slices
 
@@ -303,8 +304,8 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profiles, schema = _profiles(words)
     found = durable(docs.mapInArrow(profiles, schema))
     stats = found.where("kind = 0")
-    counted = found.where("kind = 1").groupBy("text_hash").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    often = counted.orderBy(F.desc("n"), "text_hash").limit(FREQUENT_MOST).toArrow().column("text_hash").to_numpy()
+    counted = durable(found.where("kind = 1").groupBy("text_hash").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
+    often = most_frequent(counted, FREQUENT_MOST).toArrow().column("text_hash").to_numpy()
     frequent = spark.sparkContext.broadcast(often.astype(np.int64).tobytes())
     records = int((stats.agg(F.sum("n")).first()[0] or 0) * (1 - share)) + 1
     n_buckets = bucket_count(spark, records, 400_000)
