@@ -47,13 +47,16 @@ _CANONICAL = r"""
  FROM records
 """
 _REVISITS = f"""
-WITH tagged AS (SELECT *, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id // 100) AS day FROM pages),
+WITH tagged AS (SELECT *, '"' || md5(coalesce(html, '')) || '"' AS one, '"' || md5(coalesce(html, '') || '2') || '"' AS two, page_id % 3 <> 0 AS changed,
+ 'day ' || (page_id // 100) AS day, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, 'example', 'EXAMPLE', 'g') ELSE url END || '#again' AS again FROM pages),
 records AS (
- SELECT 'r' || page_id AS record_id, 'response' AS kind, url, page_id * 10 AS ts, tag AS etag, day AS modified, NULL AS date, tag AS bare_tag FROM tagged
- UNION ALL
- SELECT 'v' || page_id, 'revisit', CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, 'example', 'EXAMPLE', 'g') ELSE url END || '#again', page_id * 10 + 10005,
-  CASE page_id % 4 WHEN 0 THEN tag WHEN 1 THEN 'W/' || tag WHEN 3 THEN '"other"' END, CASE page_id % 4 WHEN 2 THEN day END, CAST(page_id AS VARCHAR),
-  CASE page_id % 4 WHEN 0 THEN tag WHEN 1 THEN tag WHEN 3 THEN '"other"' END FROM tagged),
+ SELECT 'r' || page_id || 'a' AS record_id, 'response' AS kind, url, page_id * 10 AS ts, one AS etag, day AS modified, NULL AS date, one AS bare_tag FROM tagged
+ UNION ALL SELECT 'r' || page_id || 'b', 'response', url, page_id * 10 + 5000, two, day || '+', NULL, two FROM tagged WHERE changed
+ UNION ALL SELECT 'v' || page_id || 'a', 'revisit', again, page_id * 10 + 2505, one, NULL, CAST(page_id AS VARCHAR), one FROM tagged
+ UNION ALL SELECT 'v' || page_id || 'b', 'revisit', again, page_id * 10 + 10005,
+  CASE page_id % 4 WHEN 0 THEN CASE WHEN changed THEN two ELSE one END WHEN 1 THEN 'W/' || one END, CASE page_id % 4 WHEN 2 THEN day END, CAST(page_id AS VARCHAR),
+  CASE page_id % 4 WHEN 0 THEN CASE WHEN changed THEN two ELSE one END WHEN 1 THEN one END FROM tagged
+ UNION ALL SELECT 'v' || page_id || 'c', 'revisit', again, page_id * 10 - 7, NULL, NULL, CAST(page_id AS VARCHAR), NULL FROM tagged WHERE page_id % 5 = 0),
 named AS ({_CANONICAL}),
 hits AS (
  SELECT v.*, r.record_id AS response_id, r.ts AS response_ts, r.etag AS r_etag, r.modified AS r_modified,

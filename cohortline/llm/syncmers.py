@@ -69,10 +69,14 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     )
 
 
-def positions(anchors: Column) -> Column:
-    """The anchors as (word, hash), for matching by position."""
-    placed = F.transform(anchors, lambda h, i: F.struct(i.alias("word"), h.alias("hash")))
-    return F.filter(placed, lambda x: x["hash"].isNotNull())
+def same_place(a: Column, b: Column) -> Column:
+    """Share of the anchors of `a` that stand at the same word of `b`, 1 where there is none in either.
+
+    An anchor depends on its own words alone, so two texts have the same anchors in a shared beginning, each at its place, up to the last words before they part.
+    """
+    both = F.size(F.array_compact(F.zip_with(a, b, lambda x, y: F.when(x == y, 1))))
+    n, other = F.size(F.array_compact(a)), F.size(F.array_compact(b))
+    return F.when(n > 0, both / n).when(other == 0, 1.0).otherwise(0.0)
 
 
 def sketch(anchors: Column) -> Column:
@@ -112,11 +116,12 @@ def following(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row for each row of `docs`: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, placed_edited (the
+    share of anchors that stand at the same word of the edited text).
 
     The edited text has its last floor(n_chars / 4) characters replaced by the first as many of the next document. A missing text is empty;
     its fingerprint is an empty string. The next document is that with the next larger id, the first after the last; a missing id comes first, and of rows with the same id
-    the one with the least hash of its text stands for all. Other columns are ignored.
+    the one with the least hash of its text stands for all. Other columns are ignored, whatever their names; repeated rows are returned as they are, an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -128,9 +133,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = texts.join(heads, F.col("k") == F.col("ask_k"))
     edited = F.expr("concat(substring(text, 1, n_chars - need), substring(head, 1, need))")
     full = full.withColumn("n_chars", F.char_length("text")).withColumn("need", quarter).select("k", "text_hash", "n_chars", "text", edited.alias("edited"))
-    marked = with_anchors(full, "text", "own").select("k", "text_hash", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("own")).alias("own"))
-    marked = with_anchors(marked, "edited", "other").drop("edited").withColumn("other", sketch(F.col("other")))
-    marked = durable(marked)
+    marked = with_anchors(full, "text", "own").select("k", "text_hash", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), "own")
+    marked = with_anchors(marked, "edited", "other").drop("edited").withColumn("placed_edited", same_place(F.col("own"), F.col("other")))
+    marked = durable(marked.withColumns({"own": sketch(F.col("own")), "other": sketch(F.col("other"))}))
     # One row for each text that stands for an id.
     stands = marked.select(F.col("k").alias("s_k"), F.col("text_hash").alias("s_hash"), F.col("own").alias("next_own")).dropDuplicates(["s_k", "s_hash"])
     known = order.join(stands, (F.col("next_k") == F.col("s_k")) & (F.col("next_rep") == F.col("s_hash"))).select(F.col("k").alias("o_k"), "next_own")
@@ -142,4 +147,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         as_text(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        "placed_edited",
     )

@@ -26,6 +26,19 @@ def test_article_markup(spark):
     assert [got[i].text for i in (1, 2)] == ["", ""] and got[3].text == "plain é" and got[4].text == "cut &am"
 
 
+def test_class_words_do_not_take_article_text(spark):
+    """A part of a name says nothing inside an article, and a heading or paragraph stays whatever its class."""
+    page = (
+        '<nav class="top">Menu</nav><article><div class="entry-header"><h1>Title</h1></div><p class="share-price">Shares rose</p><h2 id="comments-on-law">Comments on law</h2>'
+        '<div class="notice-period"><p class="notice">A month</p></div><div class="share-buttons">Share this</div><div class="ad">Buy</div><section id="reader-comments"><p>First!</p></section>'
+        '<ul class="comment-list"><li>Second</li></ul><div role="search">Find</div><div hidden>Old</div><p>Body</p></article><div class="sidebar-left">Side</div>'
+    )
+    open_page = '<h1 id="comments-on-law">Comments on law</h1><div class="sidebar-left">Side</div><p class="share-price">Shares rose</p>'
+    got = text_of(spark, [("http://a.b/1", page), ("http://c.d/1", open_page)])
+    assert got[0].text == "Title\n\nShares rose\n\nComments on law\n\nA month\n\nBody"
+    assert got[1].text == "Comments on law\n\nShares rose"
+
+
 def test_repeated_runs_go_from_open_blocks(spark):
     line = "this site uses small files to remember what you did"
     pages = [("http://h.x/1", f"<p>{line}</p><p>alpha beta gamma</p>"), ("http://h.x/2", f"<p>delta epsilon</p><p>{line} and more</p>")]
@@ -111,3 +124,21 @@ def test_revisits_against_a_loop(spark):
     other = {g.record_id: g for g in got}
     assert [other[x].outcome for x in ("n1", "n2", "n4")] == ["no_response"] * 3
     assert other["d2"].headers == {"last-modified": "x", "expires": "e", "content-type": "t"} and other["d2"].outcome == "verified" and other["u"].outcome == "unverified"
+
+
+def test_captures_have_every_outcome(spark):
+    """Several fetches of a url, and revisits before, between and after them, one of them at a wild time."""
+    pages = spark.createDataFrame([(i, f"http://www.example.org/p{i}", f"<p>{i}</p>") for i in range(60)], "page_id long, url string, html string")
+    records = revisits.captures(pages)
+    wild = spark.createDataFrame([("w", "revisit", "http://www.example.org/p1", 1 << 62, {}), ("w2", "revisit", "http://www.example.org/p1", -(1 << 62), {})], records.schema)
+    got = {r.record_id: r for r in revisits.resolve(records.union(wild)).collect()}
+    assert len(got) == 60 + 60 + 12 + 2 and {r.outcome for r in got.values()} == {"verified", "mismatch", "unverified", "no_response"}
+    for i in range(60):
+        last = f"r{i}b" if i % 3 else f"r{i}a"
+        assert (got[f"v{i}a"].response_id, got[f"v{i}a"].outcome) == (f"r{i}a", "verified") and got[f"v{i}b"].response_id == last
+        changed = i % 3 > 0
+        assert got[f"v{i}b"].outcome == ("verified", "mismatch" if changed else "verified", "mismatch" if changed else "verified", "unverified")[i % 4]
+        if i % 5 == 0:
+            assert (got[f"v{i}c"].response_id, got[f"v{i}c"].outcome) == (None, "no_response")
+    assert (got["w"].response_id, got["w2"].outcome) == ("r1b", "no_response")
+    assert revisits.resolve(records.limit(0)).count() == 0

@@ -1,15 +1,17 @@
 """Operators on documents against plain versions, with missing, empty, long, repeated and copied texts."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import counts, links, prose, without_repeats
 from tokenizers import Tokenizer
 
-from cohortline.llm import bpe_lexicon, ngram_join, packing, quality_rules, site_classifier, statistics, suffix_dedup, syncmers
+from cohortline.llm import bpe_lexicon, frequent, ngram_join, packing, quality_rules, site_classifier, statistics, suffix_dedup, syncmers
 from cohortline.llm.blobs import pack, unpack
 from cohortline.llm.words import shingle_sets
 
@@ -170,7 +172,7 @@ def test_forgotten_parts_are_learned_again(monkeypatch, tokenizer):
     for text in texts:
         ids, edge = encode([text, None])
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and edge.tolist() == [0, len(ids), len(ids)]
-        assert len(encode.parts.place) < 40
+        assert len(encode.known.keys) < 40
 
 
 def test_lexicon_is_minimal_and_finds_its_words(tmp_path):
@@ -240,6 +242,50 @@ def test_fingerprints(docs, rows):
         assert {r.edited_sha256 for r in got if r.doc_id == i} == {hashlib.sha256(edited.encode()).hexdigest()}
 
 
+def _spark_hash(*values):
+    """XXH64 of strings and longs in a row, as Spark chains it."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_anchors(text):
+    """The anchors of a text by the definition: (word, hash)."""
+    words = [_spark_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    found = []
+    for i in range(len(words) - syncmers.K + 1):
+        run = words[i : i + syncmers.K]
+        inner = [_spark_hash(a, b) for a, b in zip(run, run[1:])]
+        if min(inner) in (inner[0], inner[-1]):
+            halves = [_spark_hash(inner[k], inner[k + 2]) for k in (0, 4)]
+            found.append((i, _spark_hash(*halves)))
+    return found or ([(0, _spark_hash(*words))] if words else [])
+
+
+def plain_likeness(a, b):
+    a, b = (set(sorted({h for _, h in x})[: syncmers.SKETCH]) for x in (a, b))
+    both = sorted(a | b)[: syncmers.SKETCH]
+    return len(set(both) & a & b) / len(both) if both else 1.0
+
+
+def test_fingerprints_equal_brute_force(spark):
+    base = prose(31, 300)
+    texts = [base, base.replace(base.split()[150], "other", 1), "zz " * 5 + base, prose(32, 9), prose(33, 3), "", prose(34, 2000), "é ß\x0bÀ  " + prose(35, 40)]
+    texts += [prose(40 + n, n) for n in range(6, 20)]
+    rows = [(7 * i, t, "own", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, other string, need long")).collect()}
+    for i, text in enumerate(texts):
+        following, quarter, r = texts[(i + 1) % len(texts)], len(text) // 4, got[7 * i]
+        edited = text[: len(text) - quarter] + following[:quarter]
+        own, other = plain_anchors(text), plain_anchors(edited)
+        shown = "".join(f"{(h % (1 << 64)) >> 32:08X}" for h in sorted({h for _, h in own})[: syncmers.SKETCH])
+        assert r.fingerprint == shown and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.near_edited == pytest.approx(plain_likeness(own, other)) and r.near_next == pytest.approx(plain_likeness(own, plain_anchors(following)))
+        assert r.placed_edited == pytest.approx(len(set(own) & set(other)) / len(own) if own else float(not other))
+
+
 def test_syncmers_equal_a_plain_loop(spark):
     texts = [prose(s, n) for s, n in ((1, 5), (2, 8), (3, 9), (4, 200))]
     df = syncmers.with_anchors(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "own")
@@ -283,3 +329,17 @@ def test_packed_arrays():
 def test_short_texts_are_one_shingle():
     sets = list(shingle_sets([b"a b", b"A  B", b"a b c d e", b"", b" "]))
     assert [len(x) for x in sets] == [1, 1, 1, 0, 0] and sets[0][0] == sets[1][0] != sets[2][0]
+
+
+def test_most_frequent_rows(spark):
+    counts = spark.createDataFrame([(i, 1 + i % 70 + (i % 13) * 900) for i in range(500)], "w long, n long").repartition(5)
+    values = sorted((r.n for r in counts.collect()), reverse=True)
+    for size in (0, 1, 40, 200, 499, 500, 10**6):
+        got = sorted((r.n for r in frequent.most_frequent(counts, size).collect()), reverse=True)
+        assert len(got) <= size and got == values[: len(got)]
+        # What is left out begins a class that no longer fits; classes are 32nds of a power of two, or single counts.
+        if len(got) < len(values):
+            first = values[len(got)]
+            low = max(first.bit_length() - frequent.BITS, 0)
+            assert len(got) + sum(v >> low == first >> low and v.bit_length() == first.bit_length() for v in values) > size
+    assert frequent.most_frequent(counts.limit(0), 5).count() == 0
