@@ -65,10 +65,12 @@ def fill_dates(
 
 
 def clean(
-    filled: DataFrame, cohort: tuple = d.COHORT, drop: Sequence[str] = ("birth_year",)
+    filled: DataFrame, cohort: tuple = d.COHORT, drop: Sequence[str] = ("birth_year",), intent: bool = False
 ) -> DataFrame:
     """Harmonise diagnosis dates, take the cohort, drop columns, type missing encounters, dedup.
 
+    As specified two rows of a patient and day are both kept if the name is spelled differently; `intent=True` keeps one.
+
     A corrected patient has one date on all rows, any other patient's earliest is known from
     `fill_dates`, so harmonising needs no second pass over the patient's rows.
     """
@@ -77,7 +79,8 @@ def clean(
     table = frames.cohort(table, "dx_date", *[F.lit(x).cast("date") for x in cohort])
     table = frames.drop_strict(table, drop)
     table = frames.fill_constant(table, "encounter_type", "Return")
-    return durable(lg.dedup_keep_first(table, ["hosp_id", "pat_name", "e_date"]))
+    names = [] if intent else ["pat_name"]
+    return durable(lg.dedup_keep_first(table, ["hosp_id", *names, "e_date"]))
 
 
 def derive(clean: DataFrame, intent: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -176,7 +179,7 @@ def registry(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All stages up to the derived encounter table."""
-    return derive(clean(fill_dates(raw, corrections, hot_rows), cohort, drop), intent, hot_rows)
+    return derive(clean(fill_dates(raw, corrections, hot_rows), cohort, drop, intent), intent, hot_rows)
 
 
 def diagnosis_conflicts(filled: DataFrame) -> DataFrame:
@@ -193,6 +196,11 @@ def frequency_tables(derived: DataFrame) -> DataFrame:
     return describe.freq_many(derived, cols)
 
 
+def survival_frequency_tables(initial: DataFrame) -> DataFrame:
+    """The frequency tables of survival in days, months and years."""
+    return describe.freq_many(initial, ["survival_days", "survival_months", "survival_years"])
+
+
 MODELS = {
     "ecog": [Covariate("ecog_label", "category", "Normal", tuple(d.ECOG.values()))],
     "bone_pain": [Covariate("bone_pain", "category")],

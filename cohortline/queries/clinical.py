@@ -126,6 +126,14 @@ def registry_clean(spark, sf):
     )
 
 
+_CLEAN_COLUMNS = ["ingest_id", "hosp_id", "pat_name", "e_date", "iv_date", "dx_date", "birth_date", "encounter_type"]
+
+
+@query("registry_clean_intent", _sql(_CLEAN.replace("hosp_id, pat_name, e_date ORDER", "hosp_id, e_date ORDER"), f"SELECT {', '.join(_CLEAN_COLUMNS)} FROM clean"))
+def registry_clean_intent(spark, sf):
+    return cl.clean(_filled(spark, sf), REGISTRY_COHORT, intent=True).select(*_CLEAN_COLUMNS)
+
+
 @query(
     "registry_encounters",
     _sql(_DERIVED, "SELECT * REPLACE (round(corrected_calcium, 6) AS corrected_calcium) FROM derived"),
@@ -163,6 +171,42 @@ def registry_frequencies(spark, sf):
     return cl.frequency_tables(_derived(spark, sf))
 
 
+@query(
+    "registry_survival_frequencies",
+    _sql(
+        _INITIAL,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM init WHERE {c} IS NOT NULL GROUP BY 2"
+            for c in ("survival_days", "survival_months", "survival_years")
+        ),
+    ),
+)
+def registry_survival_frequencies(spark, sf):
+    return cl.survival_frequency_tables(_initial(spark, sf))
+
+
+@query(
+    "registry_initial_intent",
+    _sql(
+        _INITIAL,
+        """SELECT ingest_id, hosp_id, record_count, survival_months FROM init
+QUALIFY record_count = min(record_count) OVER (PARTITION BY hosp_id)""",
+    ),
+)
+def registry_initial_intent(spark, sf):
+    """One initial row for a patient."""
+    return cl.initial_visits(_derived(spark, sf), intent=True).select("ingest_id", "hosp_id", "record_count", "survival_months")
+
+
+@query(
+    "registry_ecog_frequencies",
+    _sql(_DERIVED, "SELECT ecog_label AS value, count(*) AS n FROM derived WHERE ecog_label IS NOT NULL GROUP BY 1"),
+)
+def registry_ecog_frequencies(spark, sf):
+    """The table of the labelled index, which the specified name of the column misses."""
+    return ds.freq(_derived(spark, sf), "ecog_label")
+
+
 _CRAB = ["renal_failure", "anemia", "hypercalcemia"]
 
 

@@ -93,15 +93,26 @@ def _flags_sql(columns, source):
 
 @query("keyword_flags", with_enc(_flags_sql(_FLAGGED, "enc")))
 def keyword_flags(spark, sf):
-    decoded = enc(spark, sf).selectExpr(
-        "ingest_id", *[f"{t.recode_sequential(c, codes)} AS {c}" for c, codes, _ in _FLAGGED]
-    )
+    return _flagged(enc(spark, sf), _FLAGGED)
+
+
+def _flagged(rows, columns):
+    decoded = rows.selectExpr("ingest_id", *[f"{t.recode_sequential(c, codes)} AS {c}" for c, codes, _ in columns])
     return decoded.selectExpr(
         "ingest_id",
-        *[f"{t.keyword_flag(c, p)} AS {name}" for c, _, flags in _FLAGGED for name, p in flags.items()],
+        *[f"{t.keyword_flag(c, p)} AS {name}" for c, _, flags in columns for name, p in flags.items()],
     )
 
 
+_PAINS_INTENT = [("pain_codes", d.PAIN_CODES, d.PAIN_FLAGS_INTENT)]
+
+
+@query("pain_flags_intent", with_enc(_flags_sql(_PAINS_INTENT, "enc")))
+def pain_flags_intent(spark, sf):
+    """The fifth flag looks for no pain site, where the specified one repeats the upper limb."""
+    return _flagged(enc(spark, sf), _PAINS_INTENT)
+
+
 @query(
     "keyword_flags_documents",
     "SELECT doc_id, " + ", ".join(f"{sql_flag('text', p)} AS {n}" for n, p in d.COMPLAINT_FLAGS.items()) + " FROM documents",
