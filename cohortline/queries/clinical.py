@@ -176,7 +176,7 @@ def registry_frequencies(spark, sf):
     _sql(
         _INITIAL,
         " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM init WHERE {c} IS NOT NULL GROUP BY 2"
+            f"SELECT '{c}' AS \"column\", CAST({c} + 0.0 AS VARCHAR) AS value, count(*) AS n FROM init WHERE {c} IS NOT NULL GROUP BY 2"
             for c in ("survival_days", "survival_months", "survival_years")
         ),
     ),
@@ -261,12 +261,19 @@ _CLOCK = ("survival_months", "survival_status")
 _INITIAL_ONCE = _INITIAL.replace("\ninit AS (", "\ninit AS MATERIALIZED (")
 
 
+def _settled(df, *cols):
+    """Estimates of a fit that has not settled are not comparable, so the queries don't show them."""
+    return df.withColumns({c: F.when(F.col("converged"), F.col(c)) for c in cols})
+
+
 def _table(df, *first):
-    return rounded(df.select(*first, *_COLUMNS, "n", "n_event", "converged"), *_COLUMNS[1:])
+    shown = _settled(df.select(*first, *_COLUMNS, "n", "n_event", "converged"), *_COLUMNS[1:])
+    return rounded(shown, *_COLUMNS[1:])
 
 
 def _tests(df, *first):
-    return rounded(df.select(*first, "n", "n_event", "df", *_TESTS, "converged"), *_TESTS)
+    shown = _settled(df.select(*first, "n", "n_event", "df", *_TESTS, "converged"), "loglik", "lrt", "lrt_p", "wald", "wald_p", "concordance")
+    return rounded(shown, *_TESTS)
 
 
 _ALL_FITS = ", ".join([_INITIAL_ONCE, *[cox_sql.fit_sql(n, "init", *_CLOCK, m) for n, m in cl.MODELS.items()]])
@@ -306,4 +313,6 @@ def registry_cox_joint_tests(spark, sf):
 
 @query("registry_cox_joint_zph", _sql(f"{_JOINT_FIT}, {cox_sql.zph_sql('joint', cl.JOINT_MODEL)}", ""))
 def registry_cox_joint_zph(spark, sf):
-    return rounded(cx.cox_zph(cl.joint_cox(_initial(spark, sf))), "chisq", "p")
+    fit = cl.joint_cox(_initial(spark, sf))
+    shown = _settled(cx.cox_zph(fit).withColumn("converged", F.lit(fit.converged)), "chisq", "p").drop("converged")
+    return rounded(shown, "chisq", "p")

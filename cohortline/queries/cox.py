@@ -272,7 +272,7 @@ NATION = cx.Covariate("c_nationkey", "category")
 BALANCE_RAW = cx.Covariate("c_acctbal")
 _NATIONS = f""", nat AS MATERIALIZED (SELECT pat.*, c_nationkey FROM pat JOIN customer ON c_custkey = hosp_id),
 {fit_sql('w', 'nat', 'months', 'status', [NATION, BALANCE_RAW])}
-SELECT term, round(b, 6) AS coef, round(exp(b), 6) AS exp_coef FROM names_w JOIN b_w_7 USING (j)"""
+SELECT term, CASE WHEN ok THEN round(b, 6) END AS coef, CASE WHEN ok THEN round(exp(b), 6) END AS exp_coef FROM ok_w, names_w JOIN b_w_7 USING (j)"""
 
 
 @query("cox_wide", with_patients(_NATIONS))
@@ -281,7 +281,9 @@ def cox_wide(spark, sf):
     nations = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey")
     people = months(spark, sf).join(nations, F.col("hosp_id") == F.col("c_custkey"))
     fit = wx.coxph_wide(people, "months", "status", [NATION, BALANCE_RAW])
-    return rounded(wx.wide_coefficients(fit), "coef", "exp_coef")
+    found = wx.wide_coefficients(fit)
+    # Estimates of a fit that has not settled are not comparable, so they are not shown.
+    return rounded(found.withColumns({c: F.when(F.lit(fit.converged), F.col(c)) for c in ("coef", "exp_coef")}), "coef", "exp_coef")
 
 
 @query(

@@ -122,15 +122,17 @@ def fit_sql(tag: str, source: str, time: str, status: str, covariates: Sequence[
         parts += step_sql(tag, k)
         if k < steps:
             parts.append(f"b_{tag}_{k + 1} AS MATERIALIZED (SELECT j, b + step AS b FROM b_{tag}_{k} JOIN sol_{tag}_{k} USING (j))")
+    # Estimates of a fit that has not settled are not comparable, so they are not shown.
+    parts.append(f"ok_{tag} AS MATERIALIZED (SELECT coalesce(max(abs(step)) < 1e-6, false) AS ok FROM sol_{tag}_{steps})")
     return ",\n".join(parts)
 
 
 def summary_sql(tag: str, steps: int = STEPS, first: str = "", digits: int = 6, z_digits: int = 6, sizes: bool = True) -> str:
     """The coefficients of a fit with error, z, p and 95 % limits."""
-    size = f", (SELECT count(*) FROM d_{tag}) AS n, (SELECT CAST(sum(s) AS BIGINT) FROM d_{tag}) AS n_event, true AS converged" if sizes else ""
+    size = f", (SELECT count(*) FROM d_{tag}) AS n, (SELECT CAST(sum(s) AS BIGINT) FROM d_{tag}) AS n_event, (SELECT ok FROM ok_{tag}) AS converged" if sizes else ""
     return f"""SELECT {first}term, round(b, {digits}) AS coef, round(exp(b), {digits}) AS exp_coef, round(se, {digits}) AS se, round(b / se, {z_digits}) AS z,
- round({tail("(b / se) ** 2", "1")}, {digits}) AS p, round(exp(b - {Z95!r} * se), {digits}) AS lower, round(exp(b + {Z95!r} * se), {digits}) AS upper{size}
-FROM (SELECT term, b, sqrt(var) AS se FROM names_{tag} JOIN b_{tag}_{steps} USING (j) JOIN sol_{tag}_{steps} USING (j))"""
+ CASE WHEN b IS NOT NULL THEN round({tail("(b / se) ** 2", "1")}, {digits}) END AS p, round(exp(b - {Z95!r} * se), {digits}) AS lower, round(exp(b + {Z95!r} * se), {digits}) AS upper{size}
+FROM (SELECT term, CASE WHEN ok THEN b END AS b, CASE WHEN ok THEN sqrt(var) END AS se FROM ok_{tag}, names_{tag} JOIN b_{tag}_{steps} USING (j) JOIN sol_{tag}_{steps} USING (j))"""
 
 
 def tests_ctes(tag: str, steps: int = STEPS) -> str:
@@ -141,15 +143,16 @@ def tests_ctes(tag: str, steps: int = STEPS) -> str:
     return f"""scored_{tag} AS MATERIALIZED (SELECT t, s, round(eta, 12) AS eta FROM d_{tag} JOIN r_{last} USING (id)),
 pairs_{tag} AS (SELECT CASE WHEN a.eta > b.eta THEN 1.0 WHEN a.eta = b.eta THEN 0.5 ELSE 0.0 END AS c
  FROM scored_{tag} a JOIN scored_{tag} b ON a.s = 1 AND (b.t > a.t OR (b.t = a.t AND b.s = 0))),
-tests_{tag} AS (SELECT (SELECT count(*) FROM names_{tag}) AS df, z.ll AS loglik0, e.ll AS loglik, 2 * (e.ll - z.ll) AS lrt, ({wald}) AS wald,
- (SELECT sum(step * v) FROM sol_{zero} JOIN u_{zero} USING (j)) AS score FROM ll_{zero} z, ll_{last} e)"""
+tests_{tag} AS (SELECT (SELECT count(*) FROM names_{tag}) AS df, z.ll AS loglik0, CASE WHEN ok THEN e.ll END AS loglik,
+ CASE WHEN ok THEN 2 * (e.ll - z.ll) END AS lrt, CASE WHEN ok THEN ({wald}) END AS wald, ok,
+ (SELECT sum(step * v) FROM sol_{zero} JOIN u_{zero} USING (j)) AS score FROM ll_{zero} z, ll_{last} e, ok_{tag})"""
 
 
 def tests_select(tag: str, first: str = "") -> str:
     return f"""SELECT {first}(SELECT count(*) FROM d_{tag}) AS n, (SELECT CAST(sum(s) AS BIGINT) FROM d_{tag}) AS n_event, CAST(df AS INT) AS df,
- round(loglik0, 6) AS loglik0, round(loglik, 6) AS loglik, round(lrt, 6) AS lrt, round({tail("lrt", "df")}, 6) AS lrt_p, round(wald, 6) AS wald,
- round({tail("wald", "df")}, 6) AS wald_p, round(score, 6) AS score, round({tail("score", "df")}, 6) AS score_p,
- (SELECT round(avg(c), 6) FROM pairs_{tag}) AS concordance, true AS converged FROM tests_{tag}"""
+ round(loglik0, 6) AS loglik0, round(loglik, 6) AS loglik, round(lrt, 6) AS lrt, CASE WHEN ok THEN round({tail("lrt", "df")}, 6) END AS lrt_p, round(wald, 6) AS wald,
+ CASE WHEN ok THEN round({tail("wald", "df")}, 6) END AS wald_p, round(score, 6) AS score, round({tail("score", "df")}, 6) AS score_p,
+ CASE WHEN ok THEN (SELECT round(avg(c), 6) FROM pairs_{tag}) END AS concordance, ok AS converged FROM tests_{tag}"""
 
 
 def zph_sql(tag: str, covariates: Sequence[Covariate], steps: int = STEPS, digits: int = 6) -> str:
@@ -174,5 +177,5 @@ clock_{tag} AS MATERIALIZED (SELECT t, 1 - coalesce(product(1 - d / n_risk) OVER
     parts.append(f"sub_{tag} AS MATERIALIZED (SELECT term, places, w, {sub} AS sub FROM ({groups}), left_{tag})")
     parts.append(f"solved_{tag} AS MATERIALIZED (SELECT term, places, w, {gauss_jordan('sub')} AS m FROM sub_{tag})")
     chisq = "list_sum(list_transform(places, lambda c, i: w[c] * m[i][len(m) + 1]))"
-    shown = f"SELECT term, {chisq} AS chisq, CAST(len(places) AS INT) AS df FROM solved_{tag}"
-    return ",\n".join(parts) + f"\nSELECT term, round(chisq, {digits}) AS chisq, df, round({tail('chisq', 'df')}, {digits}) AS p FROM ({shown})"
+    shown = f"SELECT term, CASE WHEN ok THEN {chisq} END AS chisq, CAST(len(places) AS INT) AS df FROM solved_{tag}, ok_{tag}"
+    return ",\n".join(parts) + f"\nSELECT term, round(chisq, {digits}) AS chisq, df, CASE WHEN chisq IS NOT NULL THEN round({tail('chisq', 'df')}, {digits}) END AS p FROM ({shown})"
