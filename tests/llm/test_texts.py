@@ -283,7 +283,18 @@ def test_fingerprints_equal_brute_force(spark):
         shown = "".join(f"{(h % (1 << 64)) >> 32:08X}" for h in sorted({h for _, h in own})[: syncmers.SKETCH])
         assert r.fingerprint == shown and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert r.near_edited == pytest.approx(plain_likeness(own, other)) and r.near_next == pytest.approx(plain_likeness(own, plain_anchors(following)))
-        assert r.placed_edited == pytest.approx(len(set(own) & set(other)) / len(own) if own else float(not other))
+
+
+def test_anchors_at_the_same_place(spark):
+    """Positional matching by brute force: a shared beginning keeps its anchors, a shift loses them."""
+    base = prose(31, 300)
+    pairs = [(base, base), (base, base + " more"), (base, base.replace(base.split()[150], "other", 1)), (base, "zz " + base), (base, ""), ("", ""), ("", base), (prose(33, 3), prose(33, 3)), (base, prose(36, 300))]
+    df = syncmers.with_anchors(syncmers.with_anchors(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string"), "a", "x"), "b", "y")
+    got = {r.i: r.s for r in df.select("i", syncmers.same_place(df.x, df.y).alias("s")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        own, other = plain_anchors(a), plain_anchors(b)
+        assert got[i] == pytest.approx(len(set(own) & set(other)) / len(own) if own else float(not other))
+    assert got[0] == got[1] == 1 and 0.8 < got[2] < 1 and got[3] < 0.2
 
 
 def test_syncmers_equal_a_plain_loop(spark):
