@@ -13,10 +13,12 @@ of repeats are removed. The suffixes of all texts are never sorted together; the
    sorted and ranked, one column of the layout at a time, eight bytes by eight bytes among those still tied. Any other suffix reaches a cover position within
    three bytes, so windows compare by the rank found there and three bytes more. The smallest id of each class of equal
    windows is kept, all others are marked.
+   An anchor with more than `HOT_RUNS` different runs, as at the edge of a passage that very many documents share, has no bucket: its windows are dealt out
+   by a hash of their bytes. Of equal windows in one slice only those of the smallest id are, so that a window of all documents costs one record a slice.
 4. The marks go back to the documents.
 
-Memory is bounded by the size of a bucket or a slice of text. Steps 1 and 2 trust hashes (48 bits of the anchor with 64 of the run), step 3
-compares bytes. Runs and marks are sent as packed arrays. A long text is handled in slices that overlap by length - 1 bytes.
+Memory is bounded by the size of a bucket or a slice of text; in step 2 an anchor's different runs (24 bytes each) are still in one task. Steps 1 and 2 and the windows of hot
+anchors trust hashes (48 bits of the anchor with 64 of the bytes), the rest of step 3 compares bytes. Runs and marks are sent as packed arrays. A long text is handled in slices that overlap by length - 1 bytes.
 """
 
 from __future__ import annotations
@@ -41,10 +43,15 @@ READ = 4_000_000
 CYCLE, COVER = 7, (0, 1, 3)
 #: Bytes from any position to the next cover position, at most.
 REACH = 3
+#: Different runs of an anchor from which on its windows are dealt out one by one.
+HOT_RUNS = 1000
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _NO_ID = np.iinfo(np.int64).max
 _RUN = ("u8", "u8", "i8")
 _MARK = ("i8", "u1", "u8", "u8")
+_WINDOW = ("u8", "u8", "u8", "i8", "u1")
+#: What a record of _MARK says: a run that repeats as a whole, a run whose bytes or whose windows are needed, windows that repeat.
+WHOLE, ASKED, HOT, PART = range(4)
 
 
 def _grown(values: np.ndarray, more: np.ndarray, n_more: int, at: int) -> np.ndarray:
@@ -54,7 +61,7 @@ def _grown(values: np.ndarray, more: np.ndarray, n_more: int, at: int) -> np.nda
 
 
 class Runs:
-    """The runs of windows of some byte strings: text, first and last window start, anchor start, and the two hashes."""
+    """The runs of windows of some byte strings: text, first and last window start, anchor start, the two hashes, and a hash for each window start."""
 
     def __init__(self, texts: list[bytes], length: int):
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -64,7 +71,7 @@ class Runs:
         if len(data) < length:
             none = np.empty(0, np.int64)
             self.text = self.first = self.last = self.anchor = none
-            self.key = self.content = none.astype(np.uint64)
+            self.key = self.content = self.window = none.astype(np.uint64)
             return
         h1 = mix(data.astype(np.uint64) + np.uint64(1))
         h = {1: h1}
@@ -93,7 +100,7 @@ class Runs:
         self.last = starts[np.concatenate((edge[1:], [len(at)])) - 1] if len(at) else self.first
         self.text = np.searchsorted(self.begin, self.first, side="right") - 1
         # Empty texts begin where the next one does; the last of them is the one with bytes.
-        self.key = anchors[self.anchor]
+        self.key, self.window = anchors[self.anchor], whole
         ends = mix(whole[self.first]) * _BASE + whole[self.last]
         self.content = mix(ends + (self.last - self.first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -156,11 +163,11 @@ def _home(doc: np.ndarray, n_homes: int) -> np.ndarray:
 
 def _marks(doc: np.ndarray, content: np.ndarray) -> list[np.ndarray]:
     """Records of whole runs that are repeats."""
-    return [doc, np.zeros(len(doc), np.uint8), content, np.zeros(len(doc), np.uint64)]
+    return [doc, np.full(len(doc), WHOLE, np.uint8), content, np.zeros(len(doc), np.uint64)]
 
 
-def _settled(n_buckets: int, n_homes: int):
-    """Whole runs that repeat (kind 0), and runs whose bytes are needed (kind 1), dealt to the documents' buckets."""
+def _settled(n_buckets: int, n_homes: int, hot_runs: int):
+    """Whole runs that repeat, and runs whose bytes or windows are needed, dealt to the documents' buckets."""
 
     def settled(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         at = bucket[0].as_py()
@@ -174,9 +181,10 @@ def _settled(n_buckets: int, n_homes: int):
         first_run = np.flatnonzero(new_key[new_run])
         early = owner[new_run]
         low, high = np.minimum.reduceat(early, first_run), np.maximum.reduceat(early, first_run)
-        several = np.repeat(low < high, np.diff(np.concatenate((first_run, [len(early)]))))
+        n_runs = np.diff(np.concatenate((first_run, [len(early)])))
+        several, hot = np.repeat(low < high, n_runs), np.repeat(n_runs > hot_runs, n_runs)
         doc = np.concatenate((owner[repeat], early[several]))
-        kind = np.concatenate((np.zeros(int(repeat.sum()), np.uint8), np.ones(int(several.sum()), np.uint8)))
+        kind = np.concatenate((np.full(int(repeat.sum()), WHOLE, np.uint8), np.where(hot[several], HOT, ASKED).astype(np.uint8)))
         hashes = np.concatenate((content[repeat], content[new_run][several]))
         return _to_homes(doc, kind, hashes, np.zeros(len(doc), np.uint64), n_homes)
 
@@ -189,59 +197,103 @@ def _to_homes(doc, kind, content, mask, n_homes: int) -> pa.Table:
 
 
 def _by_document(table: pa.Table) -> pa.Table:
-    """One row for each document: its marks and the runs it is asked for."""
+    """One row for each document: its marks, the runs it is asked for, and how many of them by windows."""
     doc, kind, content, mask = unpack_all(table.column("data").to_pylist(), _MARK)
     order = np.argsort(doc, kind="stable")
     doc, kind, content, mask = doc[order], kind[order], content[order], mask[order]
     edge = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)])) if len(doc) else np.zeros(1, np.int64)
-    marks, asks = [], []
+    marks, asks, n_hot = [], [], []
     for a, b in zip(edge[:-1], edge[1:]):
-        own = kind[a:b] != 1
+        own = (kind[a:b] == WHOLE) | (kind[a:b] == PART)
         marks.append(pack([content[a:b][own], mask[a:b][own]]) if own.any() else None)
-        asks.append(pack([np.unique(content[a:b][~own])]) if not own.all() else None)
-    return pa.table({"mark_id": pa.array(doc[edge[:-1]]), "marks": pa.array(marks, pa.binary()), "asks": pa.array(asks, pa.binary())})
+        asked, at = np.unique(content[a:b][~own], return_index=True)
+        hot = kind[a:b][~own][at] == HOT
+        asks.append(pack([asked, hot.astype(np.uint8)]) if len(asked) else None)
+        n_hot.append(int(hot.sum()))
+    columns = {"marks": pa.array(marks, pa.binary()), "asks": pa.array(asks, pa.binary()), "n_hot": pa.array(n_hot, pa.int64())}
+    return pa.table({"mark_id": pa.array(doc[edge[:-1]]), **columns})
 
 
-_BY_DOCUMENT = "mark_id long, marks binary, asks binary"
+_BY_DOCUMENT = "mark_id long, marks binary, asks binary, n_hot long"
 
 
-def _asked_runs(length: int, n_buckets: int):
-    """The bytes of the runs that are asked for, laid out with the anchor at one offset."""
+def _windows(runs: Runs, at: np.ndarray, owner: np.ndarray, lead: int) -> tuple[np.ndarray, ...]:
+    """The windows of the runs `at`: two hashes, the run's content, the owner, and the window's layout column."""
+    count = runs.last[at] - runs.first[at] + 1
+    run = np.repeat(at, count)
+    start = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + runs.first[run]
+    key = runs.key[run]
+    return mix(runs.window[start]) ^ key, key, runs.content[run], owner[run], (start - runs.anchor[run] + lead).astype(np.uint8)
+
+
+def _later(first: np.ndarray, second: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether a smaller owner has the same pair of hashes."""
+    order = np.lexsort((owner, second, first))
+    first, second, own = first[order], second[order], owner[order]
+    new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    later = np.empty(len(own), dtype=bool)
+    later[order] = own > own[new][np.cumsum(new) - 1]
+    return later
+
+
+def _asked_runs(length: int, n_buckets: int, n_windows: int, n_homes: int):
+    """What documents are asked for: by the buckets of their anchors the bytes of runs, laid out with the anchor at one offset; in the next `n_windows` buckets the windows
+    of hot anchors; and beyond, by documents, those windows that repeat one of the same slice."""
     lead = length - K
     width = length + lead
 
+    def laid_out(runs: Runs, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        source = np.concatenate((np.zeros(lead, np.uint8), runs.data, np.zeros(width, np.uint8)))
+        layout = source[(runs.anchor[at])[:, None] + np.arange(width)]
+        column = np.arange(width)
+        before = (runs.anchor - runs.first)[at]
+        count = (runs.last - runs.first)[at] + 1
+        layout[(column < (lead - before)[:, None]) | (column >= (lead - before + count - 1 + length)[:, None])] = 0
+        rows = np.ascontiguousarray(layout).view(f"V{width}").ravel()
+        return runs.key[at], runs.content[at], owner[at], before.astype(np.uint16), count.astype(np.uint16), rows
+
     def asked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=READ):
-            ids, asks = _ids(batch), [unpack(x, ("u8",))[0] for x in batch.column("asks").to_pylist()]
-            out = []
+            ids, asks = _ids(batch), [unpack(x, ("u8", "u1")) for x in batch.column("asks").to_pylist()]
+            out, small = [], []
             for part in _pieces(encoded(batch.column("text").to_pylist()), length):
                 runs = Runs([x for _, _, x in part], length)
                 of = np.fromiter((i for i, _, _ in part), np.int64, len(part))
                 edge = np.searchsorted(runs.text, np.arange(len(part) + 1))
-                chosen = []
+                chosen, hot = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for p, i in enumerate(of):
-                    at = np.arange(edge[p], edge[p + 1])
-                    at = at[np.isin(runs.content[at], asks[i])]
-                    chosen.append(at[np.unique(runs.content[at], return_index=True)[1]])
-                at = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
-                if not len(at):
-                    continue
-                source = np.concatenate((np.zeros(lead, np.uint8), runs.data, np.zeros(width, np.uint8)))
-                layout = source[(runs.anchor[at])[:, None] + np.arange(width)]
-                column = np.arange(width)
-                before = (runs.anchor - runs.first)[at]
-                count = (runs.last - runs.first)[at] + 1
-                layout[(column < (lead - before)[:, None]) | (column >= (lead - before + count - 1 + length)[:, None])] = 0
-                out.append(
-                    (runs.key[at], runs.content[at], ids[of][runs.text[at]], before.astype(np.uint16), count.astype(np.uint16), np.ascontiguousarray(layout).view(f"V{width}").ravel())
-                )
+                    asked, wide = asks[i]
+                    content, first = np.unique(runs.content[edge[p] : edge[p + 1]], return_index=True)
+                    place = np.minimum(np.searchsorted(asked, content), len(asked) - 1)
+                    found = asked[place] == content
+                    chosen.append(edge[p] + first[found & (wide[place] == 0)])
+                    hot.append(edge[p] + first[found & (wide[place] == 1)])
+                owner = ids[of][runs.text]
+                at, at_hot = np.concatenate(chosen), np.concatenate(hot)
+                if len(at):
+                    out.append(laid_out(runs, at, owner))
+                if len(at_hot):
+                    small.append(_windows(runs, at_hot, owner, lead))
             if out:
                 key, *rest = (np.concatenate(c) for c in zip(*out))
                 yield from scatter(bucket_of(key, n_buckets), [key >> np.uint64(16), *rest], ascending=True)
+            del out
+            if small:
+                # All windows of the smallest owner go on: its other runs may have them too.
+                found = [np.concatenate(c) for c in zip(*small)]
+                later = _later(found[0], found[1], found[3])
+                yield from scatter(n_buckets + bucket_of(found[0][~later], n_windows), [c[~later] for c in found])
+                _, _, content, owner, column = (c[later] for c in found)
+                yield from scatter(n_buckets + n_windows + _home(owner, n_homes), _parts(owner, content, column))
 
     return asked_runs
 
 
+def _parts(doc: np.ndarray, content: np.ndarray, column: np.ndarray) -> list[np.ndarray]:
+    """Records of single windows that are repeats."""
+    return [doc, np.full(len(doc), PART, np.uint8), content, np.uint64(1) << column.astype(np.uint64)]
+
+
 def _ranks(strings: np.ndarray) -> np.ndarray:
     """Dense ranks of the rows of a byte matrix, eight bytes at a time among the rows still tied."""
     n, width = strings.shape
@@ -300,19 +352,27 @@ def repeated_windows(layout: np.ndarray, before: np.ndarray, count: np.ndarray,
     return marks
 
 
-def _compared(length: int, n_homes: int):
+def _compared(length: int, n_buckets: int, n_windows: int, n_homes: int):
+    """The windows that repeat, dealt to the documents' buckets; buckets as `_asked_runs` deals them."""
     lead = length - K
     kinds = ("u8", "u8", "i8", "u2", "u2", f"V{length + lead}")
 
-    def compared(table: pa.Table) -> pa.Table:
-        key, content, owner, before, count, layout = unpack_all(table.column("data").to_pylist(), kinds, ascending=True)
+    def compared(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at, blobs = bucket[0].as_py(), table.column("data")
+        if at >= n_buckets + n_windows:  # settled where they were found
+            return pa.table({"bucket": pa.array(np.full(table.num_rows, at - n_buckets - n_windows)), "data": blobs})
+        if at >= n_buckets:
+            first, second, content, owner, column = unpack_all(blobs.to_pylist(), _WINDOW)
+            later = _later(first, second, owner)
+            return _to_homes(*_parts(owner[later], content[later], column[later]), n_homes)
+        key, content, owner, before, count, layout = unpack_all(blobs.to_pylist(), kinds, ascending=True)
         order = np.argsort(key, kind="stable")
         key, content, owner = key[order], content[order], owner[order]
         before, count = before[order].astype(np.int64), count[order].astype(np.int64)
         layout = layout[order].view(np.uint8).reshape(len(key), length + lead)
         mask = repeated_windows(layout, before, count, owner, length)
         hit = mask != 0
-        return _to_homes(owner[hit], np.full(int(hit.sum()), 2, np.uint8), content[hit], mask[hit], n_homes)
+        return _to_homes(owner[hit], np.full(int(hit.sum()), PART, np.uint8), content[hit], mask[hit], n_homes)
 
     return compared
 
@@ -383,12 +443,13 @@ def _cut(length: int, names: list[str], with_text: bool):
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = False, keep: tuple[str, ...] = (), hot_runs: int = HOT_RUNS) -> DataFrame:
     """One row for each row of `docs`: doc_id, the columns `keep`, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (byte
     offsets of the removed runs) and, with `with_text`, kept_text, in which a character goes only if all its bytes go.
 
     `length` is 20 to 63 bytes. A missing text is empty; a text shorter than `length` loses nothing and removes nothing. Rows with the same id never remove from each
-    other. A missing id counts as larger than any other. Columns of `keep` must not have the names above.
+    other. A missing id counts as larger than any other. Columns of `keep` must not have the names above; other columns are ignored. An empty table gives no rows. An anchor with more than
+    `hot_runs` different runs is settled by its windows, with the same result.
     """
     if not K + REACH < length < 64:
         raise ValueError("length must be 20 to 63")
@@ -400,14 +461,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n_buckets = bucket_count(spark, n_runs, 300_000)
     dealt = texts.mapInArrow(_dealt_runs(length, n_buckets, n_homes), SCHEMA)
-    homes = dealt.groupBy("bucket").applyInArrow(_settled(n_buckets, n_homes), SCHEMA)
+    homes = dealt.groupBy("bucket").applyInArrow(_settled(n_buckets, n_homes, hot_runs), SCHEMA)
     found = durable(homes.groupBy("bucket").applyInArrow(_by_document, _BY_DOCUMENT))
 
     own_id = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
     asks = found.where("asks is not null").select("mark_id", "asks")
     asked = texts.join(asks, own_id == F.col("mark_id")).select("doc_id", "text", "asks")
-    compared = asked.mapInArrow(_asked_runs(length, bucket_count(spark, n_runs // 8, 40_000)), SCHEMA)
-    compared = compared.groupBy("bucket").applyInArrow(_compared(length, n_homes), SCHEMA)
+    n_hot = int(found.agg(F.sum("n_hot")).first()[0] or 0)
+    dealing = length, bucket_count(spark, n_runs // 8, 40_000), bucket_count(spark, n_hot * (length - K + 1), 300_000), n_homes
+    compared = asked.mapInArrow(_asked_runs(*dealing), SCHEMA).groupBy("bucket").applyInArrow(_compared(*dealing), SCHEMA)
     parts = durable(compared.groupBy("bucket").applyInArrow(_by_document, _BY_DOCUMENT))
 
     marks = (

@@ -90,6 +90,17 @@ def test_repeats_in_slices(spark, monkeypatch):
     same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()], [(r[0], *x) for r, x in zip(rows, without_repeats(rows))])
 
 
+@pytest.mark.parametrize("hot_runs", [0, 3])
+def test_repeats_of_hot_anchors(spark, docs, rows, hot_runs):
+    """Anchors settled by windows: in every document a passage among other words, in some twice; later copies with a changed letter; over several partitions."""
+    shared = prose(60, 25)
+    more = [(100 + i, prose(70 + i, 12) + " " + shared + " " + prose(90 + i, 12) + (" " + shared if i % 3 else "")) for i in range(20)]
+    more += [(130 + i, more[i][1][: 40 + i] + "?" + more[i][1][41 + i :]) for i in range(20)] + [(None, shared), (139, shared)]
+    for table, known in ((docs, rows), (spark.createDataFrame(more, "doc_id long, text string").repartition(5), more)):
+        got = suffix_dedup.remove_repeats(table, hot_runs=hot_runs).collect()
+        same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], [(r[0], *x) for r, x in zip(known, without_repeats(known))])
+
+
 def test_counts(rows):
     table = statistics.counts([(r[1] or "").encode() for r in rows])
     assert [tuple(x[:5]) for x in table.tolist()] == [counts(r[1]) for r in rows]
