@@ -151,12 +151,17 @@ def _dealt_runs(length: int, n_buckets: int, n_homes: int):
             if len(key):
                 order, new, repeat = _least_owners(key >> np.uint64(16), content, owner)
                 first, again = order[new], order[repeat]
-                yield from scatter(bucket_of(key[first], n_buckets), [key[first] >> np.uint64(16), content[first], owner[first]], ascending=True)
+                yield from scatter(_bucket(key[first], n_buckets), [key[first] >> np.uint64(16), content[first], owner[first]], ascending=True)
                 yield from scatter(n_buckets + _home(owner[again], n_homes), _marks(owner[again], content[again]))
 
     return dealt_runs
 
 
+def _bucket(key: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket of an anchor. Anchors have the least hashes of their windows, so these are mixed again."""
+    return bucket_of(mix(key), n_buckets)
+
+
 def _home(doc: np.ndarray, n_homes: int) -> np.ndarray:
     return bucket_of(mix(doc.view(np.uint64)), n_homes)
 
@@ -276,7 +281,7 @@ def _asked_runs(length: int, n_buckets: int, n_windows: int, n_homes: int):
                     small.append(_windows(runs, at_hot, owner, lead))
             if out:
                 key, *rest = (np.concatenate(c) for c in zip(*out))
-                yield from scatter(bucket_of(key, n_buckets), [key >> np.uint64(16), *rest], ascending=True)
+                yield from scatter(_bucket(key, n_buckets), [key >> np.uint64(16), *rest], ascending=True)
             del out
             if small:
                 # All windows of the smallest owner go on: its other runs may have them too.
