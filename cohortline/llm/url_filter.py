@@ -3,7 +3,7 @@
 Level 1 of the cascade holds the listed keys; level 2 the keys of the corpus that pass level 1 though they aren't listed; level 3 the listed keys
 that pass level 2, and so on until nothing passes wrongly. A key is judged by the first level that it fails, so for every key of the
 corpus the answer is exact, and the urls are judged in one scan without a join. The levels are bit arrays of about 1.44 log2(1 / p) bits a key,
-held in one-row tables that the judging plan reads as scalar subqueries. Their size is checked; a list beyond `MAX_BYTES` is joined instead.
+held in one-row tables that the judging plan reads as scalar subqueries. Their size is checked before they are built; a list beyond `MAX_BYTES` is joined instead.
 """
 
 from __future__ import annotations
@@ -40,13 +40,18 @@ def rule_of(host: Column, path: Column, rules: Sequence[str]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def _shape(n_keys: int, rate: float) -> tuple[int, int]:
+    """Hash functions and 64-bit words of a Bloom filter."""
+    hashes = max(1, round(math.log2(1 / rate)))
+    return hashes, max(1, math.ceil(n_keys * hashes / math.log(2) / 64))
+
+
 class Level:
-    """A Bloom filter as a one-row table of 64-bit words."""
+    """A Bloom filter as a one-row table of 64-bit words. Its size is to be checked before."""
 
     def __init__(self, keys: DataFrame, number: int, n_keys: int, rate: float):
         self.number = number
-        self.hashes = max(1, round(math.log2(1 / rate)))
-        self.words = max(1, math.ceil(n_keys * self.hashes / math.log(2) / 64))
+        self.hashes, self.words = _shape(n_keys, rate)
         spark = keys.sparkSession
         places = keys.select(F.explode(F.array(*[self._place(F.col("key"), j) for j in range(self.hashes)])).alias("place"))
         bits = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
@@ -79,11 +84,11 @@ class Cascade:
         while n_in:
             # The first level passes about as many others as there are listed keys, each later one half.
             rate = min(0.5, n_in / max(1, n_out)) if not self.levels else 0.5
-            level = Level(inside, len(self.levels) + 1, n_in, rate)
-            size += 8 * level.words
+            size += 8 * _shape(n_in, rate)[1]
             if size > MAX_BYTES or len(self.levels) >= MAX_LEVELS:
                 self.levels, self.listed = [], listed
                 return
+            level = Level(inside, len(self.levels) + 1, n_in, rate)
             self.levels.append(level)
             wrong = durable(outside.where(level.passes(F.col("key"))))
             inside, outside, n_in = wrong, inside, wrong.count()
@@ -103,7 +108,7 @@ def judge(urls: DataFrame, url_col: str, allow: Sequence[str], block: Sequence[s
     """The columns `keep`, and host, path, rule, verdict: the rule's, else block if the host is listed (a table with a column key), else allow.
 
     The host is what follows the first :// up to the first of / ? # with A-Z in lower case, the path what follows up to ? or #; a missing url or one without
-    :// has neither. Repeated rows are judged alike.
+    :// has neither. Repeated rows are judged alike, an empty table gives no rows. Columns of `keep` must not be named host, path, rule, verdict or _listed; other columns are ignored.
     """
     parsed = urls.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     cascade = Cascade(listed, parsed.select(F.col("host").alias("key")))
