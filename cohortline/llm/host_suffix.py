@@ -1,26 +1,34 @@
 """Main text of web pages: markup first, then a suffix array over each host's pages.
 
-A page is cut into blocks. Blocks inside an article (or a main element) are its text whatever other pages hold, as copies of an article are still
-articles; blocks in menus, headers, footers, sidebars, adverts, notices, forms and comments are not. On pages without such
-markup the remaining blocks are open. For those, the token streams of a host's pages are put together: the suffixes of all blocks outside articles,
-cut after RUN tokens, are sorted in buckets by host and first token, and neighbours that agree in RUN tokens (or to the end of a shorter
-block) lie on a substring that is repeated. Pages with different text that hold such a run are counted (copies of a page are one). Its tokens are taken
-out of an open block if `needed` pages of the host have it and such runs cover at least COVER of the block, so inner phrases and quotations stay. What fewer than STRONG
+A page is cut into blocks. Blocks in menus, headers, footers, sidebars, adverts, notices, forms and comments are chrome. On pages with an article (or a main
+element) its blocks are the text, on pages without such markup all blocks that are no chrome, called open. Both are then judged by the token streams of the host's pages put
+together: suffixes, cut after RUN tokens, are sorted in buckets by host and first token, and neighbours that agree in RUN tokens (or to the end of a shorter
+block) lie on a substring that is repeated. Pages with different text that hold such a run are counted (copies of a page are one).
+
+Open blocks: every suffix is in the array, also those of chrome. A run's tokens are taken out
+of an open block if `needed` pages of the host have it and such runs cover at least COVER of the block, so inner phrases and quotations stay. What fewer than STRONG
 pages share may also be near copies of an article: a page that would lose more than MOST of its open tokens to such runs keeps them.
 
+Article blocks: markup says they are text, so only a notice of the host takes one out, which is a block all of whose tokens lie in runs that `needed_in_articles` articles of the
+host have. The first token lies in no other run than the block's first, so the array holds that suffix of each block; all suffixes are looked at in blocks whose first one is on so many
+articles. Articles that have the same first or the same longest block beside it count as one, as copies of an article, also changed ones, are still articles;
+a page that would lose more than MOST of its article keeps it.
+
 Suffixes are reduced to one for each task and string before the shuffle, with the least and greatest page text they stand on, so a line
 that every page of a large host has costs a row for each task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.durable import durable
 from .blobs import SCHEMA, bucket_count, bucket_of, scatter, unpack_all
@@ -33,7 +41,7 @@ RUN = 10
 COVER = 0.8
 #: Pages from which on a tenth of the host's pages is enough, and copying no longer the likelier reason.
 STRONG = 10
-#: Share of the open tokens that runs on fewer pages may take out of a page.
+#: Share of the open tokens that runs on fewer pages may take out of a page, and of an article's that any runs may.
 MOST = 0.8
 MAIN, CHROME, OPEN = 0, 1, 2
 _TOKEN = re.compile(
@@ -204,16 +212,75 @@ def _whole(suffixes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return (suffixes[:, -1] != 0) | first
 
 
-def _run_keys(host: np.uint64, suffixes: np.ndarray) -> np.ndarray:
-    out = np.full(len(suffixes), host, dtype=np.uint64)
+def _run_keys(hosts: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """64 bits for each run of each host."""
+    out = np.zeros(len(suffixes), dtype=np.uint64)
     for j in range(RUN):
         out = mix(out * np.uint64(0x2545F4914F6CDD1D) + suffixes[:, j])
-    return out
-
-
-def _host_hash(host: str | None) -> np.uint64:
-    raw = np.frombuffer(b"h" + (host or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+    return out ^ mix(hosts)
+
+
+def _hash_of(text: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Suffixes(NamedTuple):
+    """The suffixes of some pages, in page order, and what is known of each page with text."""
+
+    page: np.ndarray
+    kind: np.ndarray
+    block: np.ndarray
+    #: Position among the page's open tokens.
+    place: np.ndarray
+    runs: np.ndarray
+    #: Hashes of the first and the longest block in the rest of the article.
+    first: np.ndarray
+    longest: np.ndarray
+    #: For each page: its place in the batch, whether its main text is marked, and hashes of its host and text.
+    at: np.ndarray
+    marked: np.ndarray
+    host: np.ndarray
+    text: np.ndarray
+
+
+def _read(batch: pa.RecordBatch) -> Suffixes:
+    """Every suffix outside articles that has RUN tokens or is a whole shorter block, and the first suffix of each article block."""
+    tokens: list[bytes] = []
+    stream, pages, names, firsts, lengths = [], [], [], [], []
+    for i, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
+        found, marked = _streams(page)
+        if not found:
+            continue
+        article = [b for b, (kind, _) in enumerate(found) if kind == MAIN]
+        # What is left of an article without one of its blocks begins with its first or second block, and its longest is the article's or the next.
+        for ranks, order in ((firsts, article[:2]), (lengths, sorted(article, key=lambda b: -len(found[b][1]))[:2])):
+            ranks.append([order[0] if order else -1, *[_hash_of(found[b][1]) for b in order], 0, 0][:3])
+        for b, (kind, text) in enumerate(found):
+            raw = text.encode("utf-8", "surrogatepass")
+            own = raw.split(b" ", RUN)[:RUN] if kind == MAIN else raw.split(b" ")
+            tokens.extend(own)
+            stream.append((len(pages), kind, b, len(own)))
+        pages.append((i, marked))
+        names.append((_hash_of(host), _hash_of(_own(found, marked))))
+    page, kind, block, n = np.array(stream, dtype=np.int64).reshape(-1, 4).T
+    owner = np.repeat(np.arange(len(n)), n)
+    suffixes = _suffixes(tokens, owner) if tokens else np.zeros((0, RUN), np.uint64)
+    begins = np.flatnonzero(_whole(suffixes, owner))
+    owner_of = owner[begins]
+    is_open = np.concatenate(([0], np.cumsum((kind == OPEN)[owner])))
+    block_start = np.cumsum(n) - n
+    page_start = block_start[np.searchsorted(page, np.arange(len(pages)))] if len(pages) else block_start
+    place = is_open[begins] - is_open[page_start[page[owner_of]]]
+    at, marked = np.array(pages, dtype=np.int64).reshape(-1, 2).T
+    host, text = np.array(names, dtype=np.uint64).reshape(-1, 2).T
+    of, number = page[owner_of], block[owner_of]
+
+    def rest(ranks: list[list[int]]) -> np.ndarray:
+        best = np.array([x[0] for x in ranks], dtype=np.int64)[of]
+        hashes = np.array([x[1:] for x in ranks], dtype=np.uint64).reshape(-1, 2)[of]
+        return np.where(number == best, hashes[:, 1], hashes[:, 0])
+
+    return Suffixes(of, kind[owner_of], number, place, suffixes[begins], rest(firsts), rest(lengths), at, marked.astype(bool), host, text)
 
 
 _KINDS = ("u8", "u8", "u8", *["u8"] * RUN)
@@ -222,23 +289,12 @@ _KINDS = ("u8", "u8", "u8", *["u8"] * RUN)
 def _dealt(n_buckets: int):
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            rows, hosts, texts = [], [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                found, marked = _streams(page)
-                tokens, owner = _tokens(found, {CHROME, OPEN})
-                if not tokens:
-                    continue
-                suffixes = _suffixes(tokens, owner)
-                suffixes = suffixes[_whole(suffixes, owner)]
-                # Copies of a page are one page: what tells pages apart is their text beside the chrome.
-                own = _own(found, marked)
-                rows.append(suffixes)
-                hosts.append(np.full(len(suffixes), _host_hash(host)))
-                texts.append(np.full(len(suffixes), _host_hash(own)))
-            if not rows:
+            read = _read(batch)
+            if not len(read.page):
                 continue
-            suffixes, host, text = np.concatenate(rows), np.concatenate(hosts), np.concatenate(texts)
-            key = _run_keys(np.uint64(0), suffixes) ^ mix(host)
+            # Copies of a page are one page: what tells pages apart is their text beside the chrome.
+            suffixes, host, text = read.runs, read.host[read.page], read.text[read.page]
+            key = _run_keys(host, suffixes)
             order = np.lexsort((text, key))
             suffixes, host, text, key = suffixes[order], host[order], text[order], key[order]
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -262,26 +318,65 @@ def _repeated(table: pa.Table) -> pa.Table:
     low, high = np.minimum.reduceat(least, start), np.maximum.reduceat(most, start)
     hit = start[low != high]
     suffixes = np.stack([t[hit] for t in tokens], axis=1)
-    keys = np.array([], np.uint64) if not len(hit) else _run_keys(np.uint64(0), suffixes) ^ mix(host[hit])
+    keys = _run_keys(host[hit], suffixes)
     return pa.table({"run": pa.array(keys.view(np.int64))})
 
 
-def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of open blocks, by place among the page's open tokens."""
+_RUNS = "key long, host long, text long, marked boolean, runs array<long>, places array<long>, firsts array<long>, lengths array<long>, beside array<long>"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page with text: its runs that may go, by block of an article (with the first and longest of the rest) or by place among the open tokens, and all its runs beside articles."""
     for batch in slices(batches, "html"):
-        ids, runs, places = [], [], []
-        for page_id, host, page in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            found, marked = _streams(page)
-            tokens, owner = ([], None) if marked else _tokens(found, {OPEN})
-            if tokens:
-                suffixes = _suffixes(tokens, owner)
-                at = np.flatnonzero(_whole(suffixes, owner))
-                keys = _run_keys(np.uint64(0), suffixes[at]) ^ mix(np.full(len(at), _host_hash(host)))
-                ids.extend([page_id] * len(at))
-                runs.append(keys.view(np.int64))
-                places.append(at)
-        if ids:
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(runs)), pa.array(np.concatenate(places))], names=["key", "run", "place"])
+        read = _read(batch)
+        if not len(read.at):
+            continue
+        keys = _run_keys(read.host[read.page], read.runs).view(np.int64)
+        marked = read.marked[read.page]
+
+        def lists(chosen: np.ndarray, values: np.ndarray) -> pa.Array:
+            ends = np.cumsum(np.bincount(read.page[chosen], minlength=len(read.at)))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values[chosen], pa.int64()))
+
+        judged = np.flatnonzero(read.kind == np.where(marked, MAIN, OPEN))
+        beside = np.flatnonzero(read.kind != MAIN)
+        yield pa.record_batch(
+            [
+                batch.column("key").take(pa.array(read.at)),
+                *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (read.host, read.text)],
+                pa.array(read.marked),
+                lists(judged, keys),
+                lists(judged, np.where(marked, read.block, read.place)),
+                lists(judged, read.first.view(np.int64)),
+                lists(judged, read.longest.view(np.int64)),
+                lists(beside, keys),
+            ],
+            names=["key", "host", "text", "marked", "runs", "places", "firsts", "lengths", "beside"],
+        )
+
+
+_INSIDE = "key long, host long, text long, first long, longest long, run long, place long"
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of the given article blocks, by place among the article's tokens."""
+    for batch in slices(batches, "html"):
+        rows, runs, places, rests = [], [], [], []
+        for i, (host, page, given) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("given").to_pylist())):
+            rest = {g["place"]: (g["first"], g["longest"]) for g in given}
+            tokens, owner = _tokens(blocks(page), {MAIN})
+            suffixes = _suffixes(tokens, owner)
+            at = np.flatnonzero(_whole(suffixes, owner) & np.isin(owner, list(rest)))
+            rows.extend([i] * len(at))
+            runs.append(_run_keys(np.full(len(at), host, dtype=np.int64).view(np.uint64), suffixes[at]).view(np.int64))
+            places.append(at)
+            rests.extend(rest[b] for b in owner[at].tolist())
+        if rows:
+            own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("key", "host", "text")]
+            others = [pa.array([x[k] for x in rests], pa.int64()) for k in (0, 1)]
+            yield pa.record_batch(
+                [*own, *others, pa.array(np.concatenate(runs)), pa.array(np.concatenate(places), pa.int64())], names=["key", "host", "text", "first", "longest", "run", "place"]
+            )
 
 
 def _own(found: list[tuple[int, str]], marked: bool) -> str:
@@ -289,47 +384,29 @@ def _own(found: list[tuple[int, str]], marked: bool) -> str:
     return "\n".join(t for k, t in found if k == (MAIN if marked else OPEN))
 
 
-def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, text, run) for each run that a page has beside its article, and one row without a run for the page."""
-    for batch in slices(batches, "html"):
-        hosts, texts, runs = [], [], []
-        for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            found, marked = _streams(page)
-            if not found:
-                continue
-            host, keys = _host_hash(name), _keys(name, found, {CHROME, OPEN})
-            hosts.append(np.full(len(keys) + 1, host))
-            texts.append(np.full(len(keys) + 1, _host_hash(_own(found, marked))))
-            runs.extend([None, *keys.tolist()])
-        if hosts:
-            columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (hosts, texts)]
-            yield pa.record_batch([*columns, pa.array(runs, pa.int64())], names=["host", "text", "run"])
-
-
-def _keys(host: str | None, found: list[tuple[int, str]], kinds: set[int]) -> np.ndarray:
-    """The different run keys of a page's blocks of these kinds."""
-    tokens, owner = _tokens(found, kinds)
-    if not tokens:
-        return np.empty(0, np.int64)
-    suffixes = _suffixes(tokens, owner)
-    suffixes = suffixes[_whole(suffixes, owner)]
-    keys = _run_keys(np.uint64(0), suffixes) ^ mix(np.full(len(suffixes), _host_hash(host)))
-    return np.unique(keys.view(np.int64))
-
-
 def needed(pages):
     """Pages with different text that must have a run, of so many of the host: more than half of few, STRONG, a tenth of many."""
     return F.greatest(F.least(F.floor(pages / 2) + 1, F.lit(STRONG)), F.ceil(pages / 10), F.lit(2))
 
 
-def _gone(owner: np.ndarray, places: list[int]) -> np.ndarray:
+def needed_in_articles(pages):
+    """Articles that must have a run of an article block: more than half of the host's pages, and STRONG. What fewer share, such as quotations, is text."""
+    return F.greatest(F.floor(pages / 2) + 1, F.lit(STRONG))
+
+
+def _articles() -> Column:
+    """How many different articles the rows are of. Those whose rest has the same first or the same longest block may be changed copies."""
+    return F.least(*[F.countDistinct(c) for c in ("text", "first", "longest")])
+
+
+def _gone(owner: np.ndarray, places: list[int], cover: float = COVER) -> np.ndarray:
     """Tokens in the runs from these places on, in blocks that the runs cover."""
     gone = np.zeros(len(owner), dtype=bool)
     for p in places:
         stop = min(p + RUN, len(owner))
         gone[p:stop] |= owner[p:stop] == owner[p]
     blocks, block = np.unique(owner, return_inverse=True)
-    covered = np.bincount(block, gone, len(blocks)) >= COVER * np.bincount(block, minlength=len(blocks))
+    covered = np.bincount(block, gone, len(blocks)) >= cover * np.bincount(block, minlength=len(blocks))
     return gone & covered[block]
 
 
@@ -338,14 +415,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for page, places in zip(batch.column("html").to_pylist(), batch.column("places").to_pylist()):
             found, marked = _streams(page)
-            if marked:
-                out.append("\n\n".join(t for k, t in found if k == MAIN))
+            if not places:
+                out.append("\n\n".join(t for k, t in found if k == (MAIN if marked else OPEN)))
                 continue
-            tokens, owner = _tokens(found, {OPEN})
-            gone = _gone(owner, [p["place"] for p in places or () if p["strong"]])
-            every = _gone(owner, [p["place"] for p in places or ()])
-            if (every & ~gone).sum() <= MOST * (~gone).sum():
-                gone = every
+            tokens, owner = _tokens(found, {MAIN if marked else OPEN})
+            every = _gone(owner, [p["place"] for p in places], 1.0 if marked else COVER)
+            if marked:
+                gone = every if every.sum() <= MOST * len(every) else np.zeros_like(every)
+            else:
+                gone = _gone(owner, [p["place"] for p in places if p["strong"]])
+                if (every & ~gone).sum() <= MOST * (~gone).sum():
+                    gone = every
             kept: dict[int, list[bytes]] = {}
             for i in np.flatnonzero(~gone):
                 kept.setdefault(int(owner[i]), []).append(tokens[i])
@@ -375,18 +455,43 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     n_buckets = bucket_count(spark, total // 20, 300_000)
     dealt = named.select("host", "html").mapInArrow(_dealt(n_buckets), SCHEMA)
     repeated = dealt.groupBy("bucket").applyInArrow(_repeated, "run long")
-    runs = named.select("key", "host", "html").mapInArrow(_open_runs, "key long, run long, place long")
-    hits = durable(runs.join(repeated.distinct(), "run"))
+    runs = durable(named.select("key", "host", "html").mapInArrow(_runs, _RUNS))
+    each = runs.select("key", "host", "text", "marked", F.explode(F.arrays_zip("runs", "places", "firsts", "lengths")).alias("e"))
+    of_run = [F.col(f"e.{a}").alias(b) for a, b in (("runs", "run"), ("places", "place"), ("firsts", "first"), ("lengths", "longest"))]
+    each = each.select("key", "host", "text", "marked", *of_run)
+    hits = durable(each.join(repeated.distinct(), "run"))
+    of_host = runs.select("host", "text").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    places = durable(_in_open_blocks(hits.where(~F.col("marked")), runs, of_host).unionByName(_in_articles(hits.where("marked"), named, of_host)))
     kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
     result = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
-    if not hits.take(1):  # nothing to take out of any open block
+    if not places.take(1):  # nothing to take out of any block
         return named.withColumn("places", F.lit(None).cast("array<struct<place:long,strong:boolean>>")).mapInArrow(_texts, result)
+    places = places.groupBy(F.col("key").alias("places_key")).agg(F.collect_set(F.struct("place", "strong")).alias("places"))
+    joined = named.join(places, F.col("key") == F.col("places_key"), "left").drop("places_key")
+    return joined.mapInArrow(_texts, result)
+
+
+def _in_open_blocks(hits: DataFrame, runs: DataFrame, of_host: DataFrame) -> DataFrame:
+    """(key, place, strong) of the runs in open blocks that enough pages have."""
     # Each (text, run) is one row before the count, so a run of every page of a host is added up in all tasks.
-    standing = named.select("host", "html").mapInArrow(_standing, "host long, text long, run long")
     wanted = hits.select(F.col("run").alias("w")).distinct()
+    standing = runs.select("host", "text", F.explode("beside").alias("run"))
     on_pages = standing.join(wanted, F.col("run") == F.col("w"), "left_semi").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
-    of_host = standing.where("run is null").select("host", "text").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     enough = on_pages.join(of_host, "host").where(F.col("n") >= needed(F.col("pages"))).select("run", (F.col("n") >= STRONG).alias("strong"))
-    places = hits.join(enough, "run").groupBy("key").agg(F.collect_set(F.struct("place", "strong")).alias("places"))
-    joined = named.join(places.withColumnRenamed("key", "places_key"), F.col("key") == F.col("places_key"), "left").drop("places_key")
-    return joined.mapInArrow(_texts, result)
+    return hits.join(enough, "run").select("key", "place", "strong")
+
+
+def _in_articles(hits: DataFrame, named: DataFrame, of_host: DataFrame) -> DataFrame:
+    """(key, place, strong) of the runs in article blocks that enough articles have, in blocks that begin with such a run."""
+
+    def enough(rows: DataFrame) -> DataFrame:
+        counted = rows.groupBy("host", "run").agg(_articles().alias("n")).join(of_host, "host")
+        return counted.where(F.col("n") >= needed_in_articles(F.col("pages"))).select("run")
+
+    begun = durable(hits.join(enough(hits), "run"))
+    if not begun.take(1):
+        return begun.select("key", "place", F.lit(True).alias("strong"))
+    wanted = begun.groupBy("key", "host", "text").agg(F.collect_set(F.struct("place", "first", "longest")).alias("given"))
+    found = named.select(F.col("key").alias("page_key"), "html").join(wanted, F.col("page_key") == F.col("key")).drop("page_key")
+    inside = durable(found.mapInArrow(_inside, _INSIDE))
+    return inside.join(enough(inside), "run").select("key", "place", F.lit(True).alias("strong"))

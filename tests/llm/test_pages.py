@@ -144,3 +144,38 @@ def test_captures_have_every_outcome(spark):
             assert (got[f"v{i}c"].response_id, got[f"v{i}c"].outcome) == (None, "no_response")
     assert (got["w"].response_id, got["w2"].outcome) == ("r1b", "no_response")
     assert revisits.resolve(records.limit(0)).count() == 0
+
+
+def test_suffix_array_judges_articles(spark):
+    """Unmarked notices inside article markup go; what fewer pages share, copies of articles and blocks with words of their own stay."""
+    def words(i, n):
+        return " ".join(f"w{i}x{k}" for k in range(n))
+
+    def article(own):
+        return "<nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in own) + "</article><footer>Foot</footer>"
+
+    notice, line, quote = words("n", 34), "Read more here", words("q", 25)
+    base = [words("title", 5), *[words(f"copy{k}", 30) for k in range(4)]]
+    pages, expected = [], []
+    for i in range(14):
+        # The notice stands first, last or inside; twice a block has it beside words of its own.
+        own = [words(f"h{i}", 6), words(f"a{i}", 40), *([quote] if i < 7 else []), f"{words(f'b{i}', 3)} {notice}" if i == 5 else words(f"b{i}", 20), f"{notice} more" if i == 9 else words(f"c{i}", 12)]
+        at = (0, 2, len(own))[i % 3]
+        pages.append(("http://site.x/%d" % i, article([*own[:at], notice, *own[at:], line])))
+        expected.append(own)
+        # Changed copies of one article, each with another block changed, and pages that would lose nearly all.
+        changed = [*base]
+        changed[i % 5] = words(f"new{i}", 40)
+        pages.append(("http://copies.x/%d" % i, article(changed)))
+        expected.append(changed)
+        short = [words(f"s{i}", 2), words(f"t{i}", 3), notice]
+        pages.append(("http://short.x/%d" % i, article(short)))
+        expected.append(short)
+        # Fewer articles than it takes.
+        if i < 9:
+            few = [words(f"f{i}", 6), words(f"g{i}", 30), notice]
+            pages.append(("http://few.x/%d" % i, article(few)))
+            expected.append(few)
+    got = text_of(spark, pages + pages[:5])
+    assert [got[i].text for i in range(len(pages))] == ["\n\n".join(x) for x in expected]
+    assert all(got[len(pages) + i].text == got[i].text for i in range(5))
