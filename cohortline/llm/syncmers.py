@@ -123,22 +123,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the one with the least hash of its text stands for all. Other columns are ignored, whatever their names; repeated rows are returned as they are, an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), text.alias("text"))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
-    order = following(texts.select("k", "text_hash", quarter.alias("need")))
+    order = following(texts.select("k", F.xxhash64("text").alias("text_hash"), quarter.alias("need")))
     ask = order.select(F.col("k").alias("ask_k"), "need", "next_k", "next_rep")
-    heads = texts.join(ask, F.col("k") == F.col("next_k")).where(F.col("text_hash").bitwiseXOR(F.col("next_rep")) == 0)
-    heads = heads.groupBy("ask_k").agg(F.first(F.expr("substring(text, 1, need)")).alias("head"))
+    # Both joins take `texts` by k with the same columns, so texts are shuffled once; the hash is no join key for that reason. A text's sketch is made again where it is the next
+    # one, and goes with its first characters, so that sketches are shuffled once and never written.
+    heads = texts.join(ask, F.col("k") == F.col("next_k")).where(F.xxhash64("text").bitwiseXOR(F.col("next_rep")) == 0)
+    heads = with_anchors(heads.select("ask_k", "text", F.expr("substring(text, 1, need)").alias("head")), "text", "own")
+    heads = heads.groupBy("ask_k").agg(F.first("head").alias("head"), F.first(sketch(F.col("own"))).alias("next_own"))
     full = texts.join(heads, F.col("k") == F.col("ask_k"))
     edited = F.expr("concat(substring(text, 1, n_chars - need), substring(head, 1, need))")
-    full = full.withColumn("n_chars", F.char_length("text")).withColumn("need", quarter).select("k", "text_hash", "n_chars", "text", edited.alias("edited"))
-    marked = with_anchors(full, "text", "own").select("k", "text_hash", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("own")).alias("own"))
+    full = full.withColumn("n_chars", F.char_length("text")).withColumn("need", quarter).select("k", "n_chars", "text", edited.alias("edited"), "next_own")
+    marked = with_anchors(full, "text", "own").select("k", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), "next_own", sketch(F.col("own")).alias("own"))
     marked = with_anchors(marked, "edited", "other").drop("edited").withColumn("other", sketch(F.col("other")))
-    marked = durable(marked)
-    # One row for each text that stands for an id.
-    stands = marked.select(F.col("k").alias("s_k"), F.col("text_hash").alias("s_hash"), F.col("own").alias("next_own")).dropDuplicates(["s_k", "s_hash"])
-    known = order.join(stands, (F.col("next_k") == F.col("s_k")) & (F.col("next_rep") == F.col("s_hash"))).select(F.col("k").alias("o_k"), "next_own")
-    return marked.join(known, F.col("k") == F.col("o_k")).select(
+    return marked.select(
         F.nullif(F.col("k"), F.lit(_NO_ID)).alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         "edited_sha256",

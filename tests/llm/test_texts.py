@@ -334,6 +334,26 @@ def test_short_texts_without_anchors(spark):
     assert all(got[i].near_edited < 1 for i in hashed)
 
 
+def test_sketches_are_shuffled_once(docs, spark, monkeypatch, capsys):
+    """Texts are dealt once for both joins, and sketches only with the heads of the next texts; no copy of them is written."""
+    copies, write = [], syncmers.durable
+    monkeypatch.setattr(syncmers, "durable", lambda df: copies.append(df.dtypes) or write(df))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = syncmers.fingerprints(docs)
+        found.explain("formatted")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert copies and not [c for copy in copies for c in copy if c[1].startswith("array") or c[0] == "text"]
+    dealt = [re.sub(r"#\d+L?", "", x).split(", ") for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)]
+    assert sum({"k", "text"} <= {*x} for x in dealt) == 1 and not [x for x in dealt if {"own", "other", "edited"} & {*x}]
+    assert sum(x[0] == "ask_k" and len(x) > 2 and "next_k" not in x for x in dealt) == 1
+
+
 def test_empty_tables(no_docs, labels):
     for made in (
         ngram_join.shingle_classes(no_docs), ngram_join.near_duplicates(no_docs), suffix_dedup.remove_repeats(no_docs), quality_rules.judge(no_docs, labels.limit(0)), site_classifier.classify(no_docs, labels),
