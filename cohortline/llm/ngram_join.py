@@ -10,7 +10,8 @@ first level are therefore the shingles themselves (as singleton sets), in one gl
   every linked pair meets in the region of its first common pivot.
 * Shingles that many documents have come last in the order. They are found by counts of every task's batches over all rows. The order
   decides which region a pair meets in, never whether it does.
-* Small regions give the pairs that sizes, positions and 128 counts by hash allow; documents that such pairs connect form a region of their own.
+* Small regions give the pairs that sizes, positions, the number of pivots both windows share and 128 counts by hash allow; documents that such pairs connect
+  form a region of their own. Counts by hash alone let most pairs of long texts pass (from about 4,000 shingles on), which would connect all of them.
 * These and the large regions hold the full sets of their members and are joined in turn by document pivots: exact distances to a few members, Voronoi
   cells by the nearest, and the cell also takes each document whose distance exceeds that to its own pivot by 2r or less. Cells recurse. A
   cell whose members are already connected is done. Where cells do not shrink, pivots are taken one by one instead, each with
@@ -125,14 +126,27 @@ def _windows(n_words: int, share: Fraction, n_buckets: int, frequent):
                 ranks.append(np.arange(w, dtype=np.uint32))
             if pivots:
                 pivot = mix(np.concatenate(pivots))
-                columns = [pivot >> np.uint64(16), np.concatenate(keys), np.concatenate(sizes), np.concatenate(ranks)]
+                columns = [pivot, np.concatenate(keys), np.concatenate(sizes), np.concatenate(ranks)]
                 yield from scatter(bucket_of(pivot, n_buckets), columns, ascending=True)
 
     return windows
 
 
+def _grouped(code: np.ndarray, n: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each code, ascending: the sum of n, the greatest hi and the least lo."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, np.int64)
+    if not len(start):
+        return code, n, hi, lo
+    return code[start], np.add.reduceat(n[order], start), np.maximum.reduceat(hi[order], start), np.minimum.reduceat(lo[order], start)
+
+
 def _regions(share: Fraction):
-    """The pairs of small regions (kind 0) and the members of large ones (kind 1: region, key) of a bucket."""
+    """The pairs of small regions (kind 0) and the members of large ones (kind 1: region, key) of a bucket.
+
+    Of a pair: its common pivots in the bucket (n), what the first (hi) and the last of them (lo) leave beyond the smallest intersection, both counted
+    from that pivot on, and what the ends of the windows leave (rest)."""
 
     def regions(table: pa.Table) -> pa.Table:
         pivot, key, size, rank = unpack_all(table.column("data").to_pylist(), _WINDOW, ascending=True)
@@ -143,30 +157,44 @@ def _regions(share: Fraction):
         pivot, key, size, rank = pivot[first], key[first], size[first], rank[first]
         start = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
         members = np.diff(np.concatenate((start, [len(pivot)])))
-        a, b = [], []
+        keys, at, own = np.unique(key, return_index=True, return_inverse=True)
+        found = []
         for m in np.unique(members[(members > 1) & (members <= SMALL_REGION)]):
             i, j = np.triu_indices(m, 1)
             of_size = start[members == m]
             for part in np.array_split(of_size, max(1, len(of_size) * len(i) // 1_000_000)):
                 x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                most = np.minimum(size[x] - rank[x], size[y] - rank[y])
-                ok = most >= _need(size[x] + size[y], share)
-                a.append(key[x[ok]])
-                b.append(key[y[ok]])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.empty((2, 0), np.int64)
+                need = _need(size[x] + size[y], share)
+                ok = np.minimum(size[x], size[y]) >= need
+                x, y, need = x[ok], y[ok], need[ok]
+                more = np.minimum(size[x] - rank[x], size[y] - rank[y]) - need
+                found.append(_grouped(own[x] * len(keys) + own[y], np.ones(len(x), np.int64), more, more))
+        code, n, hi, lo = _grouped(*(np.concatenate(c) for c in zip(*found))) if found else (np.empty(0, np.int64),) * 4
+        x, y = code // max(1, len(keys)), code % max(1, len(keys))
+        n_x, n_y = size[at][x], size[at][y]
+        rest = -(-np.maximum(n_x, n_y) * share.numerator // share.denominator) - 1 - _need(n_x + n_y, share)
         large = np.repeat(members > SMALL_REGION, members)
-        kind = np.concatenate((np.zeros(pairs.shape[1], np.int8), np.ones(int(large.sum()), np.int8)))
-        return pa.table(
-            {
-                "kind": kind,
-                "a": np.concatenate((pairs[0], pivot[large].view(np.int64))),
-                "b": np.concatenate((pairs[1], key[large])),
-            }
-        )
+        none = np.zeros(int(large.sum()), np.int64)
+        columns = {"kind": np.concatenate((np.zeros(len(code), np.int8), np.ones(len(none), np.int8)))}
+        columns |= {"a": np.concatenate((keys[x], pivot[large].view(np.int64))), "b": np.concatenate((keys[y], key[large]))}
+        columns |= {k: np.concatenate((v, none)).astype(np.int32) for k, v in (("n", n), ("hi", hi), ("lo", lo), ("rest", rest))}
+        return pa.table(columns)
 
     return regions
 
 
+_REGIONS = "kind byte, a long, b long, n int, hi int, lo int, rest int"
+
+
+def _meeting(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) of small regions that their common pivots allow.
+
+    All pivots that both windows have are counted, unless one has a large region, where the pair is met as well. From the first, from the last, and
+    beyond the end of the window that ends first there can be no more common shingles than are left in either set."""
+    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("rest").alias("rest"))
+    return pairs.where("hi >= 0 and n - 1 + lo >= 0 and n + rest >= 0").select("a", "b")
+
+
 def _possible(share: Fraction):
     """Pairs whose counts by hash still allow the similarity: the counts' difference is at most the sets'."""
 
@@ -311,7 +339,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_buckets = bucket_count(spark, records, 400_000)
 
     dealt = docs.mapInArrow(_windows(words, share, n_buckets, frequent), SCHEMA)
-    met = durable(dealt.groupBy("bucket").applyInArrow(_regions(share), "kind byte, a long, b long"))
+    met = durable(dealt.groupBy("bucket").applyInArrow(_regions(share), _REGIONS))
 
     classes = durable(
         stats.where("n > 0")
@@ -323,7 +351,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def side(s: str, *cols: str) -> DataFrame:
         return classes.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
 
-    pairs = met.where("kind = 0").select("a", "b").distinct().join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
+    pairs = _meeting(met).join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
     pairs = durable(pairs.mapInArrow(_possible(share), "a long, b long"))
     # Documents that chains of possible pairs connect form a region as well, so that a set is sent there once and not with every pair.
     chains = components(pairs).select(F.lit(0).alias("kind"), F.col("component").alias("region"), F.col("node").alias("key"))

@@ -41,6 +41,20 @@ def test_join_of_large_regions(spark, monkeypatch):
     same(got.collect(), [(r[0], *x) for r, x in zip(rows, links(rows))])
 
 
+def test_long_texts_with_few_common_shingles_are_no_pairs(spark, monkeypatch):
+    """Counts by hash tell nothing about texts of thousands of shingles; the number of pivots they share does."""
+    met = []
+    monkeypatch.setattr(ngram_join, "components", lambda edges, f=ngram_join.components: (met.append(edges.count()), f(edges))[1])
+    common = [prose(500 + i, 5) for i in range(40)]
+    texts = [" ".join(prose(600 + i, 6000).split(" ") + common[i % 40 :] + common[: i % 40]) for i in range(8)]
+    words = texts[3].split(" ")
+    words[10:13] = ["an", "edit"]
+    rows = [*enumerate(texts), (8, " ".join(words))]
+    got = ngram_join.shingle_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    same(got.collect(), [(r[0], *x) for r, x in zip(rows, links(rows))])
+    assert met[0] == 1
+
+
 def test_region_finds_every_component():
     rng = np.random.default_rng(0)
     sets = []
