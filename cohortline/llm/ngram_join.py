@@ -12,7 +12,8 @@ first level are therefore the shingles themselves (as singleton sets), in one gl
   decides which region a pair meets in, never whether it does.
 * Small regions give the pairs that sizes, positions, the number of pivots both windows share and 128 counts by hash allow; documents that such pairs connect
   form a region of their own. Counts by hash alone let most pairs of long texts pass (from about 4,000 shingles on), which would connect all of them.
-* These and the large regions hold the full sets of their members and are joined in turn by document pivots: exact distances to a few members, Voronoi
+* These and the large regions hold the full sets of their members. A set whose shingles are too often its own has no partner there. The others are joined in turn by document pivots, those first whose
+  shingles most members have: exact distances to a few members, Voronoi
   cells by the nearest, and the cell also takes each document whose distance exceeds that to its own pivot by 2r or less. Cells recurse. A
   cell whose members are already connected is done. Where cells do not shrink, pivots are taken one by one instead, each with
   its distances to all others, until the rest is connected. A region too large for one task is cut into blocks, and each pair of blocks is
@@ -285,8 +286,33 @@ class Region:
             left = left[left != pivot]
             self.distances(int(pivot), left)
 
+    def partnered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that may have a partner, and their mean number of sets a shingle is in.
+
+        A set shares with no other the shingles that it alone has. If the others are too few for the smallest set that its size allows, it has no partner;
+        without it, more shingles may be in one set only."""
+        of = np.arange(len(self.size))
+        row = np.repeat(of, self.size)
+        while True:
+            inside = np.zeros(len(self.size), dtype=bool)
+            inside[of] = True
+            count = np.bincount(self.ids[inside[row]], minlength=len(self.mark))[self.ids]
+            common = np.bincount(row[count > 1], minlength=len(self.size))[of]
+            sizes = np.sort(self.size[of])
+            least = sizes[np.searchsorted(sizes, -(-self.size[of] * self.share.numerator // self.share.denominator))]
+            left = of[common >= _need(self.size[of] + least, self.share)]
+            if len(left) > 0.9 * len(of) or not len(left):
+                return left, np.bincount(row, weights=count, minlength=len(self.size))[left] / self.size[left]
+            of = left
+
     def join(self, of: np.ndarray | None = None) -> None:
-        of = np.arange(len(self.size)) if of is None else of
+        if of is None:
+            of, middle = self.partnered()
+            if len(of) > self.LEAF:  # what most others are near copies of links them at once
+                for pivot in of[np.argsort(-middle, kind="stable")[: self.PIVOTS]]:
+                    self.distances(int(pivot), of)
+        if len(of) < 2 or len(np.unique(self.roots(of))) == 1:
+            return
         if len(of) <= self.LEAF:
             self.one_by_one(of)
             return

@@ -55,6 +55,25 @@ def test_long_texts_with_few_common_shingles_are_no_pairs(spark, monkeypatch):
     assert met[0] == 1
 
 
+def test_region_of_copies_takes_few_pivots(monkeypatch):
+    """Copies of one set that are linked to it but not to each other, and others that are too far from all."""
+    taken = []
+    monkeypatch.setattr(ngram_join.Region, "distances", lambda self, pivot, of, f=ngram_join.Region.distances: (taken.append(pivot), f(self, pivot, of))[1])
+    rng = np.random.default_rng(1)
+    base = np.arange(400)
+
+    def copy(i, n):
+        own = rng.choice(400, n, replace=False)
+        return np.sort(np.concatenate((np.delete(base, own), 1_000 * (i + 1) + np.arange(n)))).astype(np.uint64)
+
+    sets = [copy(i, 40 if i % 2 else 60) for i in range(300)] + [base.astype(np.uint64)]
+    region = ngram_join.Region(sets, ngram_join.Fraction("0.8"))
+    region.join()
+    roots = region.roots(np.arange(301))
+    assert len(set(roots[1::2][:150].tolist()) | {roots[300]}) == 1 and len(set(roots.tolist())) == 151
+    assert len(taken) < 30
+
+
 def test_region_finds_every_component():
     rng = np.random.default_rng(0)
     sets = []
