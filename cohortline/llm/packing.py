@@ -22,6 +22,8 @@ from .words import encoded, slices, span_hashes
 
 WINDOW = 4096
 SHARD_TOKENS = 8_000_000
+#: Bytes of texts whose ids are found at a time (some 75 bytes of memory for each).
+READ = 2_000_000
 #: Pieces of text between blanks whose ids a worker remembers.
 REMEMBERED = 1_000_000
 _WORKER: dict = {}
@@ -229,7 +231,7 @@ def _pieces(path: str | None, end_id: int, window: int, with_ids: bool):
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = part_ids(path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=READ):
             ids, edge = encode(batch.column("text").to_pylist())
             rows, kept = [], []
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), edge[:-1], edge[1:]):

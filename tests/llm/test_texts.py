@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import counts, links, prose, without_repeats
@@ -230,6 +231,17 @@ def test_lexicon_is_minimal_and_finds_its_words(tmp_path):
     assert len(lexicon.accepts) == 9
 
 
+def test_packing_takes_few_texts_at_a_time(monkeypatch):
+    """A worker's memory grows with the bytes whose ids are found at once."""
+    taken = []
+    monkeypatch.setattr(packing, "part_ids", lambda path, f=packing.part_ids: lambda texts: (taken.append(sum(map(len, texts))), f(path)(texts))[1])
+    texts = [prose(300 + i, 20_000) for i in range(8)] * 8
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    got = list(packing._pieces(None, 2, 4096, False)(iter([batch])))
+    assert sum(taken) == sum(map(len, texts)) > 7_000_000 and max(taken) < 2_500_000
+    assert sorted({r for b in got for r in b.column("doc_id").to_pylist()}) == list(range(len(texts)))
+
+
 def test_packing(docs, rows, tokenizer):
     got = packing.pack(docs, with_ids=True).collect()
     by_doc, sequences = defaultdict(list), defaultdict(list)
